@@ -191,4 +191,6 @@ def with_views(sql: str, names: list[str]) -> str:
         return sql
     views = ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in wanted)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
