@@ -35,13 +35,17 @@ def seeds(words: np.ndarray, offsets: np.ndarray, mask: str, number: int) -> tup
 
 
 def best_segment(same: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """(start, end, matches) of the run of positions with the best score, a mismatch costing what keeps `identity`."""
-    penalty = identity / (1 - identity)
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -penalty))])
+    """(start, end, matches) of the longest run of positions of which at least `identity` match, between two matches."""
+    # a match gains what keeps the balance with mismatches at that identity; a run passes if its sum is not negative
+    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - identity, -identity))])
     low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.argmin(score[: end + 1]))
-    return start, end, int(same[start:end].sum())
+    first = np.searchsorted(-low, -(score + 1e-9), "left")
+    end = int(np.argmax(np.arange(len(score)) - first))
+    start = int(first[end])
+    inside = np.nonzero(same[start:end])[0]
+    if not len(inside):
+        return 0, 0, 0
+    return start + int(inside[0]), start + int(inside[-1]) + 1, len(inside)
 
 
 class SeedIndex:
