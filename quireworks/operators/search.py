@@ -112,15 +112,14 @@ def snippet(docs: DataFrame, hits: DataFrame, terms: DataFrame, width: int = 32)
     gaps = F.split("text", r"[\p{L}\p{N}]+", -1)
     lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term_no", folded(F.col("term")).alias("t"), "is_prefix")).alias("terms"))
     rows = hits.join(docs.select("doc_id", "text"), "doc_id").join(lists, "query_id")
-    tokens = rows.select("query_id", "doc_id", "terms", gaps.alias("gaps"), words.alias("words"))
-    placed = tokens.select("query_id", "doc_id", "terms", "gaps", "words", F.posexplode("words").alias("pos", "word"))
-    marks = placed.withColumn("hit", F.filter("terms", lambda t: F.when(t["is_prefix"], F.startswith(folded(F.col("word")), t["t"])).otherwise(folded(F.col("word")) == t["t"])))
+    placed = rows.select("query_id", "doc_id", "terms", F.posexplode(tokens_of(F.col("text"))).alias("pos", "word"))
+    met = F.filter("terms", lambda t: F.when(t["is_prefix"], F.startswith(F.col("word"), t["t"])).otherwise(F.col("word") == t["t"]))
+    marks = placed.select("query_id", "doc_id", "pos", F.transform(met, lambda t: t["term_no"]).alias("hit"))
     ahead = W.partitionBy("query_id", "doc_id").orderBy("pos").rowsBetween(0, width - 1)
-    windows = marks.withColumn("seen", F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("hit", lambda t: t["term_no"])).over(ahead)))))
+    windows = marks.withColumn("seen", F.size(F.array_distinct(F.flatten(F.collect_list("hit").over(ahead)))))
     windows = windows.withColumn("n", F.sum(F.when(F.size("hit") > 0, 1).otherwise(0)).over(ahead))
-    best = windows.groupBy("query_id", "doc_id").agg(
-        F.max_by(F.struct("pos", "gaps", "words", "terms"), F.struct("seen", "n", -F.col("pos"))).alias("w")
-    ).select("query_id", "doc_id", (F.col("w.pos") + 1).alias("at"), "w.gaps", "w.words", "w.terms")
+    spot = windows.groupBy("query_id", "doc_id").agg((F.max_by("pos", F.struct("seen", "n", -F.col("pos"))) + 1).alias("at"))
+    best = rows.join(spot, ["query_id", "doc_id"]).select("query_id", "doc_id", "at", gaps.alias("gaps"), words.alias("words"), "terms")
     shown = F.slice("words", F.col("at"), F.lit(width))
     between = F.slice("gaps", F.col("at") + 1, F.size(shown) - 1)
     ended = F.col("at") + width > F.size("words")
