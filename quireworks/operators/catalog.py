@@ -237,7 +237,7 @@ def sort_bookmarks(bookmarks: DataFrame, library: DataFrame) -> DataFrame:
     """Bookmarks of the kind their document is read by, in reading order per document."""
     kinds = library.select(F.col("id").alias("document_id"), formats.location_kind(F.col("format")).alias("expected"))
     order = W.partitionBy("document_id").orderBy("unit", "fraction", "created_at", "id")
-    return bookmarks.join(kinds, "document_id").where("kind = expected").select("id", "document_id", F.row_number().over(order).alias("rank"))
+    return bookmarks.join(kinds, "document_id").where("kind = expected").select("id", "document_id", F.row_number().over(order).cast("long").alias("rank"))
 
 
 def limit_hits(hits: DataFrame, cap: int, key: str = "query_id", order: str = "pos") -> DataFrame:
@@ -269,7 +269,7 @@ def keep_latest_n(files: DataFrame, n: int = 20) -> DataFrame:
 def recent_k_working_set(events: DataFrame, k: int = 16) -> DataFrame:
     """Per user, the k keys touched last: user_id, key, rank."""
     last = events.groupBy("user_id", "key").agg(F.max("ts").alias("ts"))
-    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.asc("key")))
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.asc("key"))).cast("long")
     return last.withColumn("rank", rank).where(F.col("rank") <= k).select("user_id", "key", "rank")
 
 

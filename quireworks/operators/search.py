@@ -38,7 +38,7 @@ def search_parse(queries: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
     long = F.filter(words, lambda w: F.length(w) >= 2)
     usable = F.slice(F.when(F.size(long) > 0, long).otherwise(words), 1, max_terms)
-    return queries.select("query_id", F.posexplode(usable).alias("term_no", "term")).withColumn("is_prefix", F.length("term") >= 2)
+    return queries.select("query_id", F.posexplode(usable).alias("term_no", "term")).withColumns({"term_no": F.col("term_no").cast("long"), "is_prefix": F.length("term") >= 2})
 
 
 def fts_tokenize(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def bm25_rank(counts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def top_k_search(scores: DataFrame, k: int = 20) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))).cast("long")
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -127,7 +127,7 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         F.min("start").alias("start"), F.max(F.col("start") + F.length("text")).alias("end"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), " ").alias("text"),
     )
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1
+    number = (F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1).cast("long")
     return paras.select("doc_id", number.alias("para_no"), "start", "end", "text")
 
 
@@ -135,7 +135,7 @@ def speakable_units(chunks: DataFrame) -> DataFrame:
     """D3 for text in chunks: every paragraph of every chunk, anchored by the chunk: doc_id, unit_no, anchor, start, text."""
     keyed = chunks.select(F.struct("doc_id", "chunk_no").alias("doc_id"), "text")
     units = paragraph_units(keyed).select("doc_id.doc_id", F.col("doc_id.chunk_no").alias("anchor"), "start", "text")
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("anchor", "start")) - 1
+    number = (F.row_number().over(W.partitionBy("doc_id").orderBy("anchor", "start")) - 1).cast("long")
     return units.withColumn("unit_no", number).select("doc_id", "unit_no", "anchor", "start", "text")
 
 
@@ -306,7 +306,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     lines = F.regexp_replace(F.substring(F.col("piece"), F.length(head) + 2, F.length("piece")), r" *\x1f *", "\n")
     text = F.regexp_replace(T.decode_entities(F.regexp_replace(lines, "^[ \n]+|[ \n]+$", "")), " ", " ")
     kept = rows.select("page_id", "at", F.regexp_replace(head, "[1-6]$", "").alias("kind"), F.regexp_extract(head, "([1-6])$", 1).try_cast("int").alias("level"), text.alias("text")).where("text <> '' and kind in ('HEADING', 'LIST_ITEM', 'PARAGRAPH', 'IMAGE', 'DIVIDER')")
-    number = F.row_number().over(W.partitionBy("page_id").orderBy("at")) - 1
+    number = (F.row_number().over(W.partitionBy("page_id").orderBy("at")) - 1).cast("long")
     return kept.select("page_id", number.alias("block_no"), "kind", F.coalesce("level", F.lit(0)).alias("level"), F.when(F.col("kind") == "DIVIDER", "").otherwise(F.col("text")).alias("text"))
 
 
@@ -321,7 +321,7 @@ def outline_from_headings(blocks: DataFrame) -> DataFrame:
     """Headings with a title: doc_id, pos, target, depth, title."""
     title = F.nullif(F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(200)), F.lit(""))
     rows = blocks.where("kind = 'HEADING'").select(F.col("page_id").alias("doc_id"), F.col("block_no").alias("target"), F.col("level").alias("depth"), title.alias("title")).where("title is not null")
-    pos = F.row_number().over(W.partitionBy("doc_id").orderBy("target")) - 1
+    pos = (F.row_number().over(W.partitionBy("doc_id").orderBy("target")) - 1).cast("long")
     return outline_relative_depth(rows.withColumn("pos", pos)).select("doc_id", "pos", "target", "depth", "title")
 
 
