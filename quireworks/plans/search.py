@@ -17,7 +17,7 @@ POST = """
     stats AS (SELECT c.doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM corpus c)"""
 CORPUS = "corpus AS (SELECT document_id AS doc_id, text FROM document_text)"
 MATCH = f"""
-    terms AS (SELECT * FROM {TERMS}),
+    terms AS (SELECT query_id, term_no::BIGINT AS term_no, term, is_prefix FROM {TERMS}),
     matches AS (SELECT query_id, term_no, doc_id, sum(tf)::BIGINT AS tf FROM postings JOIN terms ON starts_with(postings.term, terms.term) GROUP BY 1, 2, 3),
     hit AS (SELECT query_id, doc_id FROM matches GROUP BY 1, 2 HAVING count(DISTINCT term_no) = (SELECT count(*) FROM terms x WHERE x.query_id = matches.query_id))"""
 COUNTS = """
