@@ -90,6 +90,13 @@ def oracle_sql() -> dict[str, str]:
                  g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
             SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256, d.n_rows FROM d JOIN g USING (h)
         """,
+        # holds for pages whose main region is their article and whose references are these
+        "op2_main_text": r"""
+            WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS body FROM pages),
+                 b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM a),
+                 c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(body, '&quot;', '"'), '&lt;', '<'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+            SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+        """,
         "op3_chat_format": r"""
             WITH t AS (
               SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
