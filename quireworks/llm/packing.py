@@ -19,6 +19,8 @@ LENGTH = 2048
 DIMS, BITS = 4, 8
 END = 1
 CACHED = 250_000
+#: Ids of one row between tokens and packing: rows of like size let a range sort by rows balance ids
+CHUNK = 1024
 #: Tokens that one range partition should hold
 PER_PARTITION = 4_000_000
 
@@ -142,12 +144,18 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterat
         bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
         out = np.full(bounds[-1], end, ids.dtype)
         out[np.arange(len(ids)) + owner] = ids
-        raw = out.tobytes()
-        size = out.dtype.itemsize
-        data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((bounds * size).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+        size, totals = out.dtype.itemsize, lengths + 1
+        parts = -(-totals // CHUNK)
+        row = np.repeat(np.arange(n), parts)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * CHUNK
+        cuts = np.concatenate([bounds[row] + start, bounds[-1:]])
+        data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer((cuts * size).astype(np.int64)), pa.py_buffer(out.tobytes())]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(hilbert_key(cells, BITS)), pa.array(lengths + 1, pa.int64()), pa.array([size] * n, pa.int32()), data],
-            ["doc_id", "curve_key", "n_tokens", "width", "ids"],
+            [
+                batch.column(0).take(pa.array(row)), pa.array(start), pa.array(hilbert_key(cells, BITS)[row]), pa.array(np.diff(cuts)),
+                pa.array(totals[row]), pa.array(np.full(len(row), size, np.int32)), data,
+            ],
+            ["doc_id", "start", "curve_key", "n_tokens", "doc_tokens", "width", "ids"],
         )
 
 
@@ -170,13 +178,18 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, with_ids: bool) -> I
 
     for batch in batches:
         done: list[list] = []
-        doc_ids, widths, data = batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids")
-        for doc_id, width, raw in zip(doc_ids, widths, data, strict=True):
-            ids = np.frombuffer(raw.as_py(), np.uint32 if width == 4 else np.uint16)
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "width", "ids")]
+        for doc_id, begin, total, width, raw in zip(*columns, strict=True):
+            ids = np.frombuffer(raw, np.uint32 if width == 4 else np.uint16)
             start = 0
             while start < len(ids):
                 n = min(length - filled, len(ids) - start)
-                open_rows.append([doc_id, start, n, ids[start : start + n], len(ids), base + number, filled, length])
+                last = open_rows[-1] if open_rows else None
+                if last and last[0] == doc_id and last[1] + last[2] == begin + start and last[4] == total:
+                    # the row goes on where the piece before it ends
+                    last[2], last[3] = last[2] + n, np.concatenate([last[3], ids[start : start + n]])
+                else:
+                    open_rows.append([doc_id, begin + start, n, ids[start : start + n], total, base + number, filled, length])
                 filled, start = filled + n, start + n
                 if filled == length:
                     done.extend(open_rows)
@@ -209,18 +222,18 @@ def pack(
     with_ids, the ids (little-endian unsigned 32-bit).  Each document is its text's ids and then `end`; a null or empty
     text is `end` alone.  Token counts, hashed and projected to a few dimensions, give a place on a Hilbert curve;
     documents are sorted by it over range partitions (ties by id, so copies never pile up in one partition) and laid end
-    to end.  What is left at a partition's end is cut into sequences of a power of two, so there is no padding.
+    to end, long ones in several rows, so that no row and no partition grows with a text.  What is left at a partition's end is cut into sequences of a power of two, so there is no padding.
     Repeated rows and null ids are packed as they are; extra columns are ignored; an empty table gives no pieces.
     """
     spark = docs.sparkSession
     prepare(spark, 500)
     tokens, _ = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            lambda it: _tokenised(it, tokenizer_path, end), "doc_id long, curve_key long, n_tokens long, width int, ids binary"
+            lambda it: _tokenised(it, tokenizer_path, end), "doc_id long, start long, curve_key long, n_tokens long, doc_tokens long, width int, ids binary"
         ),
         "tokens",
     )
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     partitions = max(1, -(-total // per_partition))
-    ordered = tokens.repartitionByRange(partitions, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "n_tokens", "ids")
-    return ordered.select("doc_id", "width", "ids").mapInArrow(lambda it: _packed(it, length, with_ids), PIECES)
+    ordered = tokens.repartitionByRange(partitions, "curve_key", "doc_id", "start").sortWithinPartitions("curve_key", "doc_id", "doc_tokens", "start", "ids")
+    return ordered.select("doc_id", "start", "doc_tokens", "width", "ids").mapInArrow(lambda it: _packed(it, length, with_ids), PIECES)
