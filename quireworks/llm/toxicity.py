@@ -55,15 +55,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
 
 
-def telling(features: list[np.ndarray], positive: np.ndarray, least: int = 3, z: float = 4.0) -> np.ndarray:
-    """True for features that confirmed examples have more or less often than other text, by z standard errors."""
+def telling(features: list[np.ndarray], positive: np.ndarray, least: int = 3, z: float = 6.0) -> np.ndarray:
+    """True for features that confirmed examples have more often than other text, by z standard errors."""
     dims, n_p, n_u = (1 << BITS) + 1, positive.sum(), (~positive).sum()
     if not n_p or not n_u:
         return np.zeros(dims, bool)
     counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, p in zip(features, positive, strict=True) if p == side)]), minlength=dims) for side in (True, False)]
     p1, p0 = counts[0] / n_p, counts[1] / n_u
     spread = np.sqrt(np.maximum((counts[0] + counts[1] + 1) / (n_p + n_u + 1), 1e-9) * (1 / n_p + 1 / n_u))
-    return (np.abs(p1 - p0) >= z * spread) & (np.maximum(counts[0], counts[1]) >= least) & (np.maximum(p1, p0) >= 1.5 * np.minimum(p1, p0))
+    return (p1 - p0 >= z * spread) & (counts[0] >= least) & (p1 >= 1.5 * p0)
 
 
 def nnpu_fit(
@@ -122,6 +122,7 @@ def nnpu_fit(
             limit = np.full(dims, l1 * 1.0)
             limit[0] = 0
             w = np.where(np.abs(z) > limit, -(z - np.sign(z) * limit) / ((0.05 + np.sqrt(n)) / alpha + l2), 0)
+            w[1:] = np.maximum(w[1:], 0)  # a feature is evidence for toxicity or none; long clean text never outweighs it
     full[known] = w
     return full
 
