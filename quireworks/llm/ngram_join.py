@@ -17,7 +17,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 256
-BLOCK = 256
+BLOCK = 96
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
