@@ -203,7 +203,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[p
         live = (weights[table] * (table > 0)).any(axis=1) if len(words) else np.zeros(0, bool)
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         keep = live[codes] if len(codes) else np.zeros(0, bool)
-        total = np.full(batch.num_rows, weights[0])
+        total = np.full(batch.num_rows, float(weights[0]))
         if keep.any():
             features = table[codes[keep]]
             pairs = np.stack([np.repeat(row[keep], features.shape[1]), features.ravel()], 1)

@@ -270,6 +270,8 @@ def test_toxicity_ignores_held_out_labels(spark, empty):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert (toxicity.fit(df, labels) == toxicity.fit(df, flipped)).all()
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+    plain = toxicity.score(docs_of(spark, [(1, "nothing of note"), (2, None)]), toxicity.fit(empty, labels)).collect()
+    assert len({r.score for r in plain}) == 1 and all(r.predicted == 0 for r in plain)
 
 
 # --- decontamination ---
