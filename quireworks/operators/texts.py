@@ -369,13 +369,19 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """Anchors as edges: page_id, pos, label, target, internal, host."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*\bhref=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
     rows = pages.select("page_id", "url", F.posexplode(tags).alias("pos", "tag"))
-    href = T.decode_entities(F.regexp_extract("tag", r"(?is)\bhref=\"([^\"]*)\"", 1))
-    label = F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace("tag", "<[^>]*>", "")), r"\s+", " "))
-    safe = T.safe_link(F.when(href.rlike("^(?i)(https?|mailto|tel):"), href))
-    path = T.resolve_path(F.lit(""), href)
-    own = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1))
-    there = F.lower(F.regexp_extract(safe, r"^[A-Za-z]+://([^/?#:]+)", 1))
-    return rows.select("page_id", "pos", label.alias("label"), F.coalesce(safe, path).alias("target"), safe.isNull().alias("internal"), F.when(safe.isNull(), own).otherwise(there).alias("host")).where("target is not null")
+    read = rows.select(
+        "page_id", "pos", F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)).alias("own"),
+        T.decode_entities(F.regexp_extract("tag", r"(?is)\bhref=\"([^\"]*)\"", 1)).alias("href"),
+        F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace("tag", "<[^>]*>", "")), r"\s+", " ")).alias("label"),
+    )
+    href = F.col("href")
+    led = read.withColumns({"safe": T.safe_link(F.when(href.rlike("^(?i)(https?|mailto|tel):"), href)), "path": T.resolve_path(F.lit(""), href)})
+    there = F.lower(F.regexp_extract("safe", r"^[A-Za-z]+://([^/?#:]+)", 1))
+    edge = F.struct(
+        "label", F.coalesce("safe", "path").alias("target"), F.col("safe").isNull().alias("internal"), F.when(F.col("safe").isNull(), F.col("own")).otherwise(there).alias("host")
+    )
+    # dropped here, because a filter would be pushed below and repeat the expressions above it
+    return led.select("page_id", "pos", F.inline(F.filter(F.array(edge), lambda e: e["target"].isNotNull())))
 
 
 def table_cells(pages: DataFrame) -> DataFrame:
