@@ -22,6 +22,7 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     if PACKAGE_HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_HOME, *[p for p in paths if p]])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_dir(spark: SparkSession) -> str:
