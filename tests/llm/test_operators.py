@@ -2,9 +2,11 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -393,6 +395,41 @@ def test_own_counts_are_left_out(spark):
     assert abs(got[50].target_loss - got[51].target_loss) < 1.0
 
 
+def test_model_counts_are_exact(spark):
+    """Losses against counts of the words themselves, with more different pairs than a fixed table of numbers keeps apart."""
+    rng = random.Random(19)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 300_000}" for _ in range(2000))) for i in range(250)]
+    rows += [(300, None), (301, rows[0][1]), (302, "Once only"), (303, "")]
+    wanted = {i for i, _ in rows if i % 3 == 0}
+    counts = {True: [Counter(), Counter(), Counter()], False: [Counter(), Counter(), Counter()]}
+    grams = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        b = [None, *w[:-1]] if w else []
+        grams[i] = (w, b, list(zip(b, w, strict=True)))
+        for c, g in zip(counts[i in wanted], grams[i], strict=True):
+            c.update(g)
+    vocabulary = len(counts[True][0] | counts[False][0]) + 1
+    totals = {m: sum(c[0].values()) for m, c in counts.items()}
+
+    def loss(i, model):
+        trained = (i in wanted) == model
+        own = [Counter(g) if trained else Counter() for g in grams[i]]
+        out = 0.0
+        for gram in zip(*grams[i], strict=True):
+            word, context, pair = (counts[model][k][g] - own[k][g] for k, g in enumerate(gram))
+            base = (word + 0.1) / (totals[model] - (len(grams[i][0]) if trained else 0) + 0.1 * vocabulary)
+            out -= math.log2((pair + 8.0 * base) / (max(context, pair) + 8.0))
+        return out / max(len(grams[i][0]), 1)
+
+    target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs_of(spark, rows), target).collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        assert got[i].n_tokens == len(grams[i][0])
+        assert abs(got[i].target_loss - loss(i, True)) < 1e-9 and abs(got[i].background_loss - loss(i, False)) < 1e-9
+
+
 # --- personal data ---
 
 PY = {
