@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import join_sized, stage
@@ -18,7 +18,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
+TERM = r"[\p{L}\p{N}]++"
+#: Repeated mentions in one text support a term only where it stands within so many code points of them
 WINDOW = 120
 SUPPORT = 2
 GENERALISE, REMOVE = 0.7, 0.9
@@ -87,6 +88,11 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
 class Spans:
     """All personal data of a table: .documents has a row per document, .terms a row per term span."""
 
@@ -103,7 +109,7 @@ class Spans:
         self.terms = self._revealing(docs, window, support, generalise, remove)
 
     def _mentions(self, window: int) -> DataFrame:
-        """A row per term near an entity: row, entity, context (a hash), term, start, end."""
+        """A row per term near an entity: entity, context (a hash), term."""
         one = (
             self.documents.where(F.size("base") > 0)
             .select("row", "text", "base", F.explode("base").alias("e"))
@@ -123,13 +129,26 @@ class Spans:
         whole = F.when(F.col("c.left"), (F.col("c.at") == 0) | (F.col("t.start") > 0)).otherwise(F.col("t.end") < window)
         start, end = F.col("c.at") + F.col("t.start"), F.col("c.at") + F.col("t.end")
         clear = ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-        return spans.where(whole & clear).select("row", "entity", "context", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
+        return spans.where(whole & clear).select("entity", "context", F.lower("t.value").alias("term"))
 
     def _revealing(self, docs: DataFrame, window: int, support: int, generalise: float, remove: float) -> DataFrame:
-        mentions, self._mentions_at = stage(self._mentions(window), "pii-mentions")
+        near, _ = stage(
+            self._mentions(window).groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"))
+            .where(F.col("contexts") >= support).select("entity", "term", F.lit(True).alias("near")), "pii-near",
+        )
+        held = self.documents.where(F.size("base") > 0).select(
+            "row", F.xxhash64("text").alias("context"), _terms(F.col("text")).alias("terms"),
+            F.explode(F.array_distinct(F.transform("base", lambda e: _entity(e["kind"], e["value"])))).alias("entity"),
+        )
+        # an entity that only one text has is given away by nothing but the terms near it
+        spread = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
+        kept = spread.select("entity").unionByName(near.select("entity")).distinct()
+        together, _ = stage(
+            join_sized(held, kept, "entity", "left_semi").select("row", "context", "entity", F.explode("terms").alias("term")), "pii-together"
+        )
         pairs = (
-            mentions.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("n_both"))
-            .where(F.col("contexts") >= support).select("entity", "term", "n_both")
+            together.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.count("*").alias("n_both"))
+            .join(near, ["entity", "term"], "left").where((F.col("contexts") >= support) | F.col("near")).select("entity", "term", "n_both")
         )
         pairs, _ = stage(pairs, "pii-pairs")
         entities = (
@@ -138,7 +157,7 @@ class Spans:
         )
         wanted = pairs.select("term").distinct()
         total = self.documents.count()
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+        words = docs.select(F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
         counts = join_sized(words, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
         both, n_e, n_t, n = F.col("n_both"), F.col("n_entity"), F.col("n_term"), F.lit(float(max(total, 1)))
         information = F.log2(n / n_e)
@@ -149,11 +168,22 @@ class Spans:
             .where(F.col("disclosure") >= generalise)
         )
         scored, _ = stage(scored.select("entity", "term", "disclosure"), "pii-terms")
+        found, _ = stage(together.join(scored, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure")), "pii-found")
+        places = self._places(found.select("row").distinct()).join(found, ["row", "term"])
+        clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
         return (
-            mentions.join(scored, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+            places.join(self.documents.select("row", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("base")), "row").where(clear).select("row", "start", "end", "term", "disclosure")
             .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
         )
 
+    def _places(self, rows: DataFrame) -> DataFrame:
+        """Every term of the documents of `rows`: row, term, start, end."""
+        pieces = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("hit"))
+        one = join_sized(self.documents.where(F.size("base") > 0), rows, "row", "left_semi").select("row", F.posexplode(pieces).alias("i", "p"))
+        length = F.length("p.hit")
+        end = F.sum(F.length("p.gap") + length).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        return one.where("p.hit is not null").select("row", F.lower("p.hit").alias("term"), (end - length).alias("start"), end.alias("end"))
+
     def combined(self) -> DataFrame:
         """documents with `found`: the sorted array of term spans (start, end, action) of those that have any."""
         per = self.terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("found"))
@@ -166,12 +196,13 @@ def personal_data(docs: DataFrame, **limits: float) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     spans lists kind:start:end (code points, end exclusive), comma-joined: first the pattern matches by kind and start,
-    then, as kind `term`, words that give an entity of the same document away.  A word within `window` characters of an
-    entity is such a term when at least `support` different contexts show both and its pointwise mutual information with
-    the entity, over documents of the whole corpus, is at least `generalise` of the entity's own information.
+    then, as kind `term`, words that give an entity of the same document away, at every place of the document.  A word of
+    a document that has an entity, of any length, is such a term when at least `support` different texts hold both (or as
+    many different contexts of `window` characters beside the entity show it) and its pointwise mutual information with the
+    entity, over documents of the whole corpus, is at least `generalise` of the entity's own information.
 
     A null text is an empty one and has no span.  Null ids and repeated rows give a row each; copies count as documents
-    but their equal contexts support a term only once.  Extra columns are ignored; an empty table gives an empty result.
+    but equal texts and contexts support a term only once.  Extra columns are ignored; an empty table gives an empty result.
     """
     written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     rows = Spans(docs, **limits).combined().withColumn("base_spans", F.transform("base", written))
