@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,15 @@ from quireworks.llm.common import prepare, stage, text_column
 LENGTH = 2048
 DIMS, BITS = 4, 8
 END = 1
-CACHED = 250_000
+#: Words that a worker's table of known words keeps
+CACHED = 1_000_000
+#: Stands between words that are encoded together; words that hold it are encoded alone
+MARK = "|"
+#: Signs in a tokenizer's file that it lowers its input, and takes letters, digits and other signs apart (fixed values)
+LOWERED = '{"type": "Lowercase"}'
+PARTED = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: ASCII punctuation after a letter or digit, up to the end of the word
+PUNCTUATED = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])[!-/:-@\[-`{-~]+$"
 #: Ids of one row between tokens and packing: rows of like size let a range sort by rows balance ids
 CHUNK = 1024
 #: Tokens that one range partition should hold
@@ -54,20 +63,35 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices first[i], first[i] + 1, ... of n[i] places, end to end."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 class WordTokenizer:
-    """Token ids of texts through a cache of words: ids of a text are those of its words one after another.
+    """Token ids of texts through a table of known words: ids of a text are those of its words one after another.
 
-    Holds for tokenizers that never merge across ASCII white space and drop it.  The cache keeps the words used last, in
-    two generations of bounded size, and lives as long as the Python worker.
+    Holds for tokenizers that never merge across ASCII white space and drop it.  Where the tokenizer's file says that it
+    lowers its input and parts letters from punctuation, words are looked up in lower case and without the punctuation at
+    their end, which is a word of its own; words that could hold a special token are left as they are.  The table keeps
+    the words used last, in columns of bounded size, and lives as long as the Python worker.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kind = np.dtype(np.uint32 if self.tokenizer.get_vocab_size() > 1 << 16 else np.uint16)
+        self.parts_words = LOWERED in json.dumps(spec.get("normalizer")) and PARTED in json.dumps(spec.get("pre_tokenizer"))
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.words = pa.array([], pa.string())
+        self.first, self.size, self.used, self.pool, self.turn = *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, self.kind), 0
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
@@ -76,52 +100,102 @@ class WordTokenizer:
             held[path] = cls(path)
         return held[path]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Encode new words, many to a call, and cut the ids at the words' places in the joined text."""
-        kind, out = np.uint32 if self.wide else np.uint16, []
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            whole = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(whole.ids, kind)
-            starts = np.array([o[0] for o in whole.offsets], np.int64)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            cuts = np.searchsorted(starts, ends, "left")
-            out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        return out
+    def _encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each word): many words to a call, a mark that none of them holds between two."""
+        plain = ~pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
+        if self.mark is None:
+            plain[:] = False
+        listed, at = words.filter(pa.array(plain)).to_pylist(), np.nonzero(plain)[0]
+        size, ids = np.zeros(len(words), np.int64), [np.zeros(0, self.kind)] * len(words) if not plain.all() else []
+        pieces = []
+        for lo in range(0, len(listed), 8192):
+            texts = [f" {MARK} ".join(listed[k : min(k + 512, lo + 8192)]) + f" {MARK}" for k in range(lo, min(lo + 8192, len(listed)), 512)]
+            pieces += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = np.concatenate([np.zeros(0, self.kind), *pieces])
+        ends = np.nonzero(whole == self.mark)[0] if self.mark is not None else np.zeros(0, np.int64)
+        size[at] = np.diff(ends, prepend=-1) - 1
+        if plain.all():
+            return whole[whole != self.mark], size
+        for i, part in zip(at, np.split(whole, ends + 1)[:-1], strict=True):
+            ids[i] = part[:-1]
+        rest = np.nonzero(~plain)[0]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, self.kind)
+            size[i] = len(ids[i])
+        return np.concatenate([np.zeros(0, self.kind), *ids]), size
+
+    def _known(self, words: pa.StringArray) -> np.ndarray:
+        """Places of the words in the table, which takes up those it did not hold."""
+        self.turn += 1
+        if len(self.words) > CACHED:
+            # the words used last stay, and so do the ids they have
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHED // 2])
+            self.pool = self.pool[_runs(self.first[keep], self.size[keep])]
+            self.words, self.size, self.used = self.words.take(pa.array(keep)), self.size[keep], self.used[keep]
+            self.first = np.cumsum(self.size) - self.size
+        place = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(place).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            ids, size = self._encode(new)
+            place[missing] = len(self.words) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.used = np.concatenate([self.used, np.full(len(new), self.turn)])
+            self.pool = np.concatenate([self.pool, ids])
+            self.words = pa.concat_arrays([self.words, new])
+        self.used[place] = self.turn
+        return place
+
+    def _parted(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """Distinct words to look up, and for each given word the places of itself and of its end among them (-1: none)."""
+        safe = pc.invert(pc.match_substring(words, "<|"))
+        lowered = pc.if_else(pc.and_(safe, pc.string_is_ascii(words)), pc.ascii_lower(words), words)
+        core = pc.if_else(safe, pc.replace_substring_regex(lowered, PUNCTUATED, r"\1"), lowered)
+        cut = pc.binary_length(core).to_numpy().astype(np.int64)
+        ended = np.nonzero(cut < pc.binary_length(lowered).to_numpy())[0]
+        ends = pa.array([w[n:].decode() for w, n in zip(lowered.take(pa.array(ended)).cast(pa.binary()).to_pylist(), cut[ended].tolist(), strict=True)], pa.string())
+        coded = pa.concat_arrays([core, ends]).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        tail = np.full(len(words), -1, np.int64)
+        tail[ended] = codes[len(words) :]
+        return coded.dictionary, codes[: len(words)], tail
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, offsets of the texts)"""
-        lists = pc.split_pattern_regex(texts, pattern="[ \t\n\r\f\x0b]+") if pc.any(pc.match_substring_regex(texts, "[\t\r\f\x0b]|  ")).as_py() else pc.split_pattern(pc.replace_substring(texts, "\n", " "), pattern=" ")
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        parts: list[bytes] = [b""] * len(words)
-        new = []
-        young, old = self.young, self.old
-        for i, w in enumerate(words):
-            got = young.get(w)
-            if got is None:
-                got = old.get(w)
-                if got is None:
-                    new.append(i)
-                    continue
-                young[w] = got
-            parts[i] = got
-        for i, got in zip(new, self._encode([words[i] for i in new]), strict=True):
-            parts[i] = got
-            if len(words[i]) <= 64:
-                young[words[i]] = got
-        if len(young) > CACHED:
-            self.old, self.young = young, {}
-        kind = np.dtype(np.uint32 if self.wide else np.uint16)
-        pool = np.frombuffer(b"".join(parts), kind)
-        size = np.array([len(p) for p in parts], np.int64) // kind.itemsize
-        first = np.cumsum(size) - size
-        codes = coded.indices.to_numpy().astype(np.int64)
-        n = size[codes]
-        total = int(n.sum())
-        index = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[codes], n)
+        words = coded.dictionary
+        if self.parts_words and len(words):
+            distinct, core, tail = self._parted(words)
+        else:
+            distinct, core, tail = words, np.arange(len(words)), np.full(len(words), -1, np.int64)
+        place = self._known(distinct)
+        first, size = self.first[place], self.size[place]
+        # each distinct word of these texts with the ids of its end behind its own
+        n_core, n_tail = size[core], np.where(tail >= 0, size[tail], 0)
+        both_first = np.stack([first[core], first[tail]], 1).ravel() if len(words) else np.zeros(0, np.int64)
+        pool = self.pool[_runs(both_first, np.stack([n_core, n_tail], 1).ravel())]
+        n_word = n_core + n_tail
+        at_word = np.cumsum(n_word) - n_word
+        codes = coded.indices.to_numpy()
+        n = n_word[codes]
         at = lists.offsets.to_numpy().astype(np.int64)
-        return pool[index], np.concatenate([[0], np.cumsum(n)])[at - at[0]]
+        return pool[_runs(at_word[codes], n)], np.concatenate([[0], np.cumsum(n)])[at - at[0]]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many bytes of text: fewer words then recur from batch to batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _projection(vocabulary: int) -> np.ndarray:
@@ -131,7 +205,7 @@ def _projection(vocabulary: int) -> np.ndarray:
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tokenizer = WordTokenizer.get(path)
     table = _projection(1 << 12)
-    for batch in batches:
+    for batch in _gathered(batches):
         ids, offsets = tokenizer(text_column(batch))
         n = len(offsets) - 1
         hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)
@@ -226,7 +300,7 @@ def pack(
     Repeated rows and null ids are packed as they are; extra columns are ignored; an empty table gives no pieces.
     """
     spark = docs.sparkSession
-    prepare(spark, 500)
+    prepare(spark)
     tokens, _ = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             lambda it: _tokenised(it, tokenizer_path, end), "doc_id long, start long, curve_key long, n_tokens long, doc_tokens long, width int, ids binary"
