@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,23 +14,24 @@ from pyspark.sql import functions as F
 PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
-    """Let Python workers import this package and keep Arrow batches small enough for very long texts."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package; where the session does not say how large Arrow batches may be, keep them
+    small enough for very long texts (one setting for all operators, made once)."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_HOME, *[p for p in paths if p]])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir (or the context's checkpoint folder) names it."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quireworks-"))
-        path = sc.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -54,13 +54,23 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_sized(df: DataFrame, other: DataFrame, on: str | list[str], how: str, bound: int = 1_000_000) -> DataFrame:
-    """Join; broadcasts `other` only if a count shows at most `bound` narrow rows, otherwise both sides are shuffled."""
-    if other.limit(bound + 1).count() <= bound:
+def join_sized(df: DataFrame, other: DataFrame, on: str | list[str], how: str, bound: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Join; broadcasts `other` only if a count shows at most `bound` rows and most_bytes, else both sides are shuffled."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in other.schema]
+    size = other.limit(bound + 1).agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(8))).alias("bytes")).first()
+    if size["n"] <= bound and (size["bytes"] or 0) <= most_bytes:
         return df.join(F.broadcast(other), on, how)
     return df.join(other.hint("merge"), on, how)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; x is uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as html_module
 import json
 import re
@@ -33,24 +35,40 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"]),
 }
-#: Words of classes, ids and roles that mark what is not main text
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|sidebar|side|widget|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|"
-    r"menu|nav|navbar|navigation|pagination|pager|masthead|header|footer|copyright|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that mark, in a class, id or role, what is not main text, and words that may stand beside them in one name
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner cookie cookies "
+    "consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe signup sidebar aside widget comment comments commentlist "
+    "disqus replies respond share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation pagination pager "
+    "masthead header footer copyright complementary contentinfo search".split()
 )
-#: Elements nested deeper than this are read as if they stood side by side
-DEEPEST = 120
+BESIDE = frozenset(
+    "site page top bottom left right global primary secondary mobile desktop fixed sticky box block bar list area container wrapper wrap inner "
+    "outer slot unit link links posts articles button buttons form user reader readers".split()
+)
+#: Elements that a name never makes noise: what holds the page or the article, headings and paragraphs
+NAMED_FREELY = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
+#: Wrappers go down so many levels; what lies deeper counts as text there.  Pages are read at any depth.
+LEVELS = 150
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][\w:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+@functools.lru_cache(10_000)
+def _noise(name: str) -> bool:
+    """Whether all parts of one class, id or role mark noise or may stand beside such a part."""
+    if re.sub(r"[\d_-]", "", name).lower() in NOISE:
+        return True
+    parts = [p.lower() for p in _PART.findall(name)]
+    return any(p in NOISE for p in parts) and all(p in NOISE or p in BESIDE or p.isdigit() for p in parts)
+
+
 def parse(page: str) -> list:
     """The page as a tree of [key, skipped, children]; a child is another element, or the text of a block (string)."""
     root: list = ["", False, []]
@@ -93,7 +111,7 @@ def parse(page: str) -> list:
             continue
         attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
-        noisy = hidden or bool(attrs) and bool(NOISE.search(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"))
+        noisy = hidden or name not in NAMED_FREELY and any(_noise(x) for a in ("class", "id", "role") for x in attrs.get(a, "").split())
         if name in RAW and not m[0].endswith("/>"):
             over = _RAW_END[name].search(page, at)
             at = over.end() if over else len(page)
@@ -106,8 +124,12 @@ def parse(page: str) -> list:
             continue
         if name in INLINE:
             # a noisy inline element: drop it with what it holds
-            over = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = over.end() if over else at
+            depth = 1
+            for tag in re.compile(rf"<(/?){name}(?![\w:-])[^>]*>", re.IGNORECASE).finditer(page, at):
+                depth += -1 if tag[1] else 1
+                if not depth:
+                    at = tag.end()
+                    break
             continue
         end_block()
         while len(names) > 1 and name in CLOSED_BY.get(names[-1], ()):
@@ -115,7 +137,7 @@ def parse(page: str) -> list:
         classes = re.sub(r"\d+", "#", ".".join(sorted(set(attrs.get("class", "").split()))))
         node = [f"{name}.{classes}" if classes else name, noisy or name in SKIPPED, []]
         stack[-1][2].append(node)
-        if not m[0].endswith("/>") and len(stack) < DEEPEST:
+        if not m[0].endswith("/>"):
             stack.append(node)
             names.append(name)
     end_block()
@@ -123,43 +145,32 @@ def parse(page: str) -> list:
 
 
 # A wrapper is a list of items [quantifier, node]; quantifiers are "1", "?", "+" and "*".  A node is ["t", text or None (a
-# slot), characters seen], ["e", key, skipped, items] or ["g", items], a group that repeats or is left out as a whole.
+# slot), characters seen], ["e", key, skipped, items] or ["g", items], a group whose items are optional and that repeats.
+# No two items of a list, groups opened, have the same key: what recurs is a repeated item or part of a repeated group.
 
 
 def _key(node: list) -> str:
-    return node[1] if node[0] == "e" else "#" if node[0] == "t" else "(" + " ".join(_key(n) for _, n in node[1]) + ")"
-
-
-def wrapper_of(children: list) -> list:
-    """The wrapper of one page's children: neighbours that repeat become one repeated item or group."""
-    items = [["1", ["t", c, len(c)] if isinstance(c, str) else ["e", c[0], c[1], wrapper_of(c[2])]] for c in children]
-    return _fold(items)
-
-
-def _fold(items: list) -> list:
-    out = items
-    for period in (1, 2, 3, 4):
-        keys = [_key(n) for _, n in out]
-        folded, i = [], 0
-        while i < len(out):
-            n = 1
-            while i + (n + 1) * period <= len(out) and keys[i + n * period : i + (n + 1) * period] == keys[i : i + period]:
-                n += 1
-            if n == 1 or period > 1 and len(set(keys[i : i + period])) == 1:
-                folded.append(out[i])
-                i += 1
-                continue
-            unit = out[i : i + period]
-            for k in range(1, n):
-                unit = align(unit, out[i + k * period : i + (k + 1) * period])
-            folded.append([_repeated(unit[0][0]), unit[0][1]] if period == 1 else ["+", ["g", unit]])
-            i += n * period
-        out = folded
-    return out
+    return ("!" if node[2] else "") + node[1] if node[0] == "e" else "#"
+
 
+def _chars(children: list) -> int:
+    """Characters of all texts below that are not skipped."""
+    total, left = 0, list(children)
+    while left:
+        c = left.pop()
+        if isinstance(c, str):
+            total += len(c)
+        elif not c[1]:
+            left += c[2]
+    return total
 
-def _repeated(q: str) -> str:
-    return "*" if q in "?*" else "+"
+
+def wrapper_of(children: list, level: int = 0) -> list:
+    """The wrapper of one page's children: what recurs becomes a repeated item or group."""
+    if level == LEVELS:
+        return [["1", ["t", None, _chars(children)]]] if children else []
+    items = [["1", ["t", c, len(c)] if isinstance(c, str) else ["e", c[0], c[1], wrapper_of(c[2], level + 1)]] for c in children]
+    return _settled(items, [])
 
 
 def _either(a: str, b: str) -> str:
@@ -170,102 +181,167 @@ def _either(a: str, b: str) -> str:
 def _merged(a: list, b: list) -> list:
     if a[0] == "t":
         return ["t", a[1] if a[1] == b[1] else None, a[2] + b[2]]
-    if a[0] == "e":
-        return ["e", a[1], a[2] or b[2], align(a[3], b[3])]
-    return ["g", align(a[1], b[1])]
+    return ["e", a[1], a[2], align(a[3], b[3])]
+
+
+def _settled(items: list, ranges: list[tuple[int, int]]) -> list:
+    """A wrapper of items and ranges (first, last) that repeat as groups: a key that recurs opens a range of its own."""
+    keys = [_key(n) for _, n in items]
+    last = {k: i for i, k in enumerate(keys)}
+    first: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        first.setdefault(k, i)
+    spans = sorted([r for r in ranges] + [(first[k], last[k]) for k in first if first[k] < last[k]])
+    out, at = [], 0
+    while spans or at < len(items):
+        if not spans or at < spans[0][0]:
+            out.append(items[at])
+            at += 1
+            continue
+        end = spans[0][1]
+        while spans and spans[0][0] <= end:
+            end = max(end, spans.pop(0)[1])
+        inside: dict[str, list] = {}
+        for (q, node), k in zip(items[at : end + 1], keys[at : end + 1], strict=True):
+            inside[k] = [_either(inside[k][0], q), _merged(inside[k][1], node)] if k in inside else [q, node]
+        if len(inside) == 1:
+            q, node = next(iter(inside.values()))
+            out.append(["*" if q in "?*" else "+", node])
+        else:
+            out.append(["*", ["g", [[_either(q, "?"), node] for q, node in inside.values()]]])
+        at = end + 1
+    return out
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper that generates what both generate: matching items merge, mismatches become optional."""
-    ka, kb = [_key(n) for _, n in a], [_key(n) for _, n in b]
-    if ka == kb:
-        return [[_either(x[0], y[0]), _merged(x[1], y[1])] for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append([_either(a[i][0], b[j][0]), _merged(a[i][1], b[j][1])])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([_either(a[i][0], "?"), a[i][1]])
-            i += 1
+def _opened(items: list) -> tuple[list, list[int]]:
+    """Items with groups opened, and for each the number of its group (-1: none)."""
+    flat, group = [], []
+    for i, (q, node) in enumerate(items):
+        if node[0] == "g":
+            flat += node[1]
+            group += [i] * len(node[1])
         else:
-            out.append([_either(b[j][0], "?"), b[j][1]])
-            j += 1
-    return _fold(out) if len(out) > 60 else out
+            flat.append([q, node])
+            group.append(-1)
+    return flat, group
 
 
-def _elements(items: list, path: tuple, skipped: bool) -> Iterator[tuple[tuple, bool, list]]:
+def align(a: list, b: list) -> list:
+    """The wrapper that generates what both generate: items in the same order merge, others become optional, and those
+    that change places become a repeated group.  Keys are distinct, so the longest common order takes n log n steps."""
+    fa, ga = _opened(a)
+    fb, gb = _opened(b)
+    ka, kb = [_key(n) for _, n in fa], [_key(n) for _, n in fb]
+    if ka == kb:
+        flat, chain = [[_either(x[0], y[0]), _merged(x[1], y[1])] for x, y in zip(fa, fb, strict=True)], []
+        place_a = place_b = list(range(len(fa)))
+    else:
+        where = {k: j for j, k in enumerate(kb)}
+        tails, tops, before = [], [], {}
+        for i, k in enumerate(ka):
+            j = where.get(k)
+            if j is None:
+                continue
+            n = bisect.bisect_left(tails, j)
+            before[i] = tops[n - 1] if n else None
+            tails[n : n + 1], tops[n : n + 1] = [j], [i]
+        chain, i = [], tops[-1] if tops else None
+        while i is not None:
+            chain.append((i, where[ka[i]]))
+            i = before[i]
+        flat, place_a, place_b, i, j = [], [0] * len(fa), [0] * len(fb), 0, 0
+        for x, y in [*reversed(chain), (len(fa), len(fb))]:
+            for i in range(i, x):
+                place_a[i] = len(flat)
+                flat.append([_either(fa[i][0], "?"), fa[i][1]])
+            for j in range(j, y):
+                place_b[j] = len(flat)
+                flat.append([_either(fb[j][0], "?"), fb[j][1]])
+            if x < len(fa):
+                place_a[x] = place_b[y] = len(flat)
+                flat.append([_either(fa[x][0], fb[y][0]), _merged(fa[x][1], fb[y][1])])
+            i, j = x + 1, y + 1
+    ranges: dict[tuple[int, int], tuple[int, int]] = {}
+    for side, (groups, place) in enumerate(((ga, place_a), (gb, place_b))):
+        for g, at in zip(groups, place, strict=True):
+            if g >= 0:
+                lo, hi = ranges.get((side, g), (at, at))
+                ranges[side, g] = min(lo, at), max(hi, at)
+    return _settled(flat, list(ranges.values()))
+
+
+def _elements(items: list, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
+    """Every element that is not skipped, with its path."""
     for _, node in items:
         if node[0] == "g":
-            yield from _elements(node[1], path, skipped)
-        elif node[0] == "e":
-            own = (*path, node[1])
-            yield own, skipped or node[2], node[3]
-            yield from _elements(node[3], own, skipped or node[2])
+            yield from _elements(node[1], path)
+        elif node[0] == "e" and not node[2]:
+            yield (*path, node[1]), node[3]
+            yield from _elements(node[3], (*path, node[1]))
 
 
-def _mass(items: list) -> int:
-    """Characters of the texts below that are not skipped."""
-    return sum(n[2] if n[0] == "t" else _mass(n[1]) if n[0] == "g" else 0 if n[2] else _mass(n[3]) for _, n in items)
+def _mass(items: list, slots: bool) -> int:
+    """Characters of the texts below that are not skipped; only of those that differ between places, if slots."""
+    return sum(
+        (0 if slots and n[1] is not None else n[2]) if n[0] == "t" else _mass(n[1], slots) if n[0] == "g" else 0 if n[2] else _mass(n[3], slots)
+        for _, n in items
+    )
 
 
-def rule_of(items: list, pages: int) -> dict:
-    """What the wrapper says about the host: the path of its main region, and paths of template texts in it."""
-    found = [(path, inner) for path, skipped, inner in _elements(items, (), False) if not skipped]
+def rule_of(items: list) -> list[str]:
+    """The path of the host's main region, as its wrapper shows it.
+
+    It is the deepest element that holds most of the text that differs (from page to page, or along a page), together with
+    a heading of the first level, one whose text differs if there is one; within an article or main element it is the whole of that, and where
+    a page has such an element elsewhere, its author's word stands: the one with the most text is the region.
+    """
+    found = list(_elements(items))
     name = lambda path: path[-1].partition(".")[0]
-    region: tuple = ()
+    slots = _mass(items, True) > 0
     for wanted in ("article", "main"):
         some = [(path, inner) for path, inner in found if name(path) == wanted and not any(p.partition(".")[0] == wanted for p in path[:-1])]
         if some:
-            region = max(some, key=lambda x: _mass(x[1]))[0]
-            break
-    else:
-        # the deepest element that still has most of the text
-        total = _mass(items)
-        for path, inner in found:
-            if len(path) > len(region) and name(path) not in CONTENT and _mass(inner) > 0.6 * total:
-                region = path
-    fixed = set()
-    if pages >= 5:
-        for path, inner in found:
-            if path[: len(region)] == region and name(path) not in CONTENT and any(n[0] == "t" and n[1] is not None for _, n in inner):
-                fixed |= {"/".join(path) + "\n" + n[1] for _, n in inner if n[0] == "t" and n[1] is not None}
-    return {"region": list(region), "fixed": sorted(fixed)}
-
-
-def extract(root: list, rule: dict) -> str:
+            return list(max(some, key=lambda x: (_mass(x[1], slots), _mass(x[1], False)))[0])
+    total = _mass(items, slots)
+    titles = [(path, inner) for path, inner in found if name(path) == "h1"]
+    titles = [path for path, _ in [x for x in titles if _mass(x[1], True)] or titles]
+    region: tuple = ()
+    for path, inner in found:
+        if len(path) > len(region) and name(path) not in CONTENT and _mass(inner, slots) > 0.6 * total and all(t[: len(path)] == path for t in titles):
+            region = path
+    return list(region)
+
+
+def extract(root: list, region: list[str]) -> str:
     """Texts of the region in page order, joined by one space."""
-    region, fixed = rule["region"], set(rule["fixed"])
     out: list[str] = []
 
-    def texts(node: list, path: list) -> None:
-        for c in node[2]:
+    def texts(node: list) -> None:
+        left = [node]
+        while left:
+            c = left.pop()
             if isinstance(c, str):
-                if not fixed or "/".join(path) + "\n" + c not in fixed:
-                    out.append(c)
-            elif not c[1]:
-                texts(c, [*path, c[0]])
+                out.append(c)
+            elif c is node or not c[1]:
+                left += reversed(c[2])
 
-    def seek(node: list, depth: int) -> bool:
+    def seek(node: list, depth: int) -> None:
         if depth == len(region):
-            texts(node, region)
-            return True
-        return any([seek(c, depth + 1) for c in node[2] if not isinstance(c, str) and c[0] == region[depth] and not c[1]])
+            texts(node)
+            return
+        for c in node[2]:
+            if not isinstance(c, str) and c[0] == region[depth] and not c[1]:
+                seek(c, depth + 1)
 
     seek(root, 0)
     return " ".join(out)
 
 
-def page_text(page: str, rule: dict | None) -> str:
+def page_text(page: str, region: list[str] | None) -> str:
     root = parse(page)
-    if rule is None or not _has(root, rule["region"]):
-        rule = rule_of(wrapper_of(root[2]), 1)
-    return extract(root, rule)
+    if region is None or not _has(root, region):
+        region = rule_of(wrapper_of(root[2]))
+    return extract(root, region)
 
 
 def _has(node: list, region: list) -> bool:
@@ -279,66 +355,69 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host from all pages of this task."""
+def _infer(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """One wrapper per host from this task's pages; at most so many are held, then they are sent and begun anew."""
     held: dict[str, list] = {}
+    salt = TaskContext.get().partitionId() % 32
+
+    def out() -> pa.RecordBatch:
+        rows = [pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(w) for w in held.values()])]
+        held.clear()
+        return pa.RecordBatch.from_arrays(rows, ["host", "salt", "wrapper"])
+
     for batch in batches:
         for own, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             items = wrapper_of(parse(page or "")[2])
-            known = held.get(own)
-            held[own] = [1, items] if known is None else [known[0] + 1, align(known[1], items)]
-    salt = TaskContext.get().partitionId() % 32
-    for lo in range(0, len(held), 500):
-        some = list(held.items())[lo : lo + 500]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in some]), pa.array([salt] * len(some), pa.int32()), pa.array([w[0] for _, w in some], pa.int64()), pa.array([json.dumps(w[1]) for _, w in some])],
-            ["host", "salt", "pages", "wrapper"],
-        )
+            held[own] = align(held[own], items) if own in held else items
+        if len(held) >= most:
+            yield out()
+    if held:
+        yield out()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Align the wrappers of each key; rows come sorted by it, and one wrapper is held at a time."""
-    key, pages, items = None, 0, None
+    key, items = None, None
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([pages], pa.int64()), pa.array([json.dumps(items)])], ["host", "salt", "pages", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([json.dumps(items)])], ["host", "salt", "wrapper"])
 
     for batch in batches:
-        for h, s, n, w in zip(*[batch.column(c).to_pylist() for c in ("host", "salt", "pages", "wrapper")], strict=True):
+        for h, s, w in zip(*[batch.column(c).to_pylist() for c in ("host", "salt", "wrapper")], strict=True):
             if key != (h, s):
                 if key is not None:
                     yield out()
-                key, pages, items = (h, s), n, json.loads(w)
+                key, items = (h, s), json.loads(w)
             else:
-                pages, items = pages + n, align(items, json.loads(w))
+                items = align(items, json.loads(w))
     if key is not None:
         yield out()
 
 
-WRAPPER = "host string, salt int, pages long, wrapper string"
+WRAPPER = "host string, salt int, wrapper string"
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """A wrapper per host: host, pages, wrapper (JSON).
+    """A wrapper per host: host, wrapper (JSON).
 
     Every task aligns its own pages, so a host with very many pages is not gathered anywhere; wrappers, whose size is
     that of the template, are then aligned in two rounds, first 32 parts of each host, then the parts.
     """
-    prepare(pages.sparkSession, 500)
+    prepare(pages.sparkSession)
     local = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_infer, WRAPPER)
     parts = local.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_merge, WRAPPER)
     whole = parts.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, WRAPPER)
-    return whole.select("host", "pages", "wrapper")
+    return whole.select("host", "wrapper")
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rules = [json.dumps(rule_of(json.loads(w), n)) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+        rules = [json.dumps(rule_of(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rules, pa.string())], ["host", "rule"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[str, list[str] | None] = {}
     for batch in batches:
         texts = []
         for page, rule in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), strict=True):
@@ -356,11 +435,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    The wrapper of the page's host tells where the main region is (an article, else a main element, else the deepest
-    element with most of the text over all pages) and which texts outside paragraphs are the same on all pages.  Blocks
-    of the region are read whole, without navigation, headers, footers, asides, forms, scripts, hidden elements and what
-    classes name as adverts, notices, sidebars or comments; character references are decoded, white space in a block is one
-    space, and blocks are joined by one.  A page without the host's region is read by its own.  A null or empty html has
+    The wrapper of the page's host tells where the main region is: an article or main element where the pages have one,
+    else the deepest element with most of the text that differs between pages (see rule_of).  How many pages a host has,
+    and whether pages are copies of each other, changes nothing else.  Blocks of the region are read whole, at any depth,
+    without navigation, headers, footers, asides, forms, scripts, hidden elements and what a class, id or role names as an
+    advert, notice, sidebar or comment; character references are decoded, white space in a block is one space, and blocks
+    are joined by one.  A page without the host's region is read by its own.  A null or empty html has
     an empty text; pages with a null or odd url share a host of their own; null ids and repeated rows pass through; extra
     columns are ignored; an empty table gives an empty result.
     """

@@ -209,7 +209,7 @@ class Archive:
         Extra columns are ignored; an empty table gives an empty archive.
         """
         spark = pages.sparkSession
-        prepare(spark, 500)
+        prepare(spark)
         folder = _uri(folder or new_path(spark, "warc"))
         rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
         digests = rows.select("page_id", "html").mapInArrow(_payload_digests, "page_id long, digest string")

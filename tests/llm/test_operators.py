@@ -117,11 +117,54 @@ def test_wrappers_find_repeats_and_optionals():
     assert shape == [("1", "ul"), ("?", "h2"), ("1", "p")]
     assert both[0][1][3][0][0] == "+" and both[0][1][3][0][1][3][0][1][1] is None  # li repeats, its text is a slot
     assert both[2][1][3][0][1][1] == "x"  # the same on both pages: fixed text
+    # what changes places becomes a repeated group, and the wrapper stays as long as there are kinds of elements
+    rng = random.Random(5)
+    kinds = [[rng.choice(["p", "h2", "ul", "pre"]) for _ in range(30)] + ["p", "h2", "ul", "pre", "p"] for _ in range(40)]
+    pages = ["".join(f"<{k}>x</{k}>" for k in page) for page in kinds]
+    whole = html_extract.wrapper_of(html_extract.parse(pages[0])[2])
+    for page in pages[1:]:
+        whole = html_extract.align(whole, html_extract.wrapper_of(html_extract.parse(page)[2]))
+    assert [(q, n[0]) for q, n in whole] == [("*", "g")] and len(whole[0][1][1]) == 4
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 50])
+def test_copies_of_a_page_change_nothing(spark, copies):
+    page = "<body><nav>Menu</nav><article><div class='lead'>Lead text</div><p>Body</p><section>More</section></article></body>"
+    df = spark.createDataFrame([(i, "http://h.org/a", page) for i in range(copies)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.main_text(df).collect()} == {"Lead text Body More"}
+
+
+def test_hosts_without_article(spark):
+    """The wrapper alone shows the main region: where the text differs from page to page, with the page's heading."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(30):
+        title, body = f"Title {i}", [prose(rng, 20) for _ in range(rng.randrange(1, 4))]
+        promo = "<div class='box'>Read our other sites, all of which are very good and quite long to name here.</div>" if i % 2 else ""
+        main = f"<div class='content'><h1>{title}</h1><div class='text'>{''.join(f'<p>{b}</p>' for b in body)}</div></div>"
+        rows.append((i, "http://plain.org/%d" % i, f"<body class='has-sidebar'><div class='top'>Plain Org</div>{promo}{main}<div class='box'>All rights are ours</div></body>"))
+        want[i] = " ".join([title, *body])
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_names_in_an_article():
+    page = (
+        "<body class='single no-sidebar'><article class='post header-fixed'><h2 id='related-work'>W</h2><div class='side-effects'>Drug</div>"
+        "<p id='search-algorithms'>P</p><div class='search-results'>R</div><div class='ad-slot-1'>x</div><div id='sideBar'>x</div>"
+        "<div class='cookie-notice'>x</div><section id='comments'><p>x</p></section>a<span class='ad'>x<span>x</span>x</span>b</article></body>"
+    )
+    assert html_extract.page_text(page, None) == "W Drug P R ab"
 
 
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "text" + "</div>" * 3
     assert html_extract.page_text(deep, None) == "text"
+    for n in (120, 200, 3000):
+        assert html_extract.page_text("<div>" * n + "<nav>MENU</nav>main" + "</div>" * n, None) == "main"
+    wide = "<div>" + "".join(f"<h2>{i}</h2><p>a</p><p>b</p>" for i in range(20_000)) + "</div>"
+    assert html_extract.page_text(wide, None) == " ".join(f"{i} a b" for i in range(20_000))
+    assert len(html_extract.align(html_extract.wrapper_of(html_extract.parse(wide)[2]), html_extract.wrapper_of(html_extract.parse(wide + wide)[2]))) == 1
     assert html_extract.page_text("<p>a < b & c &unknown; <b", None).startswith("a < b & c")
 
 
