@@ -40,9 +40,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quireworks/{name}-{uuid.uuid4().hex}"
 
 
+#: Staged tables of this process that nobody has discarded yet
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What a returned result still reads stays until discard() or discard_since() is told.
+    """
     path = new_path(df.sparkSession, name)
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -52,6 +60,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in STAGED:
+            STAGED.remove(path)
+
+
+def discard_since(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Delete what was staged since len(STAGED) was mark, but for the tables to keep."""
+    discard(spark, *[p for p in STAGED[mark:] if p not in keep])
 
 
 def join_sized(df: DataFrame, other: DataFrame, on: str | list[str], how: str, bound: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:

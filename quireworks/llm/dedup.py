@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import discard, new_path, stage
+from quireworks.llm.common import discard, free_name, new_path, stage
 
 
 def normalised(text: Column) -> Column:
@@ -18,65 +18,95 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """SHA-256 digests seen so far with the id that stays, as a table bucketed and sorted by digest.
 
-    The number of buckets (the session's shuffle partitions where none is given) is fixed when the index is made.  The table lives at `path` (a folder all executors see) and outlives the session: opening the same path again finds
-    the digests of earlier batches.  `add` joins a batch's digests to it by sort-merge anti-join without shuffling the
-    index, and appends only the new ones.
+    The table lives at `path` (a folder all executors see) and outlives the session: opening the same path again, in any
+    session, finds the digests of earlier batches.  The number of buckets is fixed when the index is made (the session's
+    shuffle partitions where none is given) and kept beside it, at `path`.layout; asking for another number later is an
+    error.  `add` joins a batch's digests to the index by sort-merge anti-join without shuffling the index, and appends
+    only the new ones.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = self._layout()
+        if made and buckets and made != buckets:
+            raise ValueError(f"the index at {path} has {made} buckets, not {buckets}")
+        if not made:
+            made = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(made).alias("buckets")).coalesce(1).write.parquet(f"{path}.layout")
+        self.buckets = made
         self.table = f"digest_index_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {made} BUCKETS LOCATION '{path}'"
         )
 
+    def _layout(self) -> int | None:
+        """The number of buckets the index was made with; None where there is no index yet."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.layout/_SUCCESS")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.parquet(f"{self.path}.layout").first()["buckets"]
+
     def digests(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Delete the index with its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(self.spark, self.path, f"{self.path}.layout")
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch: one row per (id, text) with keep_id, group_size, kept and text_sha256.
 
         Of equal texts the one already in the index stays, else the smallest id of the batch; group_size counts the
-        batch's documents with that text.  Rows that repeat an id and a text are one document (n_rows counts them).  A null text is an empty
-        one, and empty texts equal each other.  A null id sorts after every number and is kept only if it is alone.
-        Extra columns are ignored.  An empty batch gives an empty result.
+        batch's documents with that text.  Rows that repeat an id and a text are one document (n_rows counts them).  A
+        null text is an empty one, and empty texts equal each other.  A null id sorts after every number and is kept
+        only if it is alone.  Extra columns are ignored.  An empty batch gives an empty result.  A batch that is added
+        again (as after a failed job) appends nothing and gets the same answer.
         """
         spark = self.spark
         seen = docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")
         ).groupBy("digest", "doc_id").agg(F.count("*").alias("n_rows"))
-        seen, _ = stage(seen, "digests")
+        seen, seen_at = stage(seen, "digests")
         groups = seen.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         groups, groups_at = stage(groups, "digest-groups")
         known = self.digests().select("digest", F.col("keep_id").alias("known_id"))
         fresh = groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id")
         fresh.write.insertInto(self.table)
         settled = groups.select("digest", "group_size").join(self.digests().hint("merge"), "digest")
-        settled, _ = stage(settled, "digest-settled")
-        discard(spark, groups_at)
+        settled, settled_at = stage(settled, "digest-settled")
         # both sides are plain exchanges here, so that a digest with very many copies can be split
-        out = seen.join(settled, "digest")
-        return out.select(
+        out = seen.join(settled, "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"), "n_rows",
         )
+        out, _ = stage(out, "digest-answer")
+        discard(spark, seen_at, groups_at, settled_at)
+        return out
 
 
 def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Deduplicate `docs` (doc_id, text) against the index at index_path, a new one where none is given."""
+    """Deduplicate `docs` (doc_id, text) against the index at index_path; where none is given, among themselves, by an
+    index that is deleted again.  Nulls, repeated rows and empty tables: see DigestIndex.add."""
     spark = docs.sparkSession
-    return DigestIndex(spark, index_path or new_path(spark, "digest-index"), buckets).add(docs)
+    if index_path:
+        return DigestIndex(spark, index_path, buckets).add(docs)
+    index = DigestIndex(spark, new_path(spark, "digest-index"), buckets)
+    out = index.add(docs)
+    index.drop()
+    return out
 
 
 def drop_copies(docs: DataFrame, index_path: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat an id and a text, one stays."""
+    """The documents that stay, with all their columns, whatever their names; of rows that repeat an id and a text, one
+    stays.  Nulls and empty tables: see DigestIndex.add."""
     keep = exact_dedup(docs, index_path).where("kept").select("doc_id", "text_sha256", "n_rows")
-    keep, _ = stage(keep, "kept")
-    side = keep.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    mine = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    out = mine.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
+    sha = free_name(docs, "sha")
+    mine = docs.withColumn(sha, F.sha2(normalised(docs["text"]), 256))
+    same_id, same_text = free_name(mine, "kept_id"), free_name(mine, "kept_sha")
+    side = keep.select(F.col("doc_id").alias(same_id), F.col("text_sha256").alias(same_text))
+    out = mine.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(same_id)) & (F.col(sha) == F.col(same_text)), "left_semi")
     if not keep.where("n_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__sha"])
-    return out.drop("__sha")
+        out = out.dropDuplicates(["doc_id", sha])
+    return out.drop(sha)
