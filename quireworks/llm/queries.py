@@ -51,8 +51,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.Archive.write(table(spark, sf_dir, "pages"))
-    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.Archive.write(pages)
+    return archive.records(archive.lookup(pages.select("url"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

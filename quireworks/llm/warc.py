@@ -6,6 +6,7 @@ import base64
 import bisect
 import hashlib
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,22 @@ BLOCK_LINES = 3000
 NAMESPACE = uuid.UUID("8f0d2a2e-9d53-4a4c-8f5e-2f4d9f0f6a11")
 
 
+_CONTROLS = re.compile("[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
+def escaped_url(url: str | None) -> str:
+    """The URL with control characters, line ends of any kind and blanks percent-encoded, as they end a header or a line."""
+    return _CONTROLS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
+
+
 def url_key(url: str | None) -> str:
     """The reversed-host sort key of a URL: com,example,www)/path?query, lower-case host, no scheme, port or fragment."""
+    url = escaped_url(url)
     try:
-        parts = urlsplit(url or "")
+        parts = urlsplit(url)
         host = parts.hostname or ""
     except ValueError:
-        return ")" + (url or "")
+        return ")" + url
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return ",".join(reversed(host.split("."))) + ")" + path
 
@@ -57,7 +67,7 @@ def build_record(page_id: int | None, url: str, digest: str, payload: bytes, ref
     """One gzip member with a response or revisit record; a revisit has no payload, and says how long it would be."""
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Target-URI: {''.join(c for c in url if c not in '\r\n')}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Target-URI: {escaped_url(url)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
@@ -132,7 +142,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> Itera
     while some := list(itertools.islice(rows, lines)):
         if sink is None:
             sink = _open(path, "w")[2]
-        text = "".join("\t".join([k.replace("\t", "%09").replace("\n", "%0A"), "" if p is None else str(p), f, str(a), str(n)]) + "\n" for k, p, f, a, n in some)
+        text = "".join("\t".join([k, "" if p is None else str(p), f, str(a), str(n)]) + "\n" for k, p, f, a, n in some)
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         raw = z.compress(text.encode()) + z.flush()
         sink.write(raw)
@@ -145,22 +155,71 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> Itera
         sink.close()
 
 
-def _block_lines(path: str, at: int, length: int) -> Iterator[list[str]]:
+def _block_lines(path: str, at: int, length: int) -> list[list[str]]:
     with _open(path, "r")[2] as source:
         source.seek(at)
-        for line in zlib.decompress(source.read(length), 31).decode().splitlines():
-            yield line.split("\t")
+        return [line.split("\t") for line in zlib.decompress(source.read(length), 31).decode().split("\n")[:-1]]
 
 
 CAPTURE = "url_key string, page_id long, file string, at long, length long"
 
 
+def _capture_batch(columns: list) -> pa.RecordBatch:
+    numbers = [pa.array([int(x) if x else None for x in columns[k]], pa.int64()) for k in (1, 3, 4)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), numbers[0], pa.array(columns[2], pa.string()), *numbers[1:]], ["url_key", "page_id", "file", "at", "length"])
+
+
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, at, length in zip(*[batch.column(c).to_pylist() for c in ("file", "at", "length")], strict=True):
             rows = list(zip(*_block_lines(path, at, length), strict=True))
-            numbers = [pa.array([int(x) if x else None for x in rows[k]], pa.int64()) for k in (1, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), numbers[0], pa.array(rows[2]), numbers[1], numbers[2]], ["url_key", "page_id", "file", "at", "length"])
+            yield _capture_batch(rows)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], first: list[str], last: list[str]) -> Iterator[pa.RecordBatch]:
+    """The key of each URL with every index file that may hold it, by binary search in the files' first and last keys."""
+    for batch in batches:
+        rows = []
+        for url in batch.column("url").to_pylist():
+            key = url_key(url)
+            rows += [(key, part) for part in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["key", "part"])
+
+
+WANTED = "key string, file string, at long, length long"
+
+
+def _directory_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part, its directory rows (in order) before the wanted keys: each key's blocks, by binary search."""
+    held, first, last, rows, closed = None, [], [], [], False
+    for batch in batches:
+        found = []
+        for part, key, last_key, file, at, length in zip(*[batch.column(c).to_pylist() for c in ("part", "key", "last_key", "file", "at", "length")], strict=True):
+            if part != held:
+                held, first, last, rows = part, [], [], []
+            if last_key is not None:
+                first.append(key)
+                last.append(last_key)
+                rows.append((file, at, length))
+            else:
+                found += [(key, *rows[i]) for i in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key))]
+        if found:
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["key", "file", "at", "length"])
+
+
+def _block_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wanted keys sorted by block: each block is range-read once, and its lines are searched by bisection."""
+    held, have, lines = None, [], []
+    for batch in batches:
+        found = []
+        for key, *block in zip(*[batch.column(c).to_pylist() for c in ("key", "file", "at", "length")], strict=True):
+            if block != held:
+                held, lines = block, _block_lines(*block)
+                have = [line[0] for line in lines]
+            found += lines[bisect.bisect_left(have, key) : bisect.bisect_right(have, key)]
+        if found:
+            yield _capture_batch(list(zip(*found, strict=True)))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +265,7 @@ class Archive:
         Of rows with equal payloads of at least min_revisit_bytes, those with the largest page_id are responses and the
         others revisits that refer to it; smaller payloads are responses.  A null html is an empty payload, a null url an
         empty one.  A null page_id is smaller than any number.  Rows that repeat a page_id get a record each.
-        Extra columns are ignored; an empty table gives an empty archive.
+        Extra columns are ignored; an empty table gives an empty archive.  Control characters of URLs are percent-encoded.
         """
         spark = pages.sparkSession
         prepare(spark)
@@ -219,7 +278,9 @@ class Archive:
         marked = join_sized(with_digest, keep, "digest", "left", bound=2_000_000)
         marked = marked.withColumn("keep", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit_bytes, F.col("keep")))
         written, _ = stage(marked.select("page_id", "url", "html", "digest", "keep").mapInArrow(lambda it: _write(it, f"{folder}/archive"), CAPTURE), "captures")
-        parts = max(1, min(200, -(-written.count() // (block_lines * 8))))
+        # small archives get files of 8 blocks; beyond 200 files these grow, up to 512 blocks, and then their number
+        n_lines = written.count()
+        parts = max(1, min(200, -(-n_lines // (block_lines * 8))), -(-n_lines // (block_lines * 512)))
         ordered = written.repartitionByRange(parts, "url_key", "page_id", "at").sortWithinPartitions("url_key", "page_id", "at")
         directory, _ = stage(
             ordered.mapInArrow(lambda it: _blocks(it, f"{folder}/index", block_lines), "first_key string, last_key string, file string, at long, length long, captures long"),
@@ -238,15 +299,22 @@ class Archive:
         dealt = chosen.select("file", "at", "length").repartition("file", F.floor(F.col("at") / (8 << 20)))
         return dealt.sortWithinPartitions("file", "at").mapInArrow(_read, RECORD)
 
-    def lookup(self, urls: list[str]) -> DataFrame:
-        """Captures of a few URLs: binary search in the directory, then one range read per block that may hold them."""
-        keys = sorted({url_key(u) for u in urls})
-        within = F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key")))
+    def lookup(self, urls: DataFrame | list[str]) -> DataFrame:
+        """The captures of URLs (a column `url`, or a list), each once: url_key, page_id, file, at, length.
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _captures(batches):
-                have = batch.column("url_key").to_pylist()
-                hits = [i for k in keys for i in range(bisect.bisect_left(have, k), bisect.bisect_right(have, k))]
-                yield batch.take(pa.array(hits, pa.int64()))
-
-        return self.directory.where(within).select("file", "at", "length").mapInArrow(search, CAPTURE)
+        A binary search in the index files' first and last keys (one short row per file of up to 512 blocks), one in the
+        sorted directory rows of that file, then one range read per block that may hold a wanted key and a binary search
+        in its lines.  Null URLs are empty ones, repeated ones count once, unknown ones find nothing.
+        """
+        if isinstance(urls, list):
+            urls = self.spark.createDataFrame([(u,) for u in urls], "url string")
+        files = self.directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last", "file").collect()
+        first, last = [f["first"] for f in files], [f["last"] for f in files]
+        keys = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(lambda it: _keyed(it, first, last), "key string, part int").distinct()
+        number = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f["file"], i)]), F.col("file")) if files else F.lit(0)
+        rows = self.directory.select("first_key", "last_key", "file", "at", "length", number.cast("int").alias("part"))
+        both = rows.withColumnRenamed("first_key", "key").unionByName(keys, allowMissingColumns=True)
+        by_part = both.repartition("part").sortWithinPartitions("part", F.col("last_key").isNull(), "key", "last_key", "at")
+        wanted = by_part.select("part", "key", "last_key", "file", "at", "length").mapInArrow(_directory_search, WANTED)
+        by_block = wanted.repartition("file", "at").sortWithinPartitions("file", "at", "key")
+        return by_block.select("key", "file", "at", "length").mapInArrow(_block_search, CAPTURE)
