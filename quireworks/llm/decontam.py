@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import mix64, prepare, text_column, word_hashes
+from quireworks.llm.common import free_name, mix64, prepare, text_column, word_hashes
 
 #: 1: the word counts, 0: it is ignored
 MASKS = ("11011", "1101011", "10110011", "110010101")
@@ -139,6 +139,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without an overlap, all their columns; rows with a null id stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__hit"), "left_anti")
+    """Documents without an overlap, with all their columns, whatever their names.
+
+    A document goes if any row of its id has an overlap; rows with a null id stay.  Null and empty texts stay, repeated
+    rows share their fate, an empty benchmark keeps every document and an empty table is an empty result.
+    """
+    hit = free_name(docs, "hit")
+    found = contaminated(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(hit), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import discard, mix64, prepare, shingle_hashes, stage, text_column, word_hashes
+from quireworks.llm.common import discard, free_name, mix64, prepare, shingle_hashes, stage, text_column, word_hashes
 from quireworks.llm.graph import connected_components
 
 WIDTH = 5
@@ -220,7 +220,12 @@ def near_duplicates(
 
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Documents with only the smallest id of each class of near duplicates; rows with a null id stay."""
+    """Documents with only the smallest id of each class of near duplicates, with all their columns, whatever their names.
+
+    Rows with a null id stay, and so do repeated rows of an id that stays; an id with several texts stays if it is the
+    smallest of one of their classes.  An empty table gives an empty result.
+    """
     classes = near_duplicates(docs, threshold, width)
-    drop = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    one = free_name(docs, "dropped_id")
+    drop = classes.groupBy(F.col("doc_id").alias(one)).agg(F.min(F.col("class_id") < F.col("doc_id")).alias("other")).where("other").select(one)
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col(one), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import prepare, split_words, string_hashes, text_column
+from quireworks.llm.common import free_name, prepare, split_words, string_hashes, text_column
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -228,7 +228,11 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents scored below the threshold, all their columns, without a shuffle of the texts' rows."""
+    """Documents scored below the threshold, with all their columns, whatever their names; texts are not shuffled.
+
+    Null and empty texts get the score of the bias alone; null ids and repeated rows are scored each; an empty table
+    gives an empty result.
+    """
     weights = fit(docs, labels).astype(np.float32)
     prepare(docs.sparkSession)
 
@@ -237,4 +241,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string())], ["doc_id", "text"])
         return next(_score(iter([batch]), weights)).column("score").to_pandas()
 
-    return docs.withColumn("__score", of("text")).where(F.col("__score") < threshold).drop("__score")
+    name = free_name(docs, "score")
+    return docs.withColumn(name, of("text")).where(F.col(name) < threshold).drop(name)

@@ -73,6 +73,38 @@ def test_index_takes_batches(spark):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_index_in_another_session(spark):
+    """The bucket count is the index's own: another session with other shuffle partitions finds every digest."""
+    path = common.new_path(spark, "index-test")
+    docs = docs_of(spark, [(i, f"text {i}") for i in range(200)])
+    first = {r.doc_id: r for r in dedup.DigestIndex(spark, path, 8).add(docs).collect()}
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "3")
+    other.sql(f"DROP TABLE IF EXISTS {dedup.DigestIndex(spark, path).table}")  # as where the catalog does not outlive a session
+    index = dedup.DigestIndex(other, path)
+    assert index.buckets == 8
+    later = other.createDataFrame([(1000 + i, f"text  {i}") for i in range(200)], "doc_id long, text string")
+    assert index.add(later).where("kept").count() == 0 and index.digests().count() == 200
+    # a batch that is added again appends nothing and gets the same answer
+    assert {r.doc_id: r for r in dedup.DigestIndex(spark, path).add(docs).collect()} == first and index.digests().count() == 200
+    with pytest.raises(ValueError):
+        dedup.DigestIndex(spark, path, 3)
+    index.drop()
+
+
+@pytest.mark.parametrize("helper", ["__id", "__digest", "__sha", "sha", "kept_id", "kept_sha", "HIT", "hit", "dropped_id", "Score", "__score", "__drop", "__hit"])
+def test_columns_with_the_names_of_helpers(spark, helper):
+    df = spark.createDataFrame([(1, "a b c", 7), (2, "a  b c", 8), (3, "d", 9)], f"doc_id long, text string, `{helper}` int")
+    labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    if "s" in helper.lower():
+        steps = [lambda d: dedup.drop_copies(d), lambda d: toxicity.drop_toxic(d, labels)]
+    else:
+        steps = [lambda d: ngram_join.one_per_class(d), lambda d: decontam.drop_contaminated(d, bench)]
+    for step in steps:
+        out = step(df)
+        assert out.columns == df.columns and {r[0]: r[2] for r in out.collect()}.items() <= {1: 7, 2: 8, 3: 9}.items()
+
+
 def test_drop_copies_keeps_columns(spark, edge):
     kept = dedup.drop_copies(edge)
     assert kept.columns == edge.columns
@@ -367,10 +399,25 @@ def test_warc(spark, tmp_path):
     assert len(blocks) > 3 and all(a.last_key <= b.first_key for a, b in zip(blocks, blocks[1:], strict=False))
     assert warc.url_key("http://www.Example.com/a?b") == "com,example,www)/a?b"
     assert warc.Archive.write(df.limit(0), str(tmp_path / "e")).records().count() == 0
+    everything = archive.records(archive.lookup(df.select("url"))).collect()
+    assert sorted(map(str, everything)) == sorted(map(str, got.values()))
     small = warc.Archive.write(df, str(tmp_path / "s"), min_revisit_bytes=1).records()
     assert {r.record_type for r in small.where("page_id in (100, 101)").collect()} == {"response"}
 
 
+def test_warc_urls_with_controls(spark, tmp_path):
+    signs = "\x00\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u2028\u2029"
+    rows = [(i, f"http://h.org/a{c}b", "x") for i, c in enumerate(signs)] + [(50 + k, "http://h.org/same", str(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archive = warc.Archive.write(df, str(tmp_path / "c"), block_lines=3)
+    found = archive.records(archive.lookup(df.select("url"))).collect()
+    assert sorted(r.page_id for r in found) == sorted(r[0] for r in rows)
+    # one key over many blocks
+    assert sorted(r.page_id for r in archive.lookup(["http://h.org/same"]).collect()) == list(range(50, 90))
+    assert archive.lookup(["http://h.org/a\u2028b", "http://h.org/none", None]).count() == 1
+    assert warc.Archive.write(df.limit(0), str(tmp_path / "n")).lookup(["http://h.org/same"]).count() == 0
+
+
 # --- packing ---
 
 
