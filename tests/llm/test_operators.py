@@ -364,9 +364,9 @@ def test_decontamination(spark, edge, empty):
         for k in range(3, len(w), 7):
             w[k] = "changed"
         rows.append((i, prose(rng, 40) + " " + (" ".join(w) if i % 2 else t.upper()) + " " + prose(rng, 30)))
-    rows += [(100 + i, prose(rng, 150)) for i in range(40)] + [(200, "so seven words that stand on their own too"), (201, None)]
-    got = decontam.contaminated(docs_of(spark, rows), bench, block_chars=500).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(20)} | {(200, 53)}
+    rows += [(100 + i, prose(rng, 150)) for i in range(40)] + [(200, "so seven words that stand on their own too"), (201, None), (202, "These are JUST three words here")]
+    got = decontam.contaminated(docs_of(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(20)} | {(200, 53), (202, 52)}
     for r in got:
         if r.doc_id < 20:
             assert r.doc_start - r.item_start == 40 and r.identity >= 0.8
@@ -376,6 +376,58 @@ def test_decontamination(spark, edge, empty):
     assert decontam.contaminated(edge, bench).count() == 0
 
 
+def brute_overlaps(text, item, min_words=12, identity=0.8):
+    """The most equal words of any overlap that passes, over every shift, start and end."""
+    d, w, best = text.lower().split(), item.lower().split(), 0
+    for shift in range(-len(w) + 1, len(d)):
+        same = [0 <= k + shift < len(d) and d[k + shift] == w[k] for k in range(len(w))]
+        for a in range(len(w)):
+            m = 0
+            for b in range(a, len(w)):
+                if not 0 <= b + shift < len(d):
+                    if b + shift >= len(d):
+                        break
+                    m = -10_000
+                m += same[b]
+                if m >= min(min_words, len(w)) and m >= identity * (b - a + 1):
+                    best = max(best, m)
+    return best
+
+
+def test_overlaps_against_every_alignment(spark):
+    rng = random.Random(31)
+    items = [(i, " ".join(rng.choice(WORDS[:60]) for _ in range(rng.randrange(1, 26)))) for i in range(40)]
+    rows = []
+    for i in range(120):
+        item = rng.choice(items)[1].split()
+        a = rng.randrange(len(item))
+        part = [w if rng.random() > rng.choice([0, 0.1, 0.25]) else "new" for w in item[rng.choice([0, a]) :]]
+        rows.append((i, " ".join([rng.choice(WORDS[:60]) for _ in range(rng.randrange(12))] + part + [rng.choice(WORDS[:60]) for _ in range(rng.randrange(12))])))
+    want = {(i, j): m for i, t in rows for j, x in items if (m := brute_overlaps(t, x))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matches for r in decontam.contaminated(docs_of(spark, rows + rows[:5]).repartition(6), bench).collect()}
+    # every overlap found is one; seeds find all that have the words, but for overlaps whose equal words lie too far apart
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 60
+    assert all(got[k] <= want[k] for k in got)
+
+
+@pytest.mark.parametrize(("words", "changed"), [(12, 0), (14, 2), (15, 3), (20, 4)])
+def test_masks_bridge_every_placement(words, changed):
+    from itertools import combinations
+
+    for places in combinations(range(words), changed):
+        same = [i not in places for i in range(words)]
+        assert any(all(same[a + k] for k, bit in enumerate(mask) if bit == "1") for mask in decontam.MASKS for a in range(words - len(mask) + 1))
+
+
+def test_benchmark_phrases_of_many_items(spark):
+    """A phrase that many items and documents share: every pair is found, whatever the number."""
+    phrase = "which of the following statements about the given passage is the most likely to be true"
+    bench = spark.createDataFrame([(i, f"{phrase} w{i} end") for i in range(150)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x{i} {phrase} y{i}") for i in range(200)], "doc_id long, text string")
+    assert decontam.contaminated(docs, bench).count() == 150 * 200
+
+
 # --- WARC ---
 
 
