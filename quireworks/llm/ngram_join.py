@@ -73,7 +73,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
         take = pa.array(row, mask=row < 0)
         digests = pa.Array.from_buffers(pa.binary(16), int(full.sum()), [None, pa.py_buffer(np.ascontiguousarray(whole.T))])
         lists = pa.ListArray.from_arrays(np.arange(full.sum() + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), digests.cast(pa.binary()).take(take), lists.take(take)], ["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), digests.cast(pa.binary()).take(take), lists.take(take)], ["doc_id", "text_hash", "digest", "bands"])
 
 
 class _Block:
@@ -124,7 +124,7 @@ class _Block:
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Batches sorted by unit; each unit holds the candidates of one component, or one pair of its blocks."""
-    unit, block = None, _Block(threshold)
+    unit, last, block = None, None, _Block(threshold)
 
     def flush() -> pa.RecordBatch:
         ids, counts, roots = block.links()
@@ -134,14 +134,16 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
         words, offsets = word_hashes(text_column(batch))
         shingles, at = shingle_hashes(words, offsets, width)
         units, ids = batch.column("unit").to_pylist(), batch.column("doc_id").to_pylist()
-        sides, copies = batch.column("side").to_pylist(), batch.column("copies").to_pylist()
+        sides, copies, texts = batch.column("side").to_pylist(), batch.column("copies").to_pylist(), batch.column("text_hash").to_pylist()
         lists = batch.column("bands")
         keys = lists.flatten().to_numpy().reshape(len(ids), -1)
         for i, u in enumerate(units):
             if u != unit and block.rows:
                 yield flush()
                 block = _Block(threshold)
-            unit = u
+            if (u, ids[i], texts[i]) == last:
+                continue  # a row that repeats an id and a text
+            unit, last = u, (u, ids[i], texts[i])
             block.rows.append((ids[i], sides[i], copies[i], keys[i].copy(), np.unique(shingles[at[i] : at[i + 1]])))
     if block.rows:
         yield flush()
@@ -156,48 +158,66 @@ def near_duplicates(
     One row per document: doc_id, class_id (smallest id of the connected component), n_links (documents it is similar
     to, exact copies counted one by one), class_size.  Words are maximal runs without white space, in lower case; a
     text of fewer than `width` words has one n-gram, all its words; texts without words (null, empty, blank) and
-    documents without a partner are classes of their own with no link.  Ids must be unique and not null for links to
-    count them apart; rows with a null id are left out.  Extra columns are ignored; an empty table gives an empty result.
+    documents without a partner are classes of their own with no link.  Rows that repeat an id and a text (up to case
+    and white space) are one document; an id with several texts is one node with the links of all.  Rows with a null id are classes of
+    their own, with a null class_id, and link to nothing.  Extra columns are ignored; an empty table gives an empty result.
 
     Equal word sequences are first reduced to one representative.  Representatives meet in the buckets of MinHash bands;
-    the buckets' stars, not their pairs, are joined to candidate components.  Each component is compared within one
-    unit of at most BLOCK members, larger ones as pairs of blocks, so no task holds more than two blocks; a pair is
-    verified on the full sets if any band agrees.
+    the buckets' stars, not their pairs, are joined to candidate components.  A component of up to BLOCK members is
+    compared in one unit.  Members of a larger one are dealt to blocks of about BLOCK that share their first bucket
+    partner, and two blocks are compared only if some bucket holds members of both, so a long chain of components that
+    only shares common phrases costs what its buckets cost, not its square.  A pair is verified on the full sets if any
+    band agrees; no task holds more than two blocks.
     """
     spark = docs.sparkSession
     prepare(spark)
     bands, rows = banding(threshold, recall, max_hashes)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
 
     signed, signed_at = stage(
-        texts.mapInArrow(lambda it: _signatures(it, bands, rows, width), "doc_id long, digest binary, bands array<long>"), "signatures"
+        texts.mapInArrow(lambda it: _signatures(it, bands, rows, width), "doc_id long, text_hash long, digest binary, bands array<long>"), "signatures"
     )
     reps, reps_at = stage(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "representatives"
+        signed.where("digest is not null and doc_id is not null").groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.countDistinct("doc_id").alias("copies"), F.first("bands").alias("bands"))
+        .select("digest", F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"), "copies", "bands"),
+        "representatives",
     )
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs, hubs_at = stage(
         buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs"
     )
-    stars = buckets.join(hubs, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    met, met_at = stage(buckets.join(hubs, ["band", "key"]), "buckets")
+    stars = met.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     candidates, candidates_at = stage(connected_components(stars), "candidates")
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes, sizes_at = stage(sizes, "component-sizes")
-    members = (
+    sizes, sizes_at = stage(candidates.groupBy("component").agg((F.count("*") > BLOCK).alias("large")), "component-sizes")
+    placed, placed_at = stage(
         candidates.join(sizes, "component")
-        .join(reps.select(F.col("rep").alias("node"), "copies", "bands"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.col("node").alias("doc_id"), "copies", "bands",
-            F.concat_ws(":", "component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-            F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
-        )
+        .join(met.groupBy(F.col("rep").alias("node")).agg(F.min("hub").alias("first")), "node"),
+        "members",
     )
-    work = texts.join(members, "doc_id").repartition("unit").sortWithinPartitions("unit", "doc_id")
+    first_sizes = placed.where("large").groupBy("first").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.when(F.col("large"), F.concat_ws(":", "first", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))).otherwise(F.col("component").cast("string"))
+    dealt, dealt_at = stage(placed.join(first_sizes, "first", "left").select("node", "large", block.alias("block")), "blocks")
+    # blocks of which some bucket has members of both; a small component is a block of its own
+    of_bucket, of_bucket_at = stage(
+        met.join(dealt.where("large").select(F.col("node").alias("rep"), "block"), "rep").select("band", "key", "block").distinct(), "bucket-blocks"
+    )
+    pairs = (
+        of_bucket.join(of_bucket.withColumnRenamed("block", "other"), ["band", "key"]).where("block < other").select("block", "other").distinct()
+    )
+    pairs, pairs_at = stage(pairs, "block-pairs")
+    units = (
+        dealt.select("block").distinct().select("block", F.col("block").alias("unit"), F.lit(0).alias("side"))
+        .union(pairs.select("block", F.concat_ws("|", "block", "other"), F.lit(0)))
+        .union(pairs.select("other", F.concat_ws("|", "block", "other"), F.lit(1)))
+    )
+    members = dealt.join(units, "block").join(reps.select(F.col("rep").alias("node"), "text_hash", "copies", "bands"), "node")
+    work = texts.join(members.withColumnRenamed("node", "doc_id"), ["doc_id", "text_hash"]).repartition("unit").sortWithinPartitions("unit", "doc_id", "text_hash")
     found, found_at = stage(
-        work.select("unit", "doc_id", "side", "copies", "bands", "text")
+        work.select("unit", "doc_id", "text_hash", "side", "copies", "bands", "text")
         .mapInArrow(lambda it: _verify(it, width, threshold), "doc_id long, links long, root long"),
         "links",
     )
@@ -209,14 +229,19 @@ def near_duplicates(
         .select("digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
     per_rep, per_rep_at = stage(per_rep, "per-representative")
-    class_sizes, _ = stage(per_rep.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "class-sizes")
-    per_rep, _ = stage(per_rep.join(class_sizes, "class_id"), "per-representative")
-    discard(spark, reps_at, hubs_at, candidates_at, sizes_at, found_at, per_rep_at)
-    with_words = signed.select("doc_id", "digest").join(per_rep, "digest").select("doc_id", "class_id", "n_links", "class_size")
-    wordless = signed.where("digest is null").select(
+    class_sizes, class_sizes_at = stage(per_rep.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "class-sizes")
+    sized, sized_at = stage(per_rep.join(class_sizes, "class_id"), "per-representative")
+    known = signed.where("doc_id is not null")
+    with_words = known.where("digest is not null").select("doc_id", "digest").distinct().join(sized, "digest").select("doc_id", "class_id", "n_links", "class_size").distinct()
+    alone = known.where("digest is null").select("doc_id").distinct().union(signed.where("doc_id is null").select("doc_id")).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size")
     )
-    return with_words.union(wordless)
+    out, _ = stage(with_words.union(alone), "classes")
+    discard(
+        spark, signed_at, reps_at, hubs_at, met_at, candidates_at, sizes_at, placed_at, dealt_at, of_bucket_at, pairs_at, found_at, per_rep_at,
+        class_sizes_at, sized_at,
+    )
+    return out
 
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:

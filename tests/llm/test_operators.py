@@ -290,6 +290,25 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert kept == set(classes.values())
 
 
+def test_repeated_rows_and_null_ids_link_once(spark):
+    rng = random.Random(13)
+    base = prose(rng, 80)
+    rows = [(1, base), (1, base), (2, base + " more"), (2, base + " more"), (3, base.upper()), (None, base), (None, None), (4, None), (4, None)]
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links, r.class_size) for r in ngram_join.near_duplicates(docs_of(spark, rows)).collect()))
+    assert got == [(0, 0, 0, 1), (0, 0, 0, 1), (1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3), (4, 4, 0, 1)]
+
+
+def test_chain_of_common_phrases(spark, monkeypatch):
+    """Neighbours in a long chain share much text and few are near duplicates: links are exact, blocks stay few."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rng = random.Random(17)
+    words = prose(rng, 1500).split()
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(300)] + [(1000 + i, " ".join(words[9 * i : 9 * i + 90])) for i in range(120)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs_of(spark, rows).repartition(5)).collect()}
+    links, classes = brute_links(rows)
+    assert got == {i: (classes[i], len(links[i])) for i in classes}
+
+
 def test_near_duplicates_edges(spark, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     alone = docs_of(spark, [(1, None), (2, "")])
