@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import free_name, prepare, split_words, string_hashes, text_column
+from quireworks.llm.common import discard, free_name, prepare, stage, split_words, string_hashes, text_column
 
 BITS = 18
 PREFIXES = (4, 5, 6)
-#: Bounds of the training sample, in documents
+#: Bounds of the training sample, in labelled documents; of the second number the labels are not looked at
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -55,27 +55,52 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
 
 
-def telling(features: list[np.ndarray], positive: np.ndarray, least: int = 3, z: float = 6.0) -> np.ndarray:
-    """True for features that confirmed examples have more often than other text, by z standard errors."""
-    dims, n_p, n_u = (1 << BITS) + 1, positive.sum(), (~positive).sum()
+def telling(counts: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, least: int = 3, z: float = 6.0) -> np.ndarray:
+    """True for features that confirmed examples have more often than other text, by z standard errors.
+
+    counts: how many of the n_p confirmed examples, and of the n_u other documents, have each feature.
+    """
     if not n_p or not n_u:
-        return np.zeros(dims, bool)
-    counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, p in zip(features, positive, strict=True) if p == side)]), minlength=dims) for side in (True, False)]
+        return np.zeros(len(counts[0]), bool)
     p1, p0 = counts[0] / n_p, counts[1] / n_u
     spread = np.sqrt(np.maximum((counts[0] + counts[1] + 1) / (n_p + n_u + 1), 1e-9) * (1 / n_p + 1 / n_u))
     return (p1 - p0 >= z * spread) & (counts[0] >= least) & (p1 >= 1.5 * p0)
 
 
+def _counted(features: list[np.ndarray], positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    none, dims = np.zeros(0, np.int64), (1 << BITS) + 1
+    of = lambda side: np.bincount(np.concatenate([none, *(f for f, p in zip(features, positive, strict=True) if p == side)]), minlength=dims)
+    return of(True), of(False)
+
+
+def pu_risk(score: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of logits and the step's gradient in them.
+
+    The risk is prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]) with the logistic loss; where the
+    bracket is negative, the step goes up its gradient instead of down the whole.
+    """
+    soft = lambda x: np.logaddexp(0, x)
+    prob = 0.5 * (1 + np.tanh(0.5 * score))
+    negative = soft(score[~is_p]).mean() - prior * soft(score[is_p]).mean()
+    g = np.zeros(len(score))
+    down_p, down_u = -prior * prob[is_p] / is_p.sum(), prob[~is_p] / (~is_p).sum()
+    if negative >= 0:
+        g[is_p] = -prior * (1 - prob[is_p]) / is_p.sum() + down_p
+        g[~is_p] = down_u
+    else:
+        g[is_p], g[~is_p] = -down_p, -down_u
+    return prior * soft(-score[is_p]).mean() + max(0.0, negative), g
+
+
 def nnpu_fit(
     features: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 30, batch: int = 600, alpha: float = 0.1,
     l1: float = 0.02, l2: float = 1e-3, seed: int = 7,
 ) -> np.ndarray:
     """Weights (0: bias) that minimise the non-negative positive-unlabelled logistic risk, by FTRL-proximal steps.
 
-    Only features that telling() picks take part.  The risk is prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]); where the bracket is negative,
-    the step goes up its gradient instead of down the whole.
+    Only features that telling() picks take part; the risk is that of pu_risk().
     """
-    known = telling(features, positive)
+    known = telling(_counted(features, positive), int(positive.sum()), int((~positive).sum()))
     known[0] = True
     numbers = np.cumsum(known) - 1
     features = [numbers[f[known[f]]] for f in features]
@@ -92,7 +117,6 @@ def nnpu_fit(
     if not len(pos) or not len(unl):
         full[0] = w[0]
         return full
-    sigmoid = lambda x: 0.5 * (1 + np.tanh(0.5 * x))
     for _ in range(epochs):
         p_order, u_order = rng.permutation(pos), rng.permutation(unl)
         steps = max(1, len(unl) // batch)
@@ -103,17 +127,7 @@ def nnpu_fit(
             take = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(lengths[rows])[:-1]]), lengths[rows]) + np.arange(lengths[rows].sum())
             own = np.repeat(np.arange(len(rows)), lengths[rows])
             score = w[0] + np.bincount(own, w[flat[take]], len(rows))
-            prob = sigmoid(score)
-            is_p = np.arange(len(rows)) < len(p)
-            soft = lambda x: np.logaddexp(0, x)
-            negative = soft(score[~is_p]).mean() - prior * soft(score[is_p]).mean()
-            g = np.zeros(len(rows))
-            down_p, down_u = -prior * prob[is_p] / is_p.sum(), prob[~is_p] / (~is_p).sum()
-            if negative >= 0:
-                g[is_p] = -prior * (1 - prob[is_p]) / is_p.sum() + down_p
-                g[~is_p] = down_u
-            else:
-                g[is_p], g[~is_p] = -down_p, -down_u
+            _, g = pu_risk(score, np.arange(len(rows)) < len(p), prior)
             grad = np.bincount(flat[take], g[own], dims)
             grad[0] = g.sum()
             sigma = (np.sqrt(n + grad * grad) - np.sqrt(n)) / alpha
@@ -171,28 +185,39 @@ def fit(
 ) -> np.ndarray:
     """Weights learnt from confirmed toxic documents and unlabelled text.
 
-    Only rows that are not held_out() take part.  At most max_positive confirmed examples and max_unlabelled other
-    documents (by a hash of the id; both are parameters) are fitted; the class prior is the share of toxic rows among
-    all labelled ones that take part, 0.1 where there is none.
+    Only labelled rows that are not held_out() take part.  At most max_positive confirmed examples, and max_unlabelled
+    labelled documents whose labels are not looked at (both by a hash of the id; both are parameters) are fitted; the
+    class prior is the share of toxic rows among all labelled ones that take part, 0.1 where there is none.  Labels with
+    a null id or value are left out, a null or empty text has no feature, and rows that repeat an id count each.
+
+    Features of the sample are counted by Spark; only those that telling() picks reach the driver.
     """
     prepare(docs.sparkSession)
     known = labels.where(~held_out()).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     prior = min(max(share if share is not None else 0.1, 0.001), 0.9)
-    ids = docs.where(~held_out()).where("doc_id is not null").select("doc_id").distinct()
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     # a bounded number of rows each, so broadcasting them is safe
-    positive = known.where("toxic = 1").join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    sample = positive.union(unlabelled)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("positive", "text")
-    rows = chosen.mapInArrow(_features, "positive boolean, features array<int>").toArrow()
-    flat = rows.column("features").combine_chunks()
-    flags = np.array(rows.column("positive").to_pylist(), bool)
-    values, at = flat.flatten().to_numpy(), flat.offsets.to_numpy()
-    lists = [values[at[i] - at[0] : at[i + 1] - at[0]] for i in range(len(flags))]
+    positive = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
+    unlabelled = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id").select("positive", "text")
+    rows, rows_at = stage(chosen.mapInArrow(_features, "positive boolean, features array<int>"), "toxicity-features")
+    n_p, n_u = (rows.where("positive" if side else "not positive").count() for side in (True, False))
+    counted = (
+        rows.select("positive", F.explode("features").alias("feature")).groupBy("feature")
+        .agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    )
+    counts = np.zeros((2, (1 << BITS) + 1))
+    for k, side in enumerate("pu"):
+        counts[k, counted.column("feature").to_numpy()] = counted.column(side).to_numpy()
+    picked = F.lit(np.nonzero(telling((counts[0], counts[1]), n_p, n_u))[0].tolist() or [-1]).cast("array<int>")
+    sample = rows.select("positive", F.array_sort(F.array_intersect("features", picked)).alias("features")).toArrow()
+    discard(docs.sparkSession, rows_at)
+    flags = np.array(sample.column("positive").to_pylist(), bool)
+    lists = [np.array(x, np.int64) for x in sample.column("features").to_pylist()]
     # rows arrive in no fixed order; fit them in one that depends on their content only
-    order = sorted(range(len(flags)), key=lambda i: (not flags[i], len(lists[i]), lists[i].tobytes()))
+    order = sorted(range(len(flags)), key=lambda i: (not flags[i], len(lists[i]), lists[i].tolist()))
     return nnpu_train([lists[i] for i in order], flags[order], prior)
 
 

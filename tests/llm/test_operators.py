@@ -370,6 +370,54 @@ def test_toxicity_ignores_held_out_labels(spark, empty):
     assert len({r.score for r in plain}) == 1 and all(r.predicted == 0 for r in plain)
 
 
+def test_risk_and_its_gradient():
+    """The risk against its formula, and its gradient against differences of it, on both sides of the correction."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    loss = lambda x, y: math.log(1 + math.exp(-y * x))
+    seen = set()
+    for shift in (-3.0, 0.0, 3.0):
+        score, is_p, prior = rng.standard_normal(40) + shift, np.arange(40) < 12, 0.3
+        score[is_p] += 4
+
+        def parts(x):
+            plus, minus = (sum(loss(v, y) for v in x[is_p]) / 12 for y in (1, -1))
+            return 0.3 * plus, sum(loss(v, -1) for v in x[~is_p]) / 28 - 0.3 * minus
+
+        whole, bracket = parts(score)
+        risk, g = toxicity.pu_risk(score, is_p, prior)
+        assert abs(risk - (whole + max(0.0, bracket))) < 1e-9
+        seen.add(bracket >= 0)
+        target = (lambda x: sum(parts(x))) if bracket >= 0 else (lambda x: -parts(x)[1])
+        for i in range(40):
+            up, down = score.copy(), score.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((target(up) - target(down)) / 2e-5 - g[i]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_scores_against_plain_sums(spark):
+    """Each score is the bias and the weights of the text's distinct features, added up one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    weights = np.where(rng.random((1 << toxicity.BITS) + 1) < 0.3, rng.standard_normal((1 << toxicity.BITS) + 1), 0).astype(np.float32)
+    weights[0] = -1.5
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["(Under)standing", "ab", "abcd", "abcde", "Häuser,", "x.", "--"]) + r.choice(["", "s", "!"]) for _ in range(r.randrange(12)))) for i in range(60)] + [(90, None)]
+    for row in toxicity.score(docs_of(spark, rows), weights).collect():
+        number = lambda w, k: 1 + ((int(common.string_hashes(pa.array([w]))[0]) * (2 * k + 1) % (1 << 64)) >> (40 - toxicity.BITS)) % (1 << toxicity.BITS)
+        found = set()
+        for word in (dict(rows)[row.doc_id] or "").lower().split():
+            bare = word.strip(toxicity.EDGES)
+            found |= {number(bare[:size] if size else bare, k) for k, size in enumerate((0, *toxicity.PREFIXES)) if len(bare) > size}
+        total = float(weights[0]) + sum(float(weights[n]) for n in found)
+        assert abs(row.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 # --- decontamination ---
 
 
