@@ -692,3 +692,40 @@ def test_terms_that_give_an_entity_away(spark):
         assert {"Marmaduke", "writes", "from"} <= hidden and "w1" not in hidden
     clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(spark, rows)).collect()}
     assert set(clean) == set(range(300, 304)) and all("[EMAIL]" in t and "Marmaduke" not in t and "ann.lee" not in t for t in clean.values())
+
+
+def test_terms_against_brute_force(spark):
+    """Every term span, from documents counted one by one: short, numeric and far terms, copies, lists of addresses."""
+    rng = random.Random(14)
+    names = ["Bo", "Ann", "7", "K9", "Quentin", "Österreich", "été"]
+    people = [f"p{i}@mail{i % 4}.org" for i in range(12)]
+    rows = [(i, prose(rng, 30)) for i in range(60)] + [(70, None), (71, "")]
+    for i in range(80):
+        who = sorted(rng.sample(range(12), rng.choice([0, 1, 2])))
+        body = prose(rng, 10).split() + [people[k] for k in who] + [names[k % 7] for k in who if rng.random() < 0.8] + prose(rng, 60).split() + [names[k % 7].upper() for k in who]
+        rows.append((100 + i, " ".join(body)))
+    many = " ".join(f"u{i}@list.net" for i in range(400))
+    rows += [(300, f"Members {many} zebra1"), (301, f"members of {many} zebra1"), (302, rows[-1][1]), (303, rows[-1][1])]
+    base = {i: brute_spans(t or "") for i, t in rows}
+    spans = {i: [tuple(map(int, s.split(":")[1:])) for s in found] for i, found in base.items()}
+    ents, terms, seen = {}, {}, {}
+    for i, t in rows:
+        ents[i] = {f"{s.split(':')[0]}:" + (t[a:b].lower() if s[0] in "ei" else re.sub("[^0-9]", "", t[a:b])) for s, (a, b) in zip(base[i], spans[i], strict=True)}
+        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")]
+        seen[i] = {w for _, _, w in found}
+        terms[i] = [x for x in found if not any(a < x[1] and x[0] < b for a, b in spans[i])]
+    n, text = len(rows), dict(rows)
+    n_e, n_t = Counter(e for i in ents for e in ents[i]), Counter(w for i in seen for w in seen[i])
+    both, texts = Counter(), {}
+    for i in ents:
+        for e in ents[i]:
+            for w in {x[2] for x in terms[i]}:
+                both[e, w] += 1
+                texts.setdefault((e, w), set()).add(text[i])
+    told = lambda e, w: len(texts[e, w]) >= 2 and n_e[e] < n and math.log2(both[e, w] * n / (n_e[e] * n_t[w])) / math.log2(n / n_e[e]) >= 0.7 - 1e-12
+    hits = 0
+    for r in pii.personal_data(docs_of(spark, rows).repartition(5)).collect():
+        want = [f"term:{a}:{b}" for a, b, w in terms[r.doc_id] if any(told(e, w) for e in ents[r.doc_id])]
+        assert [s for s in r.spans.split(",") if s.startswith("term")] == want, r.doc_id
+        hits += len(want)
+    assert hits > 50
