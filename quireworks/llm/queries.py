@@ -69,16 +69,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_exact_dedup, op2_main_text, op3_chat_format, op4_near_duplicates, op5_toxicity, op6_decontaminate, op7_warc, op8_pack,
-        op9_lm_score, op10_pii, pipeline,
+        op9_lm_score, op10_pii,
     ]
     return {f.__name__: f for f in found}
 
