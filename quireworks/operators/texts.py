@@ -11,30 +11,23 @@ from quireworks.functions import text as T
 # --- sources and sinks ---
 
 
-#: What windows-1252 has in place of the control signs of ISO 8859-1
-_WINDOWS = tuple("".join(p) for p in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), strict=True))
-
-
-def decoded(content: Column) -> tuple[Column, Column]:
-    """(encoding, text) of a file's bytes: byte order mark, UTF-16 by its zero bytes, strict UTF-8, else windows-1252."""
-    code, n = F.hex(F.substring(content, 1, 8192)), F.length(F.substring(content, 1, 8192))
-    pairs = F.regexp_extract_all(code, F.lit("(....)"), F.lit(1))
-    high = F.size(F.filter(pairs, lambda p: F.startswith(p, F.lit("00"))))
-    low = F.size(F.filter(pairs, lambda p: F.endswith(p, F.lit("00"))))
-    little, big = (low >= 0.1 * n / 2) & (low >= 10 * high), (high >= 0.1 * n / 2) & (high >= 10 * low)
-    # a head may be cut inside a character: up to three bytes of its end do not count
-    whole = F.is_valid_utf8(content.cast("string"))
-    encoding = (
-        F.when(F.startswith(code, F.lit("EFBBBF")), "UTF-8").when(F.startswith(code, F.lit("FFFE")), "UTF-16LE").when(F.startswith(code, F.lit("FEFF")), "UTF-16BE")
-        .when(little, "UTF-16LE").when(big, "UTF-16BE").when(whole, "UTF-8").otherwise("windows-1252")
-    )
-    marked = code.rlike("^(EFBBBF|FEFF|FFFE)")
-    body = F.when(F.startswith(code, F.lit("EFBBBF")), F.substring(content, F.lit(4), F.length(content))).when(marked, F.substring(content, F.lit(3), F.length(content))).otherwise(content)
-    text = (
-        F.when(encoding == "UTF-8", F.make_valid_utf8(body.cast("string"))).when(encoding == "UTF-16LE", F.decode(body, "UTF-16LE"))
-        .when(encoding == "UTF-16BE", F.decode(body, "UTF-16BE")).otherwise(F.translate(F.decode(body, "ISO-8859-1"), *_WINDOWS))
-    )
-    return encoding, text
+def decoded(content: Column, cut: Column | None = None) -> tuple[Column, Column]:
+    """(encoding, text) of a file's bytes: byte order mark, UTF-16 by its zero bytes, strict UTF-8, else windows-1252.
+
+    cut: whether the bytes are the head of a longer file, which may end inside a character; that one is left out.
+    """
+    cut = F.lit(False) if cut is None else cut
+    head = F.substring(content, 1, 8192)
+    pairs = F.regexp_extract_all(F.hex(head), F.lit("(....)"), F.lit(1))
+    n = F.size(pairs)
+    high, low = F.size(F.filter(pairs, lambda p: F.startswith(p, F.lit("00")))), F.size(F.filter(pairs, lambda p: F.endswith(p, F.lit("00"))))
+    lopsided = lambda a, b: (n > 0) & (a >= 0.1 * n) & (a >= 10 * b)
+    named, behind = T.mark_of(content)
+    plain = F.when(lopsided(low, high), "UTF-16LE").when(lopsided(high, low), "UTF-16BE").when(T.valid_utf8(content, cut), "UTF-8").otherwise("windows-1252")
+    encoding = F.coalesce(named, plain)
+    text = T.in_encoding(behind, encoding)
+    # a cut character decodes to replacement signs at the end
+    return encoding, F.when(cut & encoding.startswith("UTF"), F.regexp_replace(text, "\uFFFD{1,3}$", "")).otherwise(text)
 
 
 def read_text_corpus(spark: SparkSession, path: str, max_source_bytes: int = 8_388_608, max_chars: int = 1_000_000) -> DataFrame:
@@ -45,7 +38,7 @@ def read_text_corpus(spark: SparkSession, path: str, max_source_bytes: int = 8_3
 
 def from_bytes(files: DataFrame, max_source_bytes: int = 8_388_608, max_chars: int = 1_000_000) -> DataFrame:
     head = F.substring(F.col("content"), 1, max_source_bytes)
-    encoding, text = decoded(head)
+    encoding, text = decoded(head, F.length("content") > max_source_bytes)
     cut = (F.length("content") > max_source_bytes) | (F.length(text) > max_chars)
     return files.select("path", F.left(text, F.lit(max_chars)).alias("text"), encoding.alias("encoding"), cut.alias("truncated"))
 

@@ -99,6 +99,8 @@ def test_split_delimited_caps(spark):
 @pytest.mark.parametrize(("text", "want"), [
     ("see https://a.org/x.", ["https://a.org/x"]), ("is it https://a.org?", ["https://a.org"]), ("https://en.org/Foo_(language) ok", ["https://en.org/Foo_(language)"]), ("(https://en.org/a)", ["https://en.org/a"]),
     ("www.example.com/path?x=1", ["https://www.example.com/path?x=1"]), ("README.md", []), ("mail dev@example.org now", ["mailto:dev@example.org"]), ("a@b", []), ("https://user@host.com/", ["https://user@host.com/"]), ("www.localhost", []),
+    ("me@www.example.org", ["mailto:me@www.example.org"]), ("https://a.org/x\u00a0then", ["https://a.org/x"]), ('"https://example.com",', ["https://example.com"]), ("a.b+c@sub.example.co.uk", ["mailto:a.b+c@sub.example.co.uk"]),
+    ("Open README.md, run setup.sh, edit main.py and lib.rs", []), ("an @mention and a@b", []), ("Try www.example.com/path?x=1, then", ["https://www.example.com/path?x=1"]),
 ])
 def test_autolinks(spark, text, want):
     assert [r.destination for r in one(spark, text, T.autolinks)] == want
@@ -159,6 +161,7 @@ def test_find_spans_chunks(spark):
 
 @pytest.mark.parametrize(("code", "value", "want"), [
     ("General", 3.0, "3"), ("General", 2.5, "2.5"), ("0.00", 1.005, "1.00"), ("#,##0", 1234567.0, "1,234,567"), ("0%", 0.256, "26%"), ("#,##0.00 €", 1234.5, "1,234.50€"), ("$#,##0", 1234.0, "$1,234"), ("#,##0,", 1500000.0, "1,500"), ("yyyy-mm-dd", 45292.0, "2024-01-01"),
+    ("0", 2.5, "2"), ("0.0,,", 2500000.0, "2.5"), ("0.0%", 0.256, "26%"), ("[$€-407] #,##0.00", 1234.5, "€1,234.50"), ("mmm yy", 45292.0, "Jan 24"), ("mm/dd", 45292.0, "01/01"), ("d mmm yyyy", 45292.0, "Jan 24"), ("0.000", 1.23456, "1.23456"), ("£0", 7.0, "£7"),
 ])
 def test_number_format(spark, code, value, want):
     assert one(spark, value, lambda c: T.number_format(c, code), "double") == want
@@ -170,6 +173,7 @@ def test_list_number(spark, n, fmt, want):
 
 
 @pytest.mark.parametrize(("data", "want"), [
+    (b"\xff\xfe", False), (b"\xef\xbb\xbf\x01\x02\x03", False), (b"\xef\xbb\xbfabc", True), ("\x85\x86 é".encode(), False), (("a" * 8191 + "é").encode()[:8192], True), (("é" * 50 + "\x01").encode(), True),
     (b"plain text", True), (b"", False), (b"%PDF-1.7", False), (b"a\x00b", False), (b"\xff\xfea\x00", True), (b"\x01" * 5 + b"a" * 100, False), ("Grüße".encode("cp1252"), True),
 ])
 def test_looks_like_text(spark, data, want):
@@ -184,6 +188,25 @@ def test_encodings(spark, encoding):
     assert row.t == text and row.e == {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "windows-1252"}[encoding]
 
 
+@pytest.mark.parametrize(("data", "cut", "encoding", "text"), [
+    (b"", False, "UTF-8", ""), ("é€".encode("utf-32-le"), False, None, None), (b"\xff\xfe\0\0" + "aé😀".encode("utf-32-le"), False, "UTF-32LE", "aé😀"), (b"\0\0\xfe\xff" + "aé😀".encode("utf-32-be"), False, "UTF-32BE", "aé😀"),
+    ("ééé".encode()[:3], True, "UTF-8", "é"), ("ééé".encode()[:3], False, "windows-1252", "Ã©Ã"), ("a€".encode()[:3], True, "UTF-8", "a"), ("x😀".encode()[:4], True, "UTF-8", "x"), (b"a\xe9\xe9", True, "windows-1252", "aéé"),
+])
+def test_decoding_edges(spark, data, cut, encoding, text):
+    enc, made = X.decoded(F.col("v"), F.lit(cut))
+    row = spark.createDataFrame([(bytearray(data),)], "v binary").select(enc.alias("e"), made.alias("t")).first()
+    assert encoding is None or (row.e, row.t) == (encoding, text)
+
+
+@pytest.mark.parametrize(("head", "extension", "want"), [
+    ("#import <UIKit/UIKit.h>", "h", "OBJC"), ("@interface A : B", "h", "OBJC"), ('x = @"s";', "m", "OBJC"), ("NSString *s;", "h", "OBJC"), ("class Foo {\n public:\n};", "h", "CPP"), ("template <typename T>", "h", "CPP"), ("#include <vector>", "h", "CPP"),
+    ("#include <stdio.h>\nint x;", "h", "C"), ("std::string s;", "h", "CPP"), ("  \n", "h", None), ("int main(void) {}", "m", "OBJC"), ("#include <a.h>", "m", "OBJC"), ("% comment\nx = 1;", "m", "MATLAB"), ("function y = f(x)\nend", "m", "MATLAB"),
+    ("x = [1, ...\n 2];", "m", "MATLAB"), ("close all\nclc", "m", "MATLAB"), ("plain words", "m", None), ("using namespace std;", "h", "CPP"), ("typedef struct node node;", "h", "C"), ("  endif;", "m", "MATLAB"),
+])
+def test_languages(spark, head, extension, want):
+    assert one(spark, head, lambda c: T.content_kind(c, F.lit(extension))) == want
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é".encode("cp1252"))
     (tmp_path / "b.tsv").write_text("x\ty\n1\t\"2\n3\"\n")
