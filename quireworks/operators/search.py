@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 8
+TOKEN = r"[\p{L}\p{N}]+"
+#: Files that one first pair of signs may spread over in a kept index
+SALTS = 16
 
 
 def _accents() -> tuple[str, str]:
@@ -30,7 +33,7 @@ def folded(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
 def search_parse(queries: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -45,36 +48,79 @@ def fts_tokenize(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(tokens_of(F.col("text"))).alias("pos", "term"))
 
 
+def token_rows(docs: DataFrame) -> DataFrame:
+    """A row per token: term, doc_id, tf (1) and len, the document's number of tokens; one pass over the text."""
+    tokens = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).select("term", "doc_id", F.lit(1).cast("long").alias("tf"), "len")
+
+
 def build_postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf) and (doc_id, n_tokens); every document has a row in the second."""
-    postings = docs.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return postings, docs.select("doc_id", F.size(tokens_of(F.col("text"))).cast("long").alias("n_tokens"))
+    """(term, doc_id, tf, len) and (doc_id, n_tokens); every document has a row in the second."""
+    postings = token_rows(docs).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "len")
+    return postings, docs.select("doc_id", F.regexp_count(folded(F.col("text")), F.lit(TOKEN)).cast("long").alias("n_tokens"))
+
+
+def _head(term: Column) -> Column:
+    return F.substring(term, 1, 2)
+
+
+def write_postings(docs: DataFrame, path: str) -> None:
+    """Keep the index at `path`: postings in folders by a term's first two signs, sorted by term, and document lengths.
+
+    A common first pair is dealt over several files by document, so that no task holds all of it.
+    """
+    postings, stats = build_postings(docs)
+    keyed = postings.withColumn("head", _head(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    dealt = keyed.repartition("head", "salt").sortWithinPartitions("head", "term", "doc_id").drop("salt")
+    dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The kept index; with terms (a query's, few), only the folders that can hold one of them are read."""
+    postings = spark.read.schema("term string, doc_id long, tf long, len long, head string").parquet(f"{path}/postings")
+    if terms is not None:
+        heads = sorted({r["f"] for r in terms.select(folded(F.col("term")).alias("f")).distinct().collect()})
+        wanted = F.lit(False)
+        for f in heads:  # a prefix of one sign names all folders that begin with it
+            wanted = wanted | (F.startswith("head", F.lit(f)) if len(f) < 2 else F.col("head") == f[:2])
+        postings = postings.where(wanted)
+    return postings.drop("head"), spark.read.schema("doc_id long, n_tokens long").parquet(f"{path}/stats")
+
+
+def few(rows: DataFrame, bound: int = 10_000) -> DataFrame:
+    """Rows to be broadcast where a count shows that they are few, else as they are."""
+    return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
 
 
 def prefix_match(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, term_no, doc_id, tf: tokens that start with a prefix term or equal an exact one, added up per document.
+    """query_id, term_no, doc_id, tf (and len): tokens that start with a prefix term or equal an exact one, added up per document.
 
-    Terms meet postings by their first letters (two for prefix terms, so a hot token spreads over its prefix only), and
-    parsed queries have at most eight terms each.
+    Terms meet postings, or plain token rows, by their first two letters.  Few terms are sent to the tokens, so only
+    tokens that match are shuffled; a term of one letter that is a prefix is spread over all second letters there are.
     """
-    wanted = terms.withColumn("folded", folded(F.col("term"))).withColumn("head", F.substring("folded", 1, 2))
-    keyed = postings.withColumn("head", F.substring("term", 1, 2)).withColumnRenamed("term", "token")
+    wanted = terms.withColumn("folded", folded(F.col("term"))).withColumn("head", _head(F.col("folded")))
+    keyed = postings.withColumn("head", _head(F.col("term"))).withColumnRenamed("term", "token")
     fits = F.when(F.col("is_prefix"), F.startswith("token", "folded")).otherwise(F.col("token") == F.col("folded"))
-    return keyed.join(wanted, "head").where(fits).groupBy("query_id", "term_no", "doc_id").agg(F.sum("tf").alias("tf"))
+    keys = [c for c in ("query_id", "term_no", "doc_id", "len") if c in (*wanted.columns, *keyed.columns)]
+    return keyed.join(few(wanted.select("query_id", "term_no", "folded", "is_prefix", "head")), "head").where(fits).groupBy(*keys).agg(F.sum("tf").alias("tf"))
+
+
+def _n_terms(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
 
 
 def boolean_and_match(matches: DataFrame, terms: DataFrame) -> DataFrame:
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    found = matches.groupBy("query_id", "doc_id").agg(F.count_distinct("term_no").alias("n_found"))
-    return found.join(wanted, "query_id").where("n_found = n_terms").select("query_id", "doc_id")
+    found = matches.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_found"))
+    return found.join(few(_n_terms(terms)), "query_id").where("n_found = n_terms").select("query_id", "doc_id")
 
 
 def match_counts(matches: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    """matches with total (hits of the term), df, n_docs, avg_len (whole number, at least 1) and len."""
-    per_term = matches.groupBy("query_id", "term_no").agg(F.sum("tf").alias("total"), F.count_distinct("doc_id").alias("df"))
-    # one row
+    """matches (with len) and total (hits of the term), df, n_docs, avg_len (whole number, at least 1)."""
+    # one row a term, and one row
+    per_term = matches.groupBy("query_id", "term_no").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     table = doc_stats.agg(F.count("*").alias("n_docs"), F.greatest(F.floor(F.avg("n_tokens") + 0.5), F.lit(1)).cast("long").alias("avg_len"))
-    return matches.join(per_term, ["query_id", "term_no"]).join(doc_stats.withColumnRenamed("n_tokens", "len"), "doc_id").join(F.broadcast(table))
+    return matches.join(per_term, ["query_id", "term_no"]).join(F.broadcast(table))
 
 
 def bm25_score(n: Column, df: Column, tf: Column, length: Column, avg: Column, k1: float = K1, b: float = B) -> Column:
@@ -94,48 +140,60 @@ def top_k_search(scores: DataFrame, k: int = 20) -> DataFrame:
 
 
 def scored(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """All documents that match all terms, with their scores: query_id, doc_id, score."""
+    """All documents that match all terms, with their scores: query_id, doc_id, score; the text is read once for matches
+    and once for the corpus's mean length."""
     terms = search_parse(queries)
-    postings, stats = build_postings(docs)
-    matches = prefix_match(terms, postings)
-    counts = match_counts(matches, stats)
-    return bm25_rank(counts).join(boolean_and_match(matches, terms), ["query_id", "doc_id"], "left_semi")
+    return _scored(terms, token_rows(docs), build_postings(docs)[1])
+
+
+def indexed_scored(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """scored() from a kept index: no text is read, and of the postings only the folders of the terms."""
+    terms = search_parse(queries)
+    return _scored(terms, *read_postings(spark, path, terms))
+
+
+def _scored(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    counts = match_counts(prefix_match(terms, postings), stats)
+    part = bm25_score(*map(F.col, ("n_docs", "df", "tf", "len", "avg_len")))
+    found = counts.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n_found"))
+    return found.join(few(_n_terms(terms)), "query_id").where("n_found = n_terms").select("query_id", "doc_id", "score")
 
 
 def snippet(docs: DataFrame, hits: DataFrame, terms: DataFrame, width: int = 32) -> DataFrame:
     """Excerpts of the hits: query_id, doc_id, snippet, ranges (start, end of the terms' words in it).
 
     The window of `width` tokens with the most different terms, then the most hits, then the first; cut ends get an
-    ellipsis.  Hits are few (a top-k), and only their texts are read.
+    ellipsis.  Hits are few (a top-k), only their texts are read, and each is worked on in its row.
     """
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    gaps = F.split("text", r"[\p{L}\p{N}]+", -1)
     lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term_no", folded(F.col("term")).alias("t"), "is_prefix")).alias("terms"))
-    rows = hits.join(docs.select("doc_id", "text"), "doc_id").join(lists, "query_id")
-    placed = rows.select("query_id", "doc_id", "terms", F.posexplode(tokens_of(F.col("text"))).alias("pos", "word"))
-    met = F.filter("terms", lambda t: F.when(t["is_prefix"], F.startswith(F.col("word"), t["t"])).otherwise(F.col("word") == t["t"]))
-    marks = placed.select("query_id", "doc_id", "pos", F.transform(met, lambda t: t["term_no"]).alias("hit"))
-    ahead = W.partitionBy("query_id", "doc_id").orderBy("pos").rowsBetween(0, width - 1)
-    windows = marks.withColumn("seen", F.size(F.array_distinct(F.flatten(F.collect_list("hit").over(ahead)))))
-    windows = windows.withColumn("n", F.sum(F.when(F.size("hit") > 0, 1).otherwise(0)).over(ahead))
-    spot = windows.groupBy("query_id", "doc_id").agg((F.max_by("pos", F.struct("seen", "n", -F.col("pos"))) + 1).alias("at"))
-    best = rows.join(spot, ["query_id", "doc_id"]).select("query_id", "doc_id", "at", gaps.alias("gaps"), words.alias("words"), "terms")
+    rows = hits.join(docs.select("doc_id", "text"), "doc_id").join(few(lists), "query_id")
+    fits = lambda word, t: F.when(t["is_prefix"], F.startswith(word, t["t"])).otherwise(word == t["t"])
+    met = F.transform("tokens", lambda w: F.transform(F.filter("terms", lambda t: fits(w, t)), lambda t: t["term_no"]))
+    rows = rows.withColumn("tokens", tokens_of(F.col("text"))).withColumn("met", met)
+
+    def window(i: Column) -> Column:
+        inside = F.slice("met", i + 1, F.lit(width))
+        return F.struct(F.size(F.array_distinct(F.flatten(inside))).alias("seen"), F.size(F.filter(inside, lambda x: F.size(x) > 0)).alias("n"), (-i).alias("at"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0))), window))
+    rows = rows.withColumn("at", 1 - best["at"])
+    rows = rows.withColumns({"words": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "gaps": F.split("text", TOKEN, -1)})
     shown = F.slice("words", F.col("at"), F.lit(width))
-    between = F.slice("gaps", F.col("at") + 1, F.size(shown) - 1)
+    between = F.slice("gaps", F.col("at") + 1, F.greatest(F.size(shown) - 1, F.lit(0)))
     ended = F.col("at") + width > F.size("words")
     start = F.when(F.col("at") > 1, "…").otherwise(F.element_at("gaps", 1))
-    end = F.when(ended, F.element_at("gaps", -1)).otherwise("…")
+    end = F.when(ended, F.when(F.size("words") > 0, F.element_at("gaps", -1)).otherwise("")).otherwise("…")
     parts = F.zip_with(shown, F.concat(F.array(F.lit("")), between), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc: Column, p: Column) -> Column:
-        text = F.concat(acc["text"], p["g"])
-        hit = F.exists(F.col("terms"), lambda t: F.when(t["is_prefix"], F.startswith(folded(p["w"]), t["t"])).otherwise(folded(p["w"]) == t["t"]))
+        text = F.concat(acc["text"], F.coalesce(p["g"], F.lit("")))
+        hit = F.exists(F.col("terms"), lambda t: fits(folded(p["w"]), t))
         mark = F.struct(F.length(text).alias("start"), (F.length(text) + F.length(p["w"])).alias("end"))
-        return F.struct(F.concat(text, p["w"]).alias("text"), F.when(hit, F.array_append(acc["ranges"], mark)).otherwise(acc["ranges"]).alias("ranges"))
+        return F.struct(F.concat(text, F.coalesce(p["w"], F.lit(""))).alias("text"), F.when(hit, F.array_append(acc["ranges"], mark)).otherwise(acc["ranges"]).alias("ranges"))
 
     done = F.aggregate(parts, F.struct(start.alias("text"), empty.alias("ranges")), step)
-    return best.withColumn("done", done).select("query_id", "doc_id", F.concat("done.text", end).alias("snippet"), F.col("done.ranges").alias("ranges"))
+    return rows.withColumn("done", done).select("query_id", "doc_id", F.concat("done.text", end).alias("snippet"), F.col("done.ranges").alias("ranges"))
 
 
 def marker_ranges(marked: Column, left: str = "⟨", right: str = "⟩") -> tuple[Column, Column]:

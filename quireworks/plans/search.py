@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quireworks.operators import catalog as C
 from quireworks.operators import search as S
 from quireworks.plans.registry import query
+from quireworks.session import shared_path
 
 QUERIES = "SELECT * FROM VALUES (1, 'ment tion'), (2, 'The, that-ing?'), (3, 'a the'), (4, 'é elle') AS q(query_id, text)"
 #: The parsed queries, folded
@@ -15,7 +16,7 @@ POST = """
     tok AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM corpus),
     postings AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2),
     stats AS (SELECT c.doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM corpus c)"""
-CORPUS = "corpus AS (SELECT document_id AS doc_id, text FROM document_text)"
+CORPUS = "corpus AS (SELECT doc_id, text FROM documents)"
 MATCH = f"""
     terms AS (SELECT query_id, term_no::BIGINT AS term_no, term, is_prefix FROM {TERMS}),
     matches AS (SELECT query_id, term_no, doc_id, sum(tf)::BIGINT AS tf FROM postings JOIN terms ON starts_with(postings.term, terms.term) GROUP BY 1, 2, 3),
@@ -35,7 +36,7 @@ def sql(select: str, *parts: str) -> str:
 
 
 def corpus(t):
-    return t.document_text.select(F.col("document_id").alias("doc_id"), "text")
+    return t.documents.select("doc_id", "text")
 
 
 def parsed(t):
@@ -43,13 +44,13 @@ def parsed(t):
 
 
 @query("search_parse", """
-    WITH w AS (SELECT doc_id AS query_id, list_filter(string_split_regex(substr(text, 1, 60), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM documents),
+    WITH w AS (SELECT doc_id AS query_id, list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM documents),
          u AS (SELECT query_id, (CASE WHEN len(list_filter(words, lambda x: length(x) >= 2)) > 0 THEN list_filter(words, lambda x: length(x) >= 2) ELSE words END)[1:8] AS terms FROM w),
          e AS (SELECT query_id, generate_subscripts(terms, 1) - 1 AS term_no, unnest(terms) AS term FROM u)
     SELECT query_id, term_no, term, length(term) >= 2 AS is_prefix FROM e""")
 def _(t):
-    """Every document's first words, as if they were typed."""
-    return S.search_parse(t.documents.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text")))
+    """Every document's text, as if it were typed."""
+    return S.search_parse(t.documents.select(F.col("doc_id").alias("query_id"), "text"))
 
 
 @query("fts_tokenize", "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(pos)::BIGINT AS pos_sum FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS term FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS l FROM documents)) GROUP BY 1")
@@ -57,44 +58,50 @@ def _(t):
     return S.fts_tokenize(t.documents).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("pos").alias("pos_sum"))
 
 
-@query("build_postings", sql("SELECT term, doc_id, tf, n_tokens FROM postings JOIN stats USING (doc_id)", POST), "document_text")
+@query("build_postings", sql("SELECT term, doc_id, tf, n_tokens FROM postings JOIN stats USING (doc_id)", POST))
 def _(t):
-    postings, stats = S.build_postings(corpus(t))
-    return postings.join(stats, "doc_id").select("term", "doc_id", "tf", "n_tokens")
+    return S.build_postings(corpus(t))[0].withColumnRenamed("len", "n_tokens")
 
 
-@query("prefix_match", sql("SELECT * FROM matches", POST, MATCH), "document_text")
+@query("prefix_match", sql("SELECT * FROM matches", POST, MATCH))
 def _(t):
-    return S.prefix_match(parsed(t), S.build_postings(corpus(t))[0])
+    return S.prefix_match(parsed(t), S.token_rows(corpus(t))).drop("len")
 
 
-@query("boolean_and_match", sql("SELECT * FROM hit", POST, MATCH), "document_text")
+@query("boolean_and_match", sql("SELECT * FROM hit", POST, MATCH))
 def _(t):
     terms = parsed(t)
-    return S.boolean_and_match(S.prefix_match(terms, S.build_postings(corpus(t))[0]), terms)
+    return S.boolean_and_match(S.prefix_match(terms, S.token_rows(corpus(t))), terms)
 
 
-@query("match_counts", sql("SELECT query_id, term_no, doc_id, tf, total, df, n_docs, avg_len, len FROM counts", POST, MATCH, COUNTS), "document_text")
+@query("match_counts", sql("SELECT query_id, term_no, doc_id, tf, total, df, n_docs, avg_len, len FROM counts", POST, MATCH, COUNTS))
 def _(t):
-    postings, stats = S.build_postings(corpus(t))
-    return S.match_counts(S.prefix_match(parsed(t), postings), stats).select("query_id", "term_no", "doc_id", "tf", "total", "df", "n_docs", "avg_len", "len")
+    return S.match_counts(S.prefix_match(parsed(t), S.token_rows(corpus(t))), S.build_postings(corpus(t))[1]).select("query_id", "term_no", "doc_id", "tf", "total", "df", "n_docs", "avg_len", "len")
 
 
-@query("bm25_rank", sql("SELECT query_id, doc_id, round(score, 9) AS score FROM scores", POST, MATCH, COUNTS, SCORES), "document_text")
+@query("bm25_rank", sql("SELECT query_id, doc_id, round(score, 9) AS score FROM scores", POST, MATCH, COUNTS, SCORES))
 def _(t):
     return S.scored(corpus(t), t.rows(QUERIES)).withColumn("score", F.round("score", 9))
 
 
-@query("top_k_search", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES), "document_text")
+@query("top_k_search", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES))
 def _(t):
     return S.top_k_search(S.scored(corpus(t), t.rows(QUERIES))).withColumn("score", F.round("score", 9))
 
 
-@query("search_top_hits", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES), "document_text")
+@query("search_top_hits", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES))
 def _(t):
     return S.search_top_hits(corpus(t), t.rows(QUERIES)).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("search_kept_index", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES))
+def _(t):
+    """The index is written, and the queries read only the folders of their terms."""
+    path = shared_path(t.spark, "postings")
+    S.write_postings(corpus(t), path)
+    return S.top_k_search(S.indexed_scored(t.spark, path, t.rows(QUERIES))).withColumn("score", F.round("score", 9))
+
+
 @query("snippet")
 def _(t):
     docs = corpus(t)
@@ -102,18 +109,18 @@ def _(t):
     return S.snippet(docs, top.select("query_id", "doc_id"), parsed(t))
 
 
-@query("search_focus_term", sql("SELECT t.query_id, doc_id, term, strpos(lower(text), lower(term)) - 1 AS first_offset FROM hit JOIN (SELECT * FROM terms WHERE term_no = 0) t USING (query_id) JOIN corpus USING (doc_id)", POST, MATCH), "document_text")
+@query("search_focus_term", sql("SELECT t.query_id, doc_id, term, strpos(lower(text), lower(term)) - 1 AS first_offset FROM hit JOIN (SELECT * FROM terms WHERE term_no = 0) t USING (query_id) JOIN corpus USING (doc_id)", POST, MATCH))
 def _(t):
     terms = parsed(t)
-    hits = S.boolean_and_match(S.prefix_match(terms, S.build_postings(corpus(t))[0]), terms)
+    hits = S.boolean_and_match(S.prefix_match(terms, S.token_rows(corpus(t))), terms)
     return S.search_focus_term(terms, corpus(t), hits).withColumn("first_offset", F.col("first_offset").cast("long"))
 
 
 @query("search_library", """
-    WITH h AS (SELECT DISTINCT document_id AS id FROM document_text WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])ment') AND regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])tion'))
-    SELECT l.id, title, row_number() OVER (ORDER BY last_opened_at DESC, l.id) AS rank FROM library l JOIN h ON h.id = l.id""", "library document_text")
+    WITH h AS (SELECT doc_id AS id FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])ment') AND regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])tion'))
+    SELECT l.id, title, row_number() OVER (ORDER BY last_opened_at DESC, l.id) AS rank FROM library l JOIN h ON h.id = l.id""", "library")
 def _(t):
     """The whole path from a query to the list shown: content matches joined into the library view."""
     terms = parsed(t).where("query_id = 1")
-    hits = S.boolean_and_match(S.prefix_match(terms, S.build_postings(corpus(t))[0]), terms).select(F.col("doc_id").alias("id"))
+    hits = S.boolean_and_match(S.prefix_match(terms, S.token_rows(corpus(t))), terms).select(F.col("doc_id").alias("id"))
     return C.library_view(t.library, hits, "ment tion")

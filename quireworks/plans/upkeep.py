@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quireworks.operators import upkeep as U
 from quireworks.plans.catalog import mtimes
 from quireworks.plans.registry import query
+from quireworks.session import shared_path
 
 LIB = "library"
 
@@ -149,10 +150,7 @@ def _(t):
 @query("write_text_index", f"WITH {REPLACED}", "library document_text")
 def _(t):
     """Two writes to an index in the session's checkpoint folder, then what it holds."""
-    import uuid
-
-    conf = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{conf.rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    path = shared_path(t.spark, "text-index")
     living = t.library.select("id").union(t.document_text.select("document_id")).distinct()
     U.write_text_index(t.document_text.select("document_id", "text"), living, path)
     U.write_text_index(replacing(t), t.library, path)
