@@ -112,12 +112,12 @@ def fit_poly(series: DataFrame, degree: int) -> DataFrame:
 
 
 def fit_r2(series: DataFrame) -> DataFrame:
-    """R² of the linear fit as text with two decimals; 1.00 where y does not vary, 0.00 where there is no fit."""
+    """R² of the linear fit as text with two decimals; 0.00 where there is no fit, else 1.00 where y does not vary."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     flat = F.coalesce(F.regr_syy(y, x), F.lit(0.0)) < SINGULAR
     none = (F.count(x) < 2) | (F.coalesce(F.regr_sxx(y, x), F.lit(0.0)) < SINGULAR)
     value = F.least(F.greatest(F.regr_r2(y, x), F.lit(0.0)), F.lit(1.0))
-    return series.groupBy("series_id").agg(F.when(flat, "1.00").when(none, "0.00").otherwise(F.format_number(value, 2)).alias("r2"))
+    return series.groupBy("series_id").agg(F.when(none, "0.00").when(flat, "1.00").otherwise(F.format_number(value, 2)).alias("r2"))
 
 
 def moving_average(series: DataFrame, period: int = 2) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -81,55 +84,86 @@ def line_stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", n.alias("lines"), F.when(F.element_at(lines, -1) == "", n - 1).otherwise(n).alias("numbered_lines"), F.array_max(F.transform(lines, T.columns_of)).cast("long").alias("max_columns"))
 
 
+def _chunks(text: Column, per: int = T.LINES_PER_CHUNK) -> Column:
+    """Chunks of lines joined by newlines, as an array; an empty last line does not start a chunk of its own."""
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+        used = F.when((n > 1) & (F.element_at(lines, -1) == "") & ((n - 1) % per == 0), n - 1).otherwise(n)
+        first = F.sequence(F.lit(0), F.floor((used - 1) / per).cast("int"))
+        return F.transform(first, lambda i: F.array_join(F.slice(lines, i * per + 1, F.least(F.lit(per), used - i * per)), "\n"))
+
+    # one lambda, so that the lines are split once
+    return F.element_at(F.transform(F.array(T.lines(text)), of), 1)
+
+
 def chunk_lines(docs: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataFrame:
     """Chunks of lines joined by newlines: doc_id, chunk_no, text.  Built in the row, without a shuffle.
 
     An empty document is one empty chunk; an empty last line does not start a chunk of its own.
     """
-    lines = T.lines(F.col("text"))
-    n = F.size(lines)
-    used = F.when((n > 1) & (F.element_at(lines, -1) == "") & ((n - 1) % per == 0), n - 1).otherwise(n)
-    numbers = F.sequence(F.lit(0), F.floor((used - 1) / per).cast("int"))
-    rows = docs.select("doc_id", lines.alias("lines"), used.alias("used"), F.explode(numbers).alias("chunk_no"))
-    part = F.slice("lines", F.col("chunk_no") * per + 1, F.least(F.lit(per), F.col("used") - F.col("chunk_no") * per))
-    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.array_join(part, "\n").alias("text"))
+    return docs.select("doc_id", F.posexplode(_chunks(F.col("text"), per)).alias("chunk_no", "text")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "text")
 
 
 def chunk_line_numbers(chunks: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", (F.col("chunk_no") * per + 1).alias("first_line"))
 
 
-def chunk_offsets(chunks: DataFrame) -> DataFrame:
-    before = W.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)
-    return chunks.withColumn("start_offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+def chunk_offsets(docs: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataFrame:
+    """Chunks with the place of their first sign in the document: doc_id, chunk_no, text, start_offset.  Added up in the row."""
+    def starts(chunks: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, c: F.struct((acc["at"] + F.length(c) + 1).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(chunks, none, step, lambda acc: acc["out"])
+
+    rows = docs.select("doc_id", _chunks(F.col("text"), per).alias("chunks"))
+    placed = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks").alias("text"), starts(F.col("chunks")).alias("start_offset"))).alias("chunk_no", "c"))
+    return placed.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "c.text", "c.start_offset")
+
+
+#: Lines that are not blank, one after another, with their ends
+_PARAGRAPH = r"(?:[^\S\r\n]*+[^\s][^\r\n]*+(?:\r\n?|\n|\z))++"
+
+
+def _paragraphs(text: Column) -> Column:
+    """An array of paragraphs: start and end (of what is not blank) and text, each line trimmed, joined by one space."""
+    def unit(r: Column) -> Column:
+        raw = F.substring(text, r["start"] + 1, r["end"] - r["start"])
+        start = r["start"] + F.length(F.regexp_extract(raw, r"^\s*", 0))
+        lines = F.transform(F.split(raw, r"\r\n?|\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+        end = r["start"] + F.length(F.regexp_replace(raw, r"\s+$", ""))
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.array_join(F.filter(lines, lambda x: x != ""), " ").alias("text"))
+
+    return F.transform(T.placed(F.split(text, _PARAGRAPH, -1), F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0))), unit)
 
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
-    """Runs of lines that are not blank, each line trimmed, joined by one space: doc_id, para_no, start, end, text."""
-    ends = r"\r\n|\r|\n"
-    gaps = F.split("text", ends, -1)
-    seps = F.concat(F.regexp_extract_all("text", F.lit(ends), F.lit(0)), F.array(F.lit("")))
-    rows = docs.select("doc_id", F.posexplode(F.zip_with(gaps, seps, lambda g, s: F.struct(g.alias("line"), F.length(s).alias("n")))).alias("no", "l"))
-    order = W.partitionBy("doc_id").orderBy("no")
-    line = F.col("l.line")
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-    offset = F.coalesce(F.sum(F.length(line) + F.col("l.n")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lines = rows.select("doc_id", "no", trimmed.alias("text"), (offset + F.length(F.regexp_extract(line, r"^\s*", 0))).alias("start"))
-    islands = lines.withColumn("island", F.sum(F.when(F.col("text") == "", 1).otherwise(0)).over(order)).where("text <> ''")
-    paras = islands.groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.length("text")).alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
-    number = (F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1).cast("long")
-    return paras.select("doc_id", number.alias("para_no"), "start", "end", "text")
+    """Runs of lines that are not blank: doc_id, para_no, start, end, text.  Found in the row, without a shuffle."""
+    rows = docs.select("doc_id", F.posexplode(_paragraphs(F.col("text"))).alias("para_no", "p"))
+    return rows.select("doc_id", F.col("para_no").cast("long").alias("para_no"), "p.start", "p.end", "p.text")
 
 
-def speakable_units(chunks: DataFrame) -> DataFrame:
+def _units(rows: DataFrame, pieces: Column) -> DataFrame:
+    """Units of an array of (anchor, text), numbered through: doc_id, unit_no, anchor, start, text."""
+    of = lambda p: F.transform(_paragraphs(p["text"]), lambda x: F.struct(p["anchor"].cast("long").alias("anchor"), x["start"].alias("start"), x["text"].alias("text")))
+    units = rows.select("doc_id", F.posexplode(F.flatten(F.transform(pieces, of))).alias("unit_no", "u"))
+    return units.select("doc_id", F.col("unit_no").cast("long").alias("unit_no"), "u.anchor", "u.start", "u.text")
+
+
+def speakable_units(docs: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataFrame:
     """D3 for text in chunks: every paragraph of every chunk, anchored by the chunk: doc_id, unit_no, anchor, start, text."""
-    keyed = chunks.select(F.struct("doc_id", "chunk_no").alias("doc_id"), "text")
-    units = paragraph_units(keyed).select("doc_id.doc_id", F.col("doc_id.chunk_no").alias("anchor"), "start", "text")
-    number = (F.row_number().over(W.partitionBy("doc_id").orderBy("anchor", "start")) - 1).cast("long")
-    return units.withColumn("unit_no", number).select("doc_id", "unit_no", "anchor", "start", "text")
+    return _units(docs, F.transform(_chunks(F.col("text"), per), lambda c, i: F.struct(i.alias("anchor"), c.alias("text"))))
+
+
+def speakable_markdown(docs: DataFrame) -> DataFrame:
+    """D3 for Markdown: every paragraph of the text, anchored by its own offset."""
+    return paragraph_units(docs).select("doc_id", F.col("para_no").alias("unit_no"), F.col("start").alias("anchor"), F.lit(0).cast("long").alias("start"), "text")
+
+
+def speakable_blocks(pages: DataFrame) -> DataFrame:
+    """D3 for blocks: every paragraph of every block, images by what stands for them, anchored by the block; dividers are
+    silent, and pages numbered as documents."""
+    spoken = F.filter(_blocks_of(F.col("html")), lambda b: b["kind"] != "DIVIDER")
+    return _units(pages.select(F.col("page_id").alias("doc_id"), "html"), F.transform(spoken, lambda b: F.struct(b["block_no"].alias("anchor"), b["text"].alias("text"))))
 
 
 def unit_prefix_counts(units: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -205,25 +239,54 @@ def corpus_feature_survey(files: DataFrame, features: dict[str, Column]) -> Data
 
 
 def delimiter_mode(lines: DataFrame, candidates: str = ",;\t|") -> DataFrame:
-    """Per document and delimiter, the most common number of fields (ties: the larger) and its share of the rows."""
-    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(d).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit(""))) + 1).alias("fields")) for i, d in enumerate(candidates)]))
-    counted = lines.select("doc_id", fields.alias("f")).groupBy("doc_id", "f.no", "f.delimiter", "f.fields").agg(F.count("*").alias("n"))
-    return counted.groupBy("doc_id", "no", "delimiter").agg(F.max(F.struct("n", "fields")).alias("m"), F.sum("n").alias("rows")).select(
-        "doc_id", "no", "delimiter", F.col("m.fields").cast("long").alias("fields"), (F.col("m.n") / F.col("rows")).alias("share")
-    )
+    """The most common field count of each candidate over a document's lines, and its share; quoted cells are one field."""
+    pairs = lines.select("doc_id", "line", F.posexplode(F.array(*map(F.lit, candidates))).alias("no", "delimiter"))
+    d = _literal(F.col("delimiter"))
+    # a line's fields: every match but one ends in a delimiter
+    seps = F.regexp_extract_all("line", F.concat(F.lit("\\G"), _cell(d), F.lit("("), d, F.lit(")")), F.lit(1))
+    counted = pairs.groupBy("doc_id", "no", "delimiter", (F.size(seps) + 1).cast("long").alias("fields")).agg(F.count("*").alias("n"))
+    best = counted.groupBy("doc_id", "no", "delimiter").agg(F.max(F.struct("n", "fields")).alias("b"), F.sum("n").alias("rows"))
+    return best.select("doc_id", "no", "delimiter", F.col("b.fields").alias("fields"), (F.col("b.n") / F.col("rows")).alias("share"))
+
+
+def _cell(d: Column) -> Column:
+    """A pattern for one cell: quoted, with what follows the closing quote, or without a quote at its start."""
+    free = F.concat(F.lit("(?:(?!"), d, F.lit(")[^\\r\\n])*+"))
+    return F.concat(F.lit('(?:"(?:[^"]|"")*+(?:"|\\z)'), free, F.lit('|(?!")'), free, F.lit(")"))
+
+
+def _literal(delimiter: Column) -> Column:
+    return F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+
+
+def _raw_rows(text: Column, delimiter: Column) -> Column:
+    """Rows of delimited text as arrays of cells as they stand, quotes included; rows without a sign are left out."""
+    d = _literal(delimiter)
+    cell = _cell(d)
+    row = F.concat(F.lit("\\G((?:"), cell, d, F.lit(")*+"), cell, F.lit(")(?:\\r\\n?|\\n|\\z)"))
+    rows = F.filter(F.regexp_extract_all(text, row, F.lit(1)), lambda r: r != "")
+    # a delimiter in front makes every cell end where the next begins
+    return F.transform(rows, lambda r: F.regexp_extract_all(F.concat(delimiter, r), F.concat(F.lit("\\G"), d, F.lit("("), cell, F.lit(")")), F.lit(1)))
 
 
 def sniff_delimiter(name: Column, text: Column, candidates: str = ",;\t|", rows: int = 50, head: int = 65_536) -> Column:
-    """a tab for .tsv, else the delimiter whose most common field count (2 or more) covers most of the first rows."""
-    lines = F.slice(F.filter(T.lines(F.left(text, F.lit(head))), lambda x: x != ""), 1, rows)
+    """a tab for .tsv, else the delimiter whose most common field count (2 or more) covers the largest share of the
+    first rows, the earlier of equals; quoted cells hold delimiters and line ends, and the sample ends with a whole line."""
+    sample = F.left(text, F.lit(head))
+    kept = F.when((F.length(text) > head) & (F.instr(F.substring(sample, F.lit(2), F.lit(head)), "\n") > 0), F.regexp_replace(sample, r"\n[^\n]*\z", "")).otherwise(sample)
 
     def score(i: int, d: str) -> Column:
-        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))) + 1)
-        best = F.array_max(F.transform(F.array_distinct(counts), lambda c: F.struct(F.size(F.filter(counts, lambda x: x == c)).alias("n"), c.alias("fields"))))
-        return F.struct(F.when(best["fields"] >= 2, best["n"]).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d"))
+        counts = F.transform(F.slice(_raw_rows(kept, F.lit(d)), 1, rows), lambda r: F.size(r))
+
+        def best_of(sizes: Column) -> Column:
+            best = F.array_max(F.transform(F.array_distinct(sizes), lambda c: F.struct(F.size(F.filter(sizes, lambda x: x == c)).alias("n"), c.alias("fields"))))
+            share = F.when(best["fields"] >= 2, best["n"] / F.size(sizes)).otherwise(0.0)
+            return F.struct(F.coalesce(share, F.lit(0.0)).alias("share"), F.lit(-i).alias("order"), F.lit(d).alias("d"))
+
+        return F.element_at(F.transform(F.array(counts), best_of), 1)
 
-    best = F.array_max(F.array(*[score(i, d) for i, d in enumerate(candidates)]))
-    return F.when(F.lower(name).endswith(".tsv"), "\t").when(best["n"] > 0, best["d"]).otherwise(",")
+    best = F.element_at(F.transform(F.array(F.array_max(F.array(*[score(i, d) for i, d in enumerate(candidates)]))), lambda b: F.when(b["share"] > 0, b["d"]).otherwise(",")), 1)
+    return F.when(F.lower(name).endswith(".tsv"), "\t").otherwise(best)
 
 
 def split_delimited(text: Column, delimiter: Column, max_cells: int = 200_000, max_columns: int = 1024, max_chars: int = 10_000, cut: bool = False) -> Column:
@@ -233,41 +296,25 @@ def split_delimited(text: Column, delimiter: Column, max_cells: int = 200_000, m
     follows a closing quote is taken as it is.  Blank lines and a byte order mark are skipped, long cells end in an
     ellipsis, rows end at max_columns and the table at max_cells; `cut` drops a last row the sample may have cut.
     """
-    body = F.regexp_replace(text, "^﻿", "")
-    d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
-    cell = F.concat(F.lit('(?:"(?:[^"]|"")*+(?:"|\\z)(?:(?!'), d, F.lit(")[^\\r\\n])*+|(?!\")(?:(?!"), d, F.lit(")[^\\r\\n])*+)"))
-    token = F.concat(F.lit("\\G("), cell, F.lit(")("), d, F.lit("|\\r\\n|\\r|\\n|\\z)"))
-    values, ends = F.regexp_extract_all(body, token, F.lit(1)), F.regexp_extract_all(body, token, F.lit(2))
+    quoted = r'(?s)^"((?:[^"]|"")*+)(?:"|\z)'
 
     def clean(v: Column) -> Column:
-        inner = F.regexp_extract(v, '(?s)^"((?:[^"]|"")*+)(?:"|\\z)', 1)
-        rest = F.regexp_replace(v, '(?s)^"(?:[^"]|"")*+(?:"|\\z)', "")
-        plain = F.when(F.startswith(v, F.lit('"')), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(v)
+        plain = F.when(F.startswith(v, F.lit('"')), F.concat(F.replace(F.regexp_extract(v, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_replace(v, quoted, ""))).otherwise(v)
         return F.when(F.length(plain) > max_chars, F.concat(F.left(plain, F.lit(max_chars)), F.lit("…"))).otherwise(plain)
 
-    tokens = F.zip_with(values, ends, lambda v, e: F.struct(v.alias("v"), e.alias("e")))
-    empty_row = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("rows"), empty_row.alias("row"), F.lit(False).alias("full"), F.lit(0).alias("n"), F.lit(False).alias("quoted"))
+    def count(acc: Column, cells: Column) -> Column:
+        n = acc["n"] + F.least(F.size(cells), F.lit(max_columns))
+        fits = ~acc["full"] & (n <= max_cells)
+        return F.struct(n.alias("n"), (acc["rows"] + fits.cast("int")).alias("rows"), (~fits).alias("full"), (acc["wide"] | (F.size(cells) > max_columns)).alias("wide"))
 
-    def step(acc: Column, t: Column) -> Column:
-        quoted = acc["quoted"] | F.startswith(t["v"], F.lit('"'))
-        room = F.size(acc["row"]) < max_columns
-        row = F.when(room, F.array_append(acc["row"], clean(t["v"]))).otherwise(acc["row"])
-        ended = t["e"] != delimiter
-        blank = (F.size(row) == 1) & (F.element_at(row, 1) == "") & ~quoted
-        n = acc["n"] + F.when(room, 1).otherwise(0)
-        over = acc["full"] | (n > max_cells)
-        keep = ended & ~blank & ~over
-        return F.struct(
-            F.when(keep, F.array_append(acc["rows"], row)).otherwise(acc["rows"]).alias("rows"), F.when(ended, empty_row).otherwise(row).alias("row"),
-            (over | ~room).alias("full"), F.when(ended & blank, acc["n"]).otherwise(n).alias("n"), F.when(ended, F.lit(False)).otherwise(quoted).alias("quoted"),
-        )
+    def finish(rows: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("rows"), F.lit(False).alias("full"), F.lit(False).alias("wide"))
+        return F.element_at(F.transform(F.array(F.aggregate(rows, start, count)), lambda seen: F.struct(
+            F.transform(F.slice(rows, F.lit(1), F.greatest(seen["rows"] - int(cut), F.lit(0))), lambda r: F.transform(F.slice(r, 1, max_columns), clean)).alias("rows"),
+            (seen["full"] | seen["wide"] | F.lit(cut)).alias("truncated"),
+        )), 1)
 
-    def finish(acc: Column) -> Column:
-        rows = F.slice(acc["rows"], F.lit(1), F.greatest(F.size(acc["rows"]) - 1, F.lit(0))) if cut else acc["rows"]
-        return F.struct(rows.alias("rows"), (acc["full"] | F.lit(cut)).alias("truncated"))
-
-    return F.aggregate(tokens, start, step, finish)
+    return F.element_at(F.transform(F.array(_raw_rows(F.regexp_replace(text, "^\ufeff", ""), delimiter)), finish), 1)
 
 
 # --- web pages ---
@@ -276,14 +323,10 @@ _IGNORED = "head|script|style|noscript|template|svg|math|iframe|object|audio|vid
 _BREAKS = "p|div|section|article|main|aside|header|footer|nav|ul|ol|dl|dt|dd|table|tr|td|th|thead|tbody|form|fieldset|figure|figcaption|address|details|summary|hr"
 
 
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """Pages as ordered blocks: page_id, block_no, kind, level, text.
-
-    Ignored subtrees and comments go first; then every tag that starts or ends a block becomes a separator that carries
-    its kind, the text is split at them, inline tags are dropped, `br` is a line end, and white space is collapsed.
-    """
+def _blocks_of(html: Column) -> Column:
+    """An array of blocks: block_no, kind, level, text."""
     sep, br = "\u001e", "\u001f"
-    body = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")
+    body = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     body = F.regexp_replace(body, rf"(?is)<({_IGNORED})\b[^>]*>.*?</\1\s*>", "")
     body = F.regexp_replace(body, r"(?is)<(\w+)\b[^>]*\shidden\b[^>]*>[^<]*</\1\s*>", "")
     body = F.regexp_replace(body, r"\s+", " ")
@@ -294,13 +337,26 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     body = F.regexp_replace(body, r"(?i)<li\b[^>]*>", f"{sep}LIST_ITEM{br}")
     body = F.regexp_replace(body, rf"(?i)</?(?:{_BREAKS})\b[^>]*>|</(?:h[1-6]|li)\s*>", f"{sep}PARAGRAPH{br}")
     body = F.regexp_replace(body, r"<[A-Za-z/!?][^>]*>", "")
-    rows = pages.select("page_id", F.posexplode(F.split(body, sep, -1)).alias("at", "piece"))
-    head = F.substring_index("piece", br, 1)
-    lines = F.regexp_replace(F.substring(F.col("piece"), F.length(head) + 2, F.length("piece")), r" *\x1f *", "\n")
-    text = F.regexp_replace(T.decode_entities(F.regexp_replace(lines, "^[ \n]+|[ \n]+$", "")), " ", " ")
-    kept = rows.select("page_id", "at", F.regexp_replace(head, "[1-6]$", "").alias("kind"), F.regexp_extract(head, "([1-6])$", 1).try_cast("int").alias("level"), text.alias("text")).where("text <> '' and kind in ('HEADING', 'LIST_ITEM', 'PARAGRAPH', 'IMAGE', 'DIVIDER')")
-    number = (F.row_number().over(W.partitionBy("page_id").orderBy("at")) - 1).cast("long")
-    return kept.select("page_id", number.alias("block_no"), "kind", F.coalesce("level", F.lit(0)).alias("level"), F.when(F.col("kind") == "DIVIDER", "").otherwise(F.col("text")).alias("text"))
+
+    def piece(p: Column) -> Column:
+        head = F.substring_index(p, br, 1)
+        lines = F.regexp_replace(F.substring(p, F.length(head) + 2, F.length(p)), r" *\x1f *", "\n")
+        kind = F.regexp_replace(head, "[1-6]$", "")
+        return F.struct(kind.alias("kind"), F.regexp_replace(lines, "^[ \n]+|[ \n]+$", "").alias("raw"), F.coalesce(F.regexp_extract(head, "([1-6])$", 1).try_cast("int"), F.lit(0)).alias("level"))
+
+    kinds = ("HEADING", "LIST_ITEM", "PARAGRAPH", "IMAGE", "DIVIDER")
+    kept = F.filter(F.transform(F.split(body, sep, -1), piece), lambda b: (b["raw"] != "") & b["kind"].isin(*kinds))
+    text = lambda b: F.when(b["kind"] == "DIVIDER", "").otherwise(F.replace(T.decode_entities(b["raw"]), F.lit("\xa0"), F.lit(" ")))
+    return F.transform(kept, lambda b, i: F.struct(i.cast("long").alias("block_no"), b["kind"].alias("kind"), b["level"].alias("level"), text(b).alias("text")))
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """Pages as ordered blocks: page_id, block_no, kind, level, text.  Found in the row, without a shuffle.
+
+    Ignored subtrees and comments go first; then every tag that starts or ends a block becomes a separator that carries
+    its kind, the text is split at them, inline tags are dropped, `br` is a line end, and white space is collapsed.
+    """
+    return pages.select("page_id", F.inline(_blocks_of(F.col("html"))))
 
 
 def blocks_to_text(blocks: DataFrame, max_chars: int = 1_000_000) -> DataFrame:
@@ -377,37 +433,41 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return led.select("page_id", "pos", F.inline(F.filter(F.array(edge), lambda e: e["target"].isNotNull())))
 
 
+def _on_grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of each table on its grid: a cell stands in the first free column of its row, and its spans take up others."""
+    names = ("row_no", "column", "colspan", "rowspan", "text")
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+        for page, table, rows in zip(*[batch.column(c).to_pylist() for c in ("page_id", "table_no", "cells")], strict=True):
+            reaches: dict[int, int] = {}  # column -> first row that it is free in again
+            for row_no, cells in enumerate(rows):
+                column = 0
+                for c in cells:
+                    while reaches.get(column, 0) > row_no:
+                        column += 1
+                    values = (page, table, row_no, column, c["colspan"], c["rowspan"], c["text"])
+                    for held, value in zip(out, values, strict=True):
+                        held.append(value)
+                    for taken in range(column, column + c["colspan"]):
+                        reaches[taken] = max(reaches.get(taken, 0), row_no + c["rowspan"])
+                    column += c["colspan"]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["page_id", "table_no", *names])
+
+
 def table_cells(pages: DataFrame) -> DataFrame:
     """Cells of tables on their grid: page_id, table_no, row_no, column, colspan, rowspan, text.
 
     Spans are at most 64.  A cell stands in the first column that neither the cells before it in its row nor cells from
-    above that reach down take; rows are folded in order within one table.
+    above that reach down take; rows are laid in order within one table.
     """
     tables = F.regexp_extract_all("html", F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(tables).alias("table_no", "t")).select("page_id", "table_no", F.regexp_extract_all("t", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|\z)"), F.lit(1)).alias("trs"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.posexplode(tables).alias("table_no", "t")).select("page_id", "table_no", F.regexp_extract_all("t", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|\z)"), F.lit(1)).alias("trs"))
     span = lambda c, name: F.least(F.greatest(F.coalesce(F.regexp_extract(c, rf"(?is)^<t[dh]\b[^>]*\b{name}=\"?([0-9]+)", 1).try_cast("int"), F.lit(1)), F.lit(1)), F.lit(64))
     words = lambda c: F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace(c, "<[^>]*>", "")), r"\s+", " "))
     cell = lambda c: F.struct(span(c, "colspan").alias("colspan"), span(c, "rowspan").alias("rowspan"), words(c).alias("text"))
     cells = F.transform("trs", lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|\z)"), F.lit(0)), cell))
-    kind = "array<struct<row_no:int,column:int,colspan:int,rowspan:int,text:string>>"
-
-    def place(acc: Column, c: Column, row: Column) -> Column:
-        taken = lambda col: F.exists(acc["out"], lambda o: (o["row_no"] + o["rowspan"] > row) & (o["column"] <= col) & (col < o["column"] + o["colspan"]))
-        free = F.filter(F.sequence(acc["next"], acc["next"] + F.size(acc["out"]) * 64), lambda col: ~taken(col))
-        column = F.element_at(free, 1)
-        done = F.struct(row.alias("row_no"), column.alias("column"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"), c["text"].alias("text"))
-        return F.struct(F.array_append(acc["out"], done).alias("out"), (column + c["colspan"]).alias("next"))
-
-    numbered = F.flatten(F.transform(F.col("cells"), lambda r, i: F.transform(r, lambda c: F.struct(i.alias("row"), c.alias("c")))))
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("next"), F.lit(0).alias("row"))
-
-    def step(acc: Column, x: Column) -> Column:
-        here = F.struct(acc["out"].alias("out"), F.when(acc["row"] == x["row"], acc["next"]).otherwise(0).alias("next"))
-        p = place(here, x["c"], x["row"])
-        return F.struct(p["out"].alias("out"), p["next"].alias("next"), x["row"].alias("row"))
-
-    laid = rows.withColumn("cells", cells).select("page_id", "table_no", F.explode(F.aggregate(numbered, start, step, lambda a: a["out"])).alias("c"))
-    return laid.select("page_id", "table_no", "c.row_no", "c.column", "c.colspan", "c.rowspan", "c.text")
+    return rows.select("page_id", "table_no", cells.alias("cells")).mapInArrow(_on_grid, "page_id long, table_no int, row_no int, column int, colspan int, rowspan int, text string")
 
 
 def block_find(blocks: DataFrame, query: str) -> DataFrame:

@@ -6,6 +6,9 @@ counts once its _SUCCESS file, written last, is there; a failed run leaves the o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -78,26 +81,41 @@ def save_progress(progress: DataFrame, samples: DataFrame, parents: DataFrame) -
     return progress.join(live.select("document_id"), "document_id", "left_anti").select("document_id", "unit", "fraction", "zoom").unionByName(live)
 
 
+def _decide(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Candidates sorted by document and time: each against the spots accepted so far, at most `limit` of one document."""
+    near = {1: 2 / T.LINES_PER_CHUNK, 2: 0.1}
+    held, kept, n_kept = None, {}, 0
+    for batch in batches:
+        said = []
+        for document, kind, unit, fraction in zip(*[batch.column(c).to_pylist() for c in ("document_id", "kind", "unit", "fraction")], strict=True):
+            if document != held:
+                held, kept, n_kept = document, {}, 0
+            if kind in (0, 1, 2):
+                spots = kept.setdefault((kind, unit), [])
+                known = any(kind == 0 or abs(f - fraction) <= near[kind] for f in spots)
+            else:  # offsets: near ones are up to 100 signs away
+                spots = kept.setdefault((kind, None), [])
+                known = any(abs(u - unit) <= 100 for u in spots)
+            if known:
+                said.append("ALREADY_BOOKMARKED")
+            elif n_kept >= limit:
+                said.append("LIMIT_REACHED")
+            else:
+                spots.append(fraction if kind in (0, 1, 2) else unit)
+                n_kept += 1
+                said.append("ADD")
+        yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("candidate_id"), pa.array(said, pa.string())], ["document_id", "candidate_id", "decision"])
+
+
 def bookmark_dedupe(candidates: DataFrame, limit: int = 200) -> DataFrame:
     """M7: candidates of one document in order: near an accepted one ALREADY_BOOKMARKED, beyond the limit LIMIT_REACHED, else ADD.
 
-    A fold over the sorted candidates of each document, in column expressions; the state holds accepted spots only.
+    Candidates are dealt by document and sorted by time; only the accepted spots of the one being read are held.
     """
-    spots = F.array().cast("array<struct<kind:int,unit:bigint,fraction:double>>")
-    answers = F.array().cast("array<struct<candidate_id:bigint,decision:string>>")
-    start = F.struct(spots.alias("kept"), answers.alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        near = F.exists(acc["kept"], lambda k: T.same_spot(k["kind"], k["unit"], k["fraction"], c["kind"], c["unit"], c["fraction"]))
-        full = F.size(acc["kept"]) >= limit
-        said = F.when(near, "ALREADY_BOOKMARKED").when(full, "LIMIT_REACHED").otherwise("ADD")
-        spot = F.struct(c["kind"].alias("kind"), c["unit"].alias("unit"), c["fraction"].alias("fraction"))
-        kept = F.when(near | full, acc["kept"]).otherwise(F.array_append(acc["kept"], spot))
-        return F.struct(kept.alias("kept"), F.array_append(acc["out"], F.struct(c["candidate_id"].alias("candidate_id"), said.alias("decision"))).alias("out"))
-
-    listed = candidates.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ts", "candidate_id", "kind", "unit", "fraction"))).alias("c"))
-    done = listed.select("document_id", F.explode(F.aggregate("c", start, step, lambda acc: acc["out"])).alias("d"))
-    return done.select("document_id", "d.candidate_id", "d.decision")
+    rows = candidates.select("document_id", F.col("candidate_id").cast("long").alias("candidate_id"), "ts", F.col("kind").cast("int").alias("kind"), F.col("unit").cast("long").alias("unit"), F.col("fraction").cast("double").alias("fraction"))
+    ordered = rows.repartition("document_id").sortWithinPartitions("document_id", "ts", "candidate_id")
+    kind = rows.schema["document_id"].dataType.simpleString()
+    return ordered.mapInArrow(lambda it: _decide(it, limit), f"document_id {kind}, candidate_id long, decision string")
 
 
 def restore_bookmark(bookmarks: DataFrame, undone: DataFrame, parents: DataFrame) -> DataFrame:

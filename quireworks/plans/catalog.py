@@ -187,27 +187,30 @@ def _(t):
 
 
 @query("join_regrant_match", """
-    WITH p AS (SELECT id AS pick_id, CASE WHEN id % 50 = 0 THEN ' ' ELSE title END AS name, CASE WHEN id % 4 = 0 THEN 'CODE' WHEN id % 4 = 1 THEN 'UNKNOWN' ELSE format END AS picked FROM library WHERE id < 200),
+    WITH p AS (SELECT id AS pick_id, CASE WHEN id % 50 = 0 THEN ' ' ELSE 'file' || (id // 8) END AS name, CASE WHEN id % 4 = 0 THEN 'CODE' WHEN id % 4 = 1 THEN 'UNKNOWN' ELSE format END AS picked FROM library),
+         l AS (SELECT id, 'file' || (id // 8) AS title, format FROM library),
          q AS (SELECT pick_id, CASE WHEN trim(name) = '' THEN 'untitled' ELSE name END AS title, picked FROM p)
-    SELECT l.id, q.pick_id FROM library l JOIN q USING (title)
+    SELECT l.id, q.pick_id FROM l JOIN q USING (title)
     WHERE l.format = picked OR (l.format = 'UNKNOWN' AND picked = 'CODE') OR (l.format = 'CODE' AND picked IN ('UNKNOWN', 'CSV'))""", LIB)
 def _(t):
+    """All documents picked again, names shared by eight of them."""
     i = F.col("id")
-    picks = t.library.where("id < 200").select(
+    rows = t.library.withColumn("title", F.concat(F.lit("file"), F.floor(i / 8)))
+    picks = rows.select(
         i.alias("pick_id"), F.when(i % 50 == 0, " ").otherwise(F.col("title")).alias("name"),
         F.when(i % 4 == 0, "CODE").when(i % 4 == 1, "UNKNOWN").otherwise(F.col("format")).alias("format"),
     )
-    return C.join_regrant_match(t.library, picks)
+    return C.join_regrant_match(rows, picks)
 
 
 @query("join_rect_touch", """
     WITH b AS (SELECT event_id AS selection_id, document_id, unit % 5 AS page, fraction / 2 + 0.1 AS l, fraction / 2 + 0.2 AS r, unit / 50.0::DOUBLE AS t, unit / 50.0::DOUBLE + 0.03 AS b
-               FROM samples WHERE event_id % 10 = 0)
+               FROM samples)
     SELECT DISTINCT b.selection_id, h.id FROM highlights h JOIN b USING (document_id, page)
     WHERE h.l < b.r AND b.l < h.r AND (b.t + b.b) / 2 BETWEEN h.t AND h.b""", "samples highlights")
 def _(t):
     v, u = F.col("fraction"), F.col("unit") / 50.0
-    boxes = t.samples.where("event_id % 10 = 0").select(
+    boxes = t.samples.select(
         F.col("event_id").alias("selection_id"), "document_id", (F.col("unit") % 5).alias("page"), (v / 2 + 0.1).alias("l"), (v / 2 + 0.2).alias("r"), u.alias("t"), (u + 0.03).alias("b")
     )
     return C.join_rect_touch(t.highlights, boxes)
@@ -280,9 +283,9 @@ def _(t):
     return C.index_state_counts(t.library, t.document_text)
 
 
-@query("shared_mime_type", "SELECT id % 150 AS sel_id, CASE WHEN count(DISTINCT format) = 1 THEN min(format) ELSE '*/*' END AS type FROM library WHERE id % 150 < 140 OR id < 150 GROUP BY 1", LIB)
+@query("shared_mime_type", "SELECT CASE WHEN id % 10 < 4 THEN id // 10 ELSE -(id // 100) * 10 - id % 10 END AS sel_id, CASE WHEN count(DISTINCT format) = 1 THEN min(format) ELSE '*/*' END AS type FROM library GROUP BY 1", LIB)
 def _(t):
-    return C.shared_mime_type(t.library.where("id % 150 < 140 or id < 150").select((F.col("id") % 150).alias("sel_id"), F.col("format").alias("type")))
+    return C.shared_mime_type(t.library.select(F.when(F.col("id") % 10 < 4, F.floor(F.col("id") / 10)).otherwise(-F.floor(F.col("id") / 100) * 10 - F.col("id") % 10).alias("sel_id"), F.col("format").alias("type")))
 
 
 @query("marks_by_page", "SELECT document_id, page, list(id ORDER BY id)::VARCHAR AS marks FROM highlights GROUP BY 1, 2", "highlights")

@@ -91,15 +91,15 @@ def _(t):
 
 
 @query("S11", """
-    WITH p AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(CASE WHEN doc_id % 8 = 0 THEN 'new ' || text ELSE text END)), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id % 10 <> 9)
+    WITH p AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(CASE WHEN doc_id % 8 = 0 THEN 'new ' || text ELSE text END)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
     SELECT term, doc_id, count(*) AS tf FROM p GROUP BY 1, 2""")
 def _(t):
     """The postings after a second batch, built from what was there and the delta only."""
-    docs = t.documents.where("doc_id % 10 <> 9").select("doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
     first, _ = search.build_postings(docs)
     changed = docs.where("doc_id % 8 = 0").select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
     delta, _ = search.build_postings(changed)
-    return first.join(changed.select("doc_id"), "doc_id", "left_anti").select("term", "doc_id", "tf").unionByName(delta)
+    return first.join(changed.select("doc_id"), "doc_id", "left_anti").select("term", "doc_id", "tf").unionByName(delta.select("term", "doc_id", "tf"))
 
 
 @query("S12", f"""

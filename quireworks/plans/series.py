@@ -104,7 +104,7 @@ def _(t):
 
 
 @query("fit_r2", """
-    SELECT series_id, CASE WHEN regr_syy(y, x) < 1e-12 THEN '1.00' WHEN count(*) < 2 OR regr_sxx(y, x) < 1e-12 THEN '0.00' ELSE format('{:.2f}', least(greatest(regr_r2(y, x), 0), 1)) END AS r2
+    SELECT series_id, CASE WHEN count(*) < 2 OR regr_sxx(y, x) < 1e-12 THEN '0.00' WHEN regr_syy(y, x) < 1e-12 THEN '1.00' ELSE format('{:.2f}', least(greatest(regr_r2(y, x), 0), 1)) END AS r2
     FROM (SELECT series_id, x, y FROM monthly_series UNION ALL SELECT 'flat', x, 1.0 FROM monthly_series UNION ALL SELECT 'point', 1, min(y) FROM monthly_series UNION ALL SELECT 'upright', 1, y FROM monthly_series) GROUP BY 1""", V)
 def _(t):
     m = t.monthly_series.select("series_id", "x", "y")

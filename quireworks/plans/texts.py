@@ -64,9 +64,24 @@ def _(t):
     return X.line_stats(t.documents)
 
 
-@query("delimiter_mode", """
+def tokens(d):
+    """SQL for a pattern that cuts text into cells (group 1) and what ends them (group 2)."""
+    q = "\\|" if d == "|" else d
+    return f"""'((?:"(?:[^"]|"")*(?:"[^{d}\\n]*)?|[^{d}"\\n][^{d}\\n]*)?)({q}|\\n|$)'"""
+
+
+def sizes(d, no, text):
+    """SQL for the field counts of a text's rows: a row is blank if it is one empty cell without quotes."""
+    return f"""SELECT doc_id, {no} AS no, '{d}' AS d, line, count(*) AS fields FROM (
+        SELECT doc_id, i, cell, count(*) FILTER (sep <> '{d}') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line FROM (
+          SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS cell, unnest(s) AS sep FROM (
+            SELECT doc_id, regexp_extract_all({text}, {tokens(d)}, 1) AS c, regexp_extract_all({text}, {tokens(d)}, 2) AS s FROM documents)))
+        GROUP BY doc_id, line HAVING count(*) > 1 OR max(cell) <> ''"""
+
+
+@query("delimiter_mode", f"""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-         f AS (SELECT doc_id, no, d, length(line) - length(replace(line, d, '')) + 1 AS fields FROM l, (VALUES (0, ','), (1, ';'), (2, '|')) AS c(no, d)),
+         f AS ({" UNION ALL ".join(f"SELECT doc_id, {no} AS no, '{d}' AS d, len(list_filter(regexp_extract_all(line, {tokens(d)}, 2), lambda x: x = '{d}')) + 1 AS fields FROM l" for no, d in enumerate(",;|"))}),
          n AS (SELECT doc_id, no, d, fields, count(*) AS n FROM f GROUP BY ALL),
          m AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, no) AS rows, row_number() OVER (PARTITION BY doc_id, no ORDER BY n DESC, fields DESC) AS r FROM n)
     SELECT doc_id, no, d AS delimiter, fields, round(n / rows, 9) AS share FROM m WHERE r = 1""")
@@ -74,25 +89,30 @@ def _(t):
     return X.delimiter_mode(X.line_rows(t.documents), ",;|").withColumn("share", F.round("share", 9))
 
 
-@query("F10", """
-    WITH h AS (SELECT doc_id, list_filter(string_split(left(text, 65536), chr(10)), lambda x: x <> '')[1:50] AS l FROM documents),
-         f AS (SELECT doc_id, no, d, length(line) - length(replace(line, d, '')) + 1 AS fields FROM (SELECT doc_id, unnest(l) AS line FROM h), (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) AS c(no, d)),
-         n AS (SELECT doc_id, no, d, fields, count(*) AS n FROM f GROUP BY ALL),
-         m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY n DESC, fields DESC) AS r FROM n),
-         b AS (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, no) AS r FROM m WHERE r = 1 AND fields >= 2)
+@query("F10", f"""
+    WITH f AS ({" UNION ALL ".join(sizes(d, no, "CASE WHEN length(text) > 65536 AND contains(left(text, 65536), chr(10)) THEN regexp_replace(left(text, 65536), chr(10) || '[^' || chr(10) || ']*$', '') ELSE left(text, 65536) END") for no, d in enumerate([",", ";", chr(9), "|"]))}),
+         g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY line) AS k FROM f) WHERE k <= 50),
+         n AS (SELECT doc_id, no, d, fields, count(*) AS n FROM g GROUP BY ALL),
+         m AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, no) AS rows, row_number() OVER (PARTITION BY doc_id, no ORDER BY n DESC, fields DESC) AS r FROM n),
+         b AS (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY n / rows DESC, no) AS r FROM m WHERE r = 1 AND fields >= 2)
     SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN chr(9) ELSE coalesce(d, ',') END AS delimiter FROM documents LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (doc_id)""")
 def _(t):
     name = F.when(F.col("doc_id") % 10 == 3, "A.TSV").otherwise("a.csv")
     return t.documents.select("doc_id", X.sniff_delimiter(name, F.col("text")).alias("delimiter"))
 
 
-@query("F11", """
-    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents WHERE NOT contains(text, '"')),
-         r AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS row_no, unnest(l) AS line FROM l),
-         c AS (SELECT doc_id, row_no, generate_subscripts(x, 1) - 1 AS col_no, unnest(x) AS value FROM (SELECT doc_id, row_no, string_split(line, ',') AS x FROM r))
-    SELECT doc_id, row_no::INT AS row_no, col_no::INT AS col_no, CASE WHEN length(value) > 10000 THEN left(value, 10000) || '…' ELSE value END AS value, false AS truncated FROM c""")
+CELL = "CASE WHEN starts_with(cell, '\"') THEN replace(regexp_extract(cell, '(?s)^\"((?:[^\"]|\"\")*)(?:\"|$)', 1), '\"\"', '\"') || regexp_replace(cell, '(?s)^\"(?:[^\"]|\"\")*(?:\"|$)', '') ELSE cell END"
+
+
+@query("F11", f"""
+    WITH c AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS cell, unnest(s) AS sep FROM (
+            SELECT doc_id, regexp_extract_all(text, {tokens(",")}, 1) AS c, regexp_extract_all(text, {tokens(",")}, 2) AS s FROM documents)),
+         r AS (SELECT *, count(*) FILTER (sep <> ',') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line FROM c),
+         k AS (SELECT *, count(*) OVER w AS n, max(cell) OVER w AS most, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS col_no FROM r WINDOW w AS (PARTITION BY doc_id, line)),
+         v AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS row_no, col_no, {CELL} AS value FROM k WHERE n > 1 OR most <> '')
+    SELECT doc_id, row_no::INT AS row_no, col_no::INT AS col_no, CASE WHEN length(value) > 10000 THEN left(value, 10000) || '…' ELSE value END AS value, false AS truncated FROM v""")
 def _(t):
-    rows = t.documents.where(~F.contains("text", F.lit('"'))).select(F.col("doc_id").cast("string").alias("path"), "text", F.lit(",").alias("delimiter"))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("path"), "text", F.lit(",").alias("delimiter"))
     return X.delimited_cells(rows).select(F.col("path").cast("long").alias("doc_id"), "row_no", "col_no", "value", "truncated")
 
 
@@ -113,9 +133,9 @@ def _(t):
     return encoded(t).select(F.col("path").cast("long").alias("doc_id"), X.decoded(F.col("content"))[0].alias("encoding"))
 
 
-@query("read_text_corpus", f"SELECT doc_id, {ENC} AS encoding, left(text, 3000) AS text, length(text) > 3000 AS truncated FROM documents")
+@query("read_text_corpus", f"SELECT doc_id, {ENC} AS encoding, left(text, 1000000) AS text, length(text) > 1000000 AS truncated FROM documents")
 def _(t):
-    return X.from_bytes(encoded(t), max_chars=3000).select(F.col("path").cast("long").alias("doc_id"), "encoding", "text", "truncated")
+    return X.from_bytes(encoded(t)).select(F.col("path").cast("long").alias("doc_id"), "encoding", "text", "truncated")
 
 
 @query("read_delimited_corpus", """
@@ -160,10 +180,15 @@ def _(t):
 
 @query("F4", "SELECT kind, count(*) AS n FROM (SELECT 'MARKUP' AS kind FROM pages UNION ALL SELECT (['PYTHON', 'MARKUP', 'JSON', 'JSONC', 'JSON5', NULL, 'SHELL'])[doc_id % 7 + 1] FROM documents) GROUP BY 1")
 def _(t):
-    heads = ["#!/usr/bin/env -S python3.11 -u\n", "<!-- c --><svg:svg>", '{"u": "http://x"}', '// c\n{"a": 1,}', "{a: 'b'}", "x ", "#!/bin/bash\n"]
-    tail = F.when(F.col("doc_id") % 7 == 5, F.col("text")).otherwise("")
-    made = t.documents.select(F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 7 + 1).cast("int")), tail).alias("head"))
-    rows = t.pages.select(F.col("html").alias("head")).union(made)
+    """Every document's whole text behind a head of each kind; in JSON it is a string."""
+    string = F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":|\}$', "")
+    text = F.col("text")
+    made = [
+        F.concat(F.lit("#!/usr/bin/env -S python3.11 -u\n"), text), F.concat(F.lit("<!-- c --><svg:svg>"), text), F.concat(F.lit('{"u": "http://x", "v": '), string, F.lit("}")),
+        F.concat(F.lit('// c\n{"a": '), string, F.lit(",}")), F.concat(F.lit("{a: 'b', c: "), string, F.lit("}")), F.concat(F.lit("x "), text), F.concat(F.lit("#!/bin/bash\n"), text),
+    ]
+    picked = F.element_at(F.array(*made), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = t.pages.select(F.col("html").alias("head")).union(t.documents.select(picked))
     return rows.groupBy(T.content_kind(F.col("head"), F.lit("txt")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -173,7 +198,7 @@ def _(t):
 
 
 @query("F7", r"""
-    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS a FROM documents)
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\w.%+-]+@(?:[[:alnum:]-]+\.)+[[:alpha:]]{2,}')) AS a FROM documents)
     SELECT doc_id, 'mailto:' || a AS destination, count(*) AS n FROM m GROUP BY 1, 2
     UNION ALL SELECT -page_id - 1, regexp_replace(url, '[.,]+$', ''), 1 FROM pages""")
 def _(t):
@@ -292,10 +317,11 @@ def _(t):
     return t.documents.select("doc_id", T.import_file_name(display, segment, mime, d).alias("name_"))
 
 
-@query("F25", f"WITH {HREF} SELECT page_id, href, CASE WHEN ltrim(href, '/') <> '' THEN ltrim(href, '/') END AS path, ('bk/' || page_id || '/b.html') AS other FROM h WHERE NOT contains(href, '%') AND NOT contains(href, '#') AND NOT contains(href, '?') AND NOT contains(href, ':') AND NOT contains(href, '//') AND NOT contains(href, '/.') AND href LIKE '/%'")
+@query("F25", f"""WITH {HREF}, r AS (SELECT page_id, href, regexp_replace(regexp_replace(href, '#.*$', ''), '[?].*$', '') AS raw FROM h)
+    SELECT page_id, href, CASE WHEN raw <> '' THEN nullif(ltrim(CASE WHEN starts_with(raw, '/') THEN raw ELSE 'base/' || raw END, '/'), '') END AS path, ('bk/' || page_id || '/b.html') AS other FROM r""")
 def _(t):
     rows = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>.*?</a>'), F.lit(1))).alias("href"))
-    rows = rows.withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&"))).where(~F.col("href").rlike(r"[%#?:]|//|/\.") & F.startswith("href", F.lit("/")))
+    rows = rows.withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
     other = T.resolve_path(F.concat(F.lit("bk/x/"), "page_id", F.lit("/c/")), F.concat(F.lit("../../../"), "page_id", F.lit("/./a/../b%2Ehtml#f")))
     return rows.select("page_id", "href", T.resolve_path(F.lit("base/"), F.col("href")).alias("path"), other.alias("other"))
 
@@ -355,7 +381,7 @@ def _(t):
 
 @query("chunk_offsets", f"WITH {CHUNKS} SELECT doc_id, chunk_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM chunks")
 def _(t):
-    return X.chunk_offsets(X.chunk_lines(t.documents)).select("doc_id", "chunk_no", "start_offset")
+    return X.chunk_offsets(t.documents).select("doc_id", "chunk_no", "start_offset")
 
 
 BROKEN = "regexp_replace(text, '\\. ', '.' || chr(10) || chr(10), 'g')"
@@ -380,15 +406,23 @@ UNITS = f"""{CHUNKS}, u AS (SELECT doc_id, chunk_no AS anchor, replace(text, chr
 
 @query("D3", f"WITH {UNITS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY anchor) - 1 AS unit_no, anchor, 0::BIGINT AS start, text FROM u")
 def _(t):
-    return X.speakable_units(X.chunk_lines(t.documents))
+    return X.speakable_units(t.documents)
+
+
+@query("D3_markdown", f"""
+    WITH s AS (SELECT doc_id, string_split({BROKEN}, chr(10) || chr(10)) AS x FROM documents),
+         e AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS p FROM s),
+         o AS (SELECT *, sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS s FROM e)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit_no, s::BIGINT AS anchor, 0::BIGINT AS start, replace(p, chr(10), ' ') AS text FROM o WHERE trim(p) <> ''""")
+def _(t):
+    return X.speakable_markdown(broken(t))
 
 
 @query("unit_prefix_counts", f"""
     WITH {CHUNKS}, n AS (SELECT doc_id, max(chunk_no) + 1 AS n FROM chunks GROUP BY 1)
     SELECT doc_id, unnest(range(0, n + 1)) AS chunk_no, unnest(range(0, n + 1)) AS first_unit FROM n""")
 def _(t):
-    chunks = X.chunk_lines(t.documents)
-    return X.unit_prefix_counts(X.speakable_units(chunks), chunks)
+    return X.unit_prefix_counts(X.speakable_units(t.documents), X.chunk_lines(t.documents))
 
 
 @query("join_asof_unit", """
@@ -407,7 +441,7 @@ def _(t):
     SELECT doc_id, max(chunk_no) AS chunk_no, x - max(s) AS chunk_offset, x AS "offset" FROM m JOIN c USING (doc_id) WHERE s <= x GROUP BY doc_id, x""")
 def _(t):
     matches = X.find_rows(t.documents, "tion").select("doc_id", F.col("start").cast("long").alias("offset"))
-    return X.join_asof_chunk(matches, X.chunk_offsets(X.chunk_lines(t.documents)))
+    return X.join_asof_chunk(matches, X.chunk_offsets(t.documents))
 
 
 @query("join_span_cover", f"""
@@ -436,9 +470,14 @@ def _(t):
     return X.html_blocks(t.pages)
 
 
-@query("D5", f"WITH {BLOCKS} SELECT page_id AS doc_id, left(string_agg(text, chr(10) ORDER BY block_no), 4000) AS text FROM blocks GROUP BY 1")
+@query("D3_blocks", f"WITH {BLOCKS} SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS unit_no, block_no AS anchor, 0::BIGINT AS start, replace(text, chr(10), ' ') AS text FROM blocks")
+def _(t):
+    return X.speakable_blocks(t.pages)
+
+
+@query("D5", f"WITH {BLOCKS} SELECT page_id AS doc_id, left(string_agg(text, chr(10) ORDER BY block_no), 1000000) AS text FROM blocks GROUP BY 1")
 def _(t):
-    return X.blocks_to_text(X.html_blocks(t.pages), 4000)
+    return X.blocks_to_text(X.html_blocks(t.pages))
 
 
 @query("D6", f"WITH {BLOCKS} SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS pos, block_no AS target, 0 AS depth, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS title FROM blocks WHERE kind = 'HEADING'")

@@ -38,17 +38,19 @@ def restore_gate(samples: DataFrame, markers: DataFrame) -> DataFrame:
     return samples.join(done, "document_id").where("ts >= __restored").drop("__restored")
 
 
-def combine_latest_gate(signals: DataFrame, slot: str = "day") -> DataFrame:
+def combine_latest_gate(signals: DataFrame) -> DataFrame:
     """Open when enabled and neither reading nor on battery saver, over the latest values, changes only: ts, open.
 
-    One order over all signals is needed, so the log is folded in two levels: within slots of time the values carried in
-    are unknown; slots are few, and what they leave behind is carried over them first.
+    One order over all signals is needed, so the log is range-sorted and folded in two levels: within a range the values
+    carried in are unknown; what each range leaves behind is carried over them first.  Ranges hold like numbers of rows,
+    whatever the rate; their number is given, so that all uses of the sort share one exchange.
     """
     names = ("enabled", "reading", "battery")
-    rows = signals.withColumn("__slot", F.floor(F.col("ts") / (86_400 * SECOND)))
+    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signals.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("__slot", F.spark_partition_id())
     ends = rows.groupBy("__slot").agg(*[F.max_by("on", F.when(F.col("signal") == n, F.struct("ts", "event_id"))).alias(n) for n in names])
     carry = W.orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    # one row per slot: as many as there are days
+    # one row per range
     carried = ends.select("__slot", *[F.last(n, ignorenulls=True).over(carry).alias(f"c_{n}") for n in names])
     within = W.partitionBy("__slot").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     latest = lambda n: F.coalesce(F.last(F.when(F.col("signal") == n, F.col("on")), ignorenulls=True).over(within), F.col(f"c_{n}"), F.lit(False))

@@ -75,6 +75,7 @@ def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path:
         upkeep.write_text_index(rows, parents(), f"{path}/text")
         living = rows.join(parents().select(F.col("id").alias("document_id")), "document_id", "left_semi")
         fresh, _stats = search.build_postings(living.withColumnRenamed("document_id", "doc_id"))
+        fresh = fresh.select("term", "doc_id", "tf")
         known = upkeep.read_snapshot(batch.sparkSession, f"{path}/postings")
         merged = fresh if known is None else known.join(living.select(F.col("document_id").alias("doc_id")), "doc_id", "left_anti").unionByName(fresh)
         upkeep.write_snapshot(merged, f"{path}/postings")

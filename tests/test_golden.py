@@ -153,7 +153,7 @@ def test_find_spans_chunks(spark):
                 want.append((at, at + len(q)))
                 at += len(q)
             assert sorted(got.get(i, [])) == want
-    chunks = X.chunk_offsets(X.chunk_lines(docs, 3))
+    chunks = X.chunk_offsets(docs, 3)
     found = X.find_rows(docs, "ab").select("doc_id", F.col("start").cast("long").alias("offset"))
     for r in X.join_asof_chunk(found, chunks).join(chunks, ["doc_id", "chunk_no"]).collect():
         assert r.start_offset + r.chunk_offset == r.offset and 0 <= r.chunk_offset <= len(r.text)
