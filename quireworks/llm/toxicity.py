@@ -17,6 +17,8 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the training sample, in labelled documents; of the second number the labels are not looked at
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 THRESHOLD = 0.7
+#: Folds whose scores calibrate the weights
+FOLDS = 4
 EDGES = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -52,7 +54,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             own = np.unique(table[np.unique(codes[offsets[i] : offsets[i + 1]])])
             rows.append(own[own > 0].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("fold"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "fold", "features"])
 
 
 def telling(counts: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, least: int = 3, z: float = 6.0) -> np.ndarray:
@@ -145,20 +147,25 @@ def _logits(features: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return np.array([w[0] + w[f].sum() for f in features])
 
 
-def nnpu_train(features: list[np.ndarray], positive: np.ndarray, prior: float, folds: int = 4) -> np.ndarray:
-    """Weights fitted to the whole sample, rescaled by what other folds' weights say about each fold."""
+def nnpu_train(features: list[np.ndarray], positive: np.ndarray, prior: float, fold: np.ndarray) -> np.ndarray:
+    """Weights fitted to the whole sample, rescaled by what other folds' weights say about each fold.
+
+    The slope minimises the risk on the other folds' logits; the shift puts the score THRESHOLD where the isotonic
+    posterior of those logits reaches it.  A document may be in the sample twice, as a confirmed example and as unlabelled
+    text; both must be in one fold.
+    """
     w = nnpu_fit(features, positive, prior)
-    if positive.sum() < 2 * folds or (~positive).sum() < 2 * folds:
+    if min((side & (fold == k)).sum() for side in (positive, ~positive) for k in range(FOLDS)) < 2:
         return w
-    fold = np.zeros(len(features), np.int64)
-    for side in (positive, ~positive):
-        fold[side] = np.arange(side.sum()) % folds
     logit = np.zeros(len(features))
-    for k in range(folds):
+    for k in range(FOLDS):
         rest, own = np.nonzero(fold != k)[0], np.nonzero(fold == k)[0]
         part = nnpu_fit([features[i] for i in rest], positive[rest], prior)
         logit[own] = _logits([features[i] for i in own], part)
     slope, shift = calibrated(logit, positive, prior)
+    cut = crossing(logit, positive, prior, THRESHOLD)
+    if cut is not None:
+        shift = np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-6 - slope * cut
     out = w * slope
     out[0] = w[0] * slope + shift
     return out
@@ -180,6 +187,23 @@ def calibrated(logit: np.ndarray, positive: np.ndarray, prior: float, steps: int
     return max(float(theta[0]), 0.1), float(theta[1])
 
 
+def crossing(logit: np.ndarray, positive: np.ndarray, prior: float, level: float) -> float | None:
+    """The least logit from which the posterior reaches `level`; None where it never does.
+
+    The posterior is prior * (density of confirmed examples) / (density of unlabelled text), made monotone by pooling
+    neighbours that are out of order.
+    """
+    mass = np.where(positive, prior / max(positive.sum(), 1), 0.0), np.where(positive, 0.0, 1.0 / max((~positive).sum(), 1))
+    blocks: list[list[float]] = []
+    for i in np.lexsort((~positive, logit)):
+        blocks.append([logit[i], mass[0][i], mass[1][i]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            _, p, u = blocks.pop()
+            blocks[-1][1] += p
+            blocks[-1][2] += u
+    return next((float(at) for at, p, u in blocks if p >= level * u), None)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED
 ) -> np.ndarray:
@@ -201,8 +225,9 @@ def fit(
     # a bounded number of rows each, so broadcasting them is safe
     positive = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
     unlabelled = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id").select("positive", "text")
-    rows, rows_at = stage(chosen.mapInArrow(_features, "positive boolean, features array<int>"), "toxicity-features")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)).cast("int").alias("fold")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id").select("positive", fold, "text")
+    rows, rows_at = stage(chosen.mapInArrow(_features, "positive boolean, fold int, features array<int>"), "toxicity-features")
     n_p, n_u = (rows.where("positive" if side else "not positive").count() for side in (True, False))
     counted = (
         rows.select("positive", F.explode("features").alias("feature")).groupBy("feature")
@@ -212,13 +237,13 @@ def fit(
     for k, side in enumerate("pu"):
         counts[k, counted.column("feature").to_numpy()] = counted.column(side).to_numpy()
     picked = F.lit(np.nonzero(telling((counts[0], counts[1]), n_p, n_u))[0].tolist() or [-1]).cast("array<int>")
-    sample = rows.select("positive", F.array_sort(F.array_intersect("features", picked)).alias("features")).toArrow()
+    sample = rows.select("positive", "fold", F.array_sort(F.array_intersect("features", picked)).alias("features")).toArrow()
     discard(docs.sparkSession, rows_at)
-    flags = np.array(sample.column("positive").to_pylist(), bool)
+    flags, fold = np.array(sample.column("positive").to_pylist(), bool), sample.column("fold").to_numpy()
     lists = [np.array(x, np.int64) for x in sample.column("features").to_pylist()]
     # rows arrive in no fixed order; fit them in one that depends on their content only
-    order = sorted(range(len(flags)), key=lambda i: (not flags[i], len(lists[i]), lists[i].tolist()))
-    return nnpu_train([lists[i] for i in order], flags[order], prior)
+    order = sorted(range(len(flags)), key=lambda i: (not flags[i], len(lists[i]), lists[i].tolist(), fold[i]))
+    return nnpu_train([lists[i] for i in order], flags[order], prior, fold[order])
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -398,6 +398,19 @@ def test_risk_and_its_gradient():
     assert seen == {True, False}
 
 
+def test_posterior_crossing():
+    """Where the posterior of two known densities reaches the level."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    toxic, clean = rng.normal(2, 1, 30_000), rng.normal(-2, 1, 30_000)
+    mixed = np.where(rng.random(30_000) < 0.2, rng.normal(2, 1, 30_000), clean)
+    logit, positive = np.concatenate([toxic, mixed]), np.arange(60_000) < 30_000
+    # log(0.2 / 0.8) + 4 x = log(0.7 / 0.3)
+    assert abs(toxicity.crossing(logit, positive, 0.2, 0.7) - (math.log(0.7 / 0.3) + math.log(4)) / 4) < 0.15
+    assert toxicity.crossing(np.zeros(4), np.array([True, True, False, False]), 0.2, 0.7) is None
+
+
 def test_scores_against_plain_sums(spark):
     """Each score is the bias and the weights of the text's distinct features, added up one by one."""
     import numpy as np
