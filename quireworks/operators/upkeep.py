@@ -153,14 +153,41 @@ def schema_v2(df: DataFrame) -> DataFrame:
     return df if "source_modified" in df.columns else df.withColumn("source_modified", F.lit(0).cast("long"))
 
 
-def write_text_index(rows: DataFrame, parents: DataFrame, path: str) -> int:
-    """Replace text rows whose parent lives, as a new snapshot; returns how many were written."""
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table kept by replace_rows(), or None where there is none yet."""
+    fs, at = _fs(spark, path)
+    return spark.read.parquet(path).drop("bucket") if fs.exists(at) and len(fs.listStatus(at)) else None
+
+
+def replace_rows(fresh: DataFrame, keys: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """Replace all rows of the keys by the fresh ones in a table of hash buckets; only buckets of these keys are rewritten.
+
+    New files of a bucket take the old ones' place when the write ends, so a failed write leaves the table as it was, and
+    one that is repeated comes to the same end.
+    """
+    spark, bucket = fresh.sparkSession, _bucket(key, buckets)
+    touched = [r["b"] for r in keys.select(bucket.alias("b")).distinct().collect()]
+    new = fresh.withColumn("bucket", bucket)
+    if read_rows(spark, path) is not None:
+        known = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        new = known.join(keys.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+    kept = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+    spread = new.repartition("bucket", F.pmod(F.xxhash64(*[c for c in new.columns if c != "bucket"]), F.lit(4)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(touched) - kept:
+        fs, at = _fs(spark, f"{path}/bucket={b}")
+        fs.delete(at, True)
+
+
+def write_text_index(rows: DataFrame, parents: DataFrame, path: str, buckets: int = 64) -> int:
+    """Replace text rows whose parent lives; returns how many were written."""
     live = rows.join(parents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    known = read_snapshot(rows.sparkSession, path)
-    merged = live if known is None else known.join(live.select("document_id"), "document_id", "left_anti").unionByName(live)
-    n = live.count()
-    write_snapshot(merged, path)
-    return n
+    replace_rows(live, live.select("document_id"), "document_id", path, buckets)
+    return live.count()
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202

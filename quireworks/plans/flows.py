@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireworks.operators import search
+from quireworks.operators import upkeep
 from quireworks.plans.registry import query
+from quireworks.session import shared_path
 from quireworks.streaming import flows as S
+from quireworks.streaming import live
 
 HOUR = 3_600_000_000
 
@@ -94,12 +96,17 @@ def _(t):
     WITH p AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(CASE WHEN doc_id % 8 = 0 THEN 'new ' || text ELSE text END)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
     SELECT term, doc_id, count(*) AS tf FROM p GROUP BY 1, 2""")
 def _(t):
-    """The postings after a second batch, built from what was there and the delta only."""
-    docs = t.documents.select("doc_id", "text")
-    first, _ = search.build_postings(docs)
-    changed = docs.where("doc_id % 8 = 0").select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
-    delta, _ = search.build_postings(changed)
-    return first.join(changed.select("doc_id"), "doc_id", "left_anti").select("term", "doc_id", "tf").unionByName(delta.select("term", "doc_id", "tf"))
+    """The stream itself: all documents arrive, then an eighth of them anew; the postings it keeps."""
+    place = shared_path(t.spark, "arrivals")
+    docs = t.documents.select(F.col("doc_id").alias("document_id"), "text", F.lit(0).alias("ts"))
+    changed = docs.where("document_id % 8 = 0").select("document_id", F.concat(F.lit("new "), "text").alias("text"), F.lit(1).alias("ts"))
+    for number, part in enumerate((docs, changed)):
+        part.write.parquet(f"{place}/in/{number}")
+        source = t.spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+        # parents are asked for anew in every batch
+        run = live.index_arrivals(source, lambda: t.documents.select(F.col("doc_id").alias("id")), f"{place}/index", f"{place}/checkpoint", {"availableNow": True}, 16)
+        run.awaitTermination()
+    return upkeep.read_rows(t.spark, f"{place}/index/postings").select("term", "doc_id", "tf")
 
 
 @query("S12", f"""

@@ -154,4 +154,4 @@ def _(t):
     living = t.library.select("id").union(t.document_text.select("document_id")).distinct()
     U.write_text_index(t.document_text.select("document_id", "text"), living, path)
     U.write_text_index(replacing(t), t.library, path)
-    return U.read_snapshot(t.spark, path)
+    return U.read_rows(t.spark, path)

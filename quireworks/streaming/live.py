@@ -65,21 +65,147 @@ def distinct_until_changed(changes: DataFrame, key: str, value: str) -> DataFram
     return changes.groupBy(key).transformWithStateInPandas(_Changes(changes.columns, value), outputStructType=changes.schema, outputMode="append", timeMode="none")
 
 
-def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+class _Arrivals(StatefulProcessor):
+    """The list and size a document was last seen in; lets it through unless the list before had it at this size."""
+
+    def init(self, handle) -> None:  # noqa: ANN001
+        self.last = handle.getValueState("last", "snapshot_no long, size_bytes long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        batch = pd.concat(list(rows)).drop_duplicates().sort_values("snapshot_no")
+        last = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for i, now in enumerate(zip(batch["snapshot_no"].tolist(), batch["size_bytes"].tolist(), strict=True)):
+            if last[0] is None or last[0] != now[0] - 1 or last[1] != now[1]:
+                out.append(i)
+            last = now
+        self.last.update(last)
+        yield batch.iloc[out][["snapshot_no", "id", "size_bytes"]]
+
+    def close(self) -> None:
+        pass
+
+
+def eager_arrivals(snapshots: DataFrame, max_bytes: int) -> DataFrame:
+    """Small documents that are new at their size against the list before, one value of state per document; lists
+    (snapshot_no, id, size_bytes) arrive in their order, in whole batches."""
+    small = snapshots.where(F.col("size_bytes") <= max_bytes).select(*[F.col(c).cast("long").alias(c) for c in ("snapshot_no", "id", "size_bytes")])
+    return small.groupBy("id").transformWithStateInPandas(_Arrivals(), outputStructType=small.schema, outputMode="append", timeMode="none")
+
+
+class _Timed(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them; then they are handled in their order.
+
+    handle_due gets the rows that are due and the time reached (microseconds), and returns rows of output and the next
+    time to wake up, if any.  The store is keyed by event time, so late rows within the watermark fall into place.
+    """
+
+    columns: list[str] = []
+
+    def init(self, handle) -> None:  # noqa: ANN001
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, begin boolean")
+        self.pending = handle.getValueState("pending", "ts long, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for batch in rows:
+            for ts, event, begin in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["begin"].tolist(), strict=True):
+                self.waiting.appendValue((int(ts), int(event), bool(begin)))
+                self.handle.registerTimer(-(-int(ts) // 1000))
+        yield pd.DataFrame({c: [] for c in self.columns})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        # everything before the watermark is here; timers set behind it would not fire in this batch
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= now]
+        if due:
+            later = [r for r in rows if r[0] > now]
+            self.waiting.put(later) if later else self.waiting.clear()
+        out, wake = self.handle_due(due, now)
+        if wake is not None:
+            self.handle.registerTimer(-(-wake // 1000))
+        yield pd.DataFrame({c: [key[0] if c == "key" else r[c] for r in out] for c in self.columns}).astype("object")
+
+    def handle_due(self, due: list[tuple], now: int) -> tuple[list[dict], int | None]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Deadlines(_Timed):
+    """Says of each failed attempt when it may be repeated, once that time has come."""
+
+    columns = ["key", "event_id", "eligible_at"]
+
+    def __init__(self, retry: int):
+        self.retry = retry
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield from super().handleInputRows(key, (b.assign(us=b["us"] + self.retry) for b in rows), timerValues)
+
+    def handle_due(self, due: list[tuple], now: int) -> tuple[list[dict], int | None]:
+        return [{"event_id": e, "eligible_at": at} for at, e, _ in due], None
+
+
+class _Undo(_Timed):
+    """At most one pending removal of a token: it commits when its window ends or the next one begins, unless undone."""
+
+    columns = ["key", "event_id", "committed_at"]
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def handle_due(self, due: list[tuple], now: int) -> tuple[list[dict], int | None]:
+        pending = self.pending.get() if self.pending.exists() else None
+        out = []
+        for ts, event, begin in [*due, (now, None, None)]:
+            if pending and pending[0] + self.window <= ts:
+                out.append({"event_id": pending[1], "committed_at": pending[0] + self.window})
+                pending = None
+            if event is None:
+                break
+            if pending:
+                out.append({"event_id": pending[1], "committed_at": ts if begin else None})
+                pending = None
+            if begin:
+                pending = (ts, event)
+        self.pending.update(pending) if pending else self.pending.clear()
+        return out, pending[0] + self.window if pending else None
+
+
+def _by_time(events: DataFrame, processor: StatefulProcessor, names: list[str], late: str) -> DataFrame:
+    rows = events.withWatermark("ts", late).select(F.col("key").cast("long").alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "begin")
+    made = rows.groupBy("key").transformWithStateInPandas(processor, outputStructType=", ".join(f"{c} long" for c in processor.columns), outputMode="append", timeMode="eventTime")
+    return made.select(*[F.col(c).alias(n) for c, n in zip(processor.columns, names, strict=True)])
+
+
+def retry_deadlines(attempts: DataFrame, retry: int, key: str = "user_id", late: str = LATE) -> DataFrame:
+    """S9 by event-time timers: key, event_id, eligible_at (microseconds), for each failed attempt once its time has come."""
+    return _by_time(attempts.select(F.col(key).alias("key"), "ts", "event_id", F.lit(True).alias("begin")), _Deadlines(retry), [key, "event_id", "eligible_at"], late)
+
+
+def undo_window(begins: DataFrame, undos: DataFrame, window: int, late: str = LATE) -> DataFrame:
+    """Token, event_id and committed_at of each removal, by event-time timers: after the window, at once when the
+    token's next removal begins, and null as soon as it is undone in time."""
+    side = lambda df, begin: df.select(F.col("token").alias("key"), "ts", "event_id", F.lit(begin).alias("begin"))
+    return _by_time(side(begins, True).unionByName(side(undos, False)), _Undo(window), ["token", "event_id", "committed_at"], late)
+
+
+def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
     """Every settled batch of new or changed texts replaces its rows in the text index and in the postings.
 
-    The index is the record of progress: a batch that failed is written again, to the same end.
+    Both are tables of hash buckets by document, and a batch rewrites only the buckets of its documents.  The index is the
+    record of progress: a batch that failed is written again, to the same end.
     """
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.groupBy("document_id").agg(F.max_by("text", "ts").alias("text")).persist()
-        upkeep.write_text_index(rows, parents(), f"{path}/text")
-        living = rows.join(parents().select(F.col("id").alias("document_id")), "document_id", "left_semi")
-        fresh, _stats = search.build_postings(living.withColumnRenamed("document_id", "doc_id"))
-        fresh = fresh.select("term", "doc_id", "tf")
-        known = upkeep.read_snapshot(batch.sparkSession, f"{path}/postings")
-        merged = fresh if known is None else known.join(living.select(F.col("document_id").alias("doc_id")), "doc_id", "left_anti").unionByName(fresh)
-        upkeep.write_snapshot(merged, f"{path}/postings")
+        alive = parents().select(F.col("id").alias("document_id"))
+        rows = batch.groupBy("document_id").agg(F.max_by("text", "ts").alias("text")).join(alive, "document_id", "left_semi").persist()
+        keys = rows.select("document_id")
+        upkeep.replace_rows(rows, keys, "document_id", f"{path}/text", buckets)
+        fresh, _stats = search.build_postings(rows.withColumnRenamed("document_id", "doc_id"))
+        upkeep.replace_rows(fresh.select("term", "doc_id", "tf"), keys.withColumnRenamed("document_id", "doc_id"), "doc_id", f"{path}/postings", buckets)
         rows.unpersist()
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
-
