@@ -323,12 +323,22 @@ _IGNORED = "head|script|style|noscript|template|svg|math|iframe|object|audio|vid
 _BREAKS = "p|div|section|article|main|aside|header|footer|nav|ul|ol|dl|dt|dd|table|tr|td|th|thead|tbody|form|fieldset|figure|figcaption|address|details|summary|hr"
 
 
+def _balanced(depth: int) -> str:
+    """A pattern for what an element named by group 1 holds, with elements of the same name nested up to `depth` deep."""
+    inside = r"(?:(?!</?\1\b).)*+"
+    return inside if not depth else rf"(?:(?!</?\1\b).|<\1\b[^>]*+>{_balanced(depth - 1)}</\1\s*>)*+"
+
+
+#: A hidden element with all it holds
+_HIDDEN = rf"(?is)<(\w+)\b(?:[^>]*\s)hidden\b[^>]*+>{_balanced(3)}</\1\s*>"
+
+
 def _blocks_of(html: Column) -> Column:
     """An array of blocks: block_no, kind, level, text."""
     sep, br = "\u001e", "\u001f"
     body = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     body = F.regexp_replace(body, rf"(?is)<({_IGNORED})\b[^>]*>.*?</\1\s*>", "")
-    body = F.regexp_replace(body, r"(?is)<(\w+)\b[^>]*\shidden\b[^>]*>[^<]*</\1\s*>", "")
+    body = F.regexp_replace(body, _HIDDEN, "")
     body = F.regexp_replace(body, r"\s+", " ")
     body = F.regexp_replace(body, r"(?i)<br\b[^>]*>", br)
     body = F.regexp_replace(body, r"(?i)<img\b[^>]*\balt=\"([^\"]{1,200})[^\"]*\"[^>]*>", f"{sep}IMAGE{br}$1{sep}PARAGRAPH{br}")
@@ -471,9 +481,19 @@ def table_cells(pages: DataFrame) -> DataFrame:
 
 
 def block_find(blocks: DataFrame, query: str) -> DataFrame:
-    """Hits per block; a match never crosses a line of a block: doc_id, block_no, hit_no."""
-    lines = blocks.select(F.col("page_id").alias("doc_id"), "block_no", F.explode(F.split("text", "\n")).alias("line"))
-    counted = lines.groupBy("doc_id", "block_no").agg(F.sum(T.find_count(F.col("line"), query)).cast("int").alias("n")).where("n > 0")
+    """Hits per block: doc_id, block_no, hit_no.  Images and dividers have none.
+
+    Blocks may have a column `spans` of links (start, end, link): one whose target holds the query is a hit too, once per
+    range, where no hit of the text touches it.
+    """
+    direct = T.find_offsets(F.col("text"), query)
+    n = F.size(direct)
+    if "spans" in blocks.columns:
+        length = F.length("text")
+        cut = F.transform("spans", lambda x: F.struct(F.least(F.greatest(x["start"], F.lit(0)), length).cast("int").alias("start"), F.least(x["end"], length).cast("int").alias("end"), x["link"].alias("link")))
+        leads = F.filter(cut, lambda x: (x["end"] > x["start"]) & (T.find_count(x["link"], query) > 0) & ~F.exists(direct, lambda d: (d["start"] < x["end"]) & (x["start"] < d["end"])))
+        n = n + F.size(F.array_distinct(F.transform(leads, lambda x: F.struct(x["start"], x["end"]))))
+    counted = blocks.where(~F.col("kind").isin("IMAGE", "DIVIDER")).select(F.col("page_id").alias("doc_id"), "block_no", n.alias("n")).where("n > 0")
     return counted.select("doc_id", "block_no", F.explode(F.sequence(F.lit(1), "n")).alias("hit_no"))
 
 

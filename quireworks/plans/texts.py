@@ -503,10 +503,13 @@ def _(t):
     return X.table_cells(t.pages.select("page_id", F.concat("html", table).alias("html")))
 
 
-@query("D9", f"""WITH {BLOCKS}, n AS (SELECT page_id AS doc_id, block_no, ((length(text) - length(replace(lower(text), 'th', ''))) / 2)::INT AS n FROM blocks)
+@query("D9", f"""WITH {BLOCKS}, n AS (SELECT page_id AS doc_id, block_no, ((length(text) - length(replace(lower(text), 'th', ''))) / 2)::INT
+            + (contains(lower(url), 'th') AND NOT contains(left(lower(text), 6), 'th'))::INT AS n FROM blocks JOIN pages USING (page_id))
     SELECT doc_id, block_no, unnest(range(1, n + 1))::INT AS hit_no FROM n WHERE n > 0""")
 def _(t):
-    return X.block_find(X.html_blocks(t.pages), "th")
+    """The first five signs of every block lead to the page's address."""
+    span = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.col("url").alias("link")))
+    return X.block_find(X.html_blocks(t.pages).join(t.pages.select("page_id", "url"), "page_id").withColumn("spans", span), "th")
 
 
 @query("D10", "SELECT id, CASE WHEN size_bytes * 20000 > 67108864 THEN 'TOO_LARGE' WHEN id % 11 = 0 OR format = 'UNKNOWN' THEN 'SKIPPED' WHEN id % 17 = 0 THEN 'FAILED' ELSE 'INDEXED' END AS state FROM library", "library")

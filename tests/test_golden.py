@@ -207,6 +207,15 @@ def test_languages(spark, head, extension, want):
     assert one(spark, head, lambda c: T.content_kind(c, F.lit(extension))) == want
 
 
+def test_hidden_elements_and_link_targets(spark):
+    page = "<p>a</p><div hidden><p>secret</p><div>more <div>deep</div></div></div><section class='x' hidden>gone<b>too</b></section><p>b</p>"
+    blocks = X.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    assert [(r.block_no, r.text) for r in blocks.collect()] == [(0, "a"), (1, "b")]
+    rows = [(1, 0, "PARAGRAPH", "see the docs here", [(4, 12, "http://find.me"), (4, 12, "http://find.me/2"), (0, 3, "http://other")]), (1, 1, "PARAGRAPH", "find it", [(0, 7, "http://find.me")]), (1, 2, "IMAGE", "find", []), (1, 3, "PARAGRAPH", "x", [(0, 9, "FIND")])]
+    df = spark.createDataFrame(rows, "page_id long, block_no long, kind string, text string, spans array<struct<start:int,end:int,link:string>>")
+    assert sorted((r.block_no, r.hit_no) for r in X.block_find(df, "find").collect()) == [(0, 1), (1, 1), (3, 1)]
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é".encode("cp1252"))
     (tmp_path / "b.tsv").write_text("x\ty\n1\t\"2\n3\"\n")
