@@ -50,8 +50,11 @@ def fts_tokenize(docs: DataFrame) -> DataFrame:
 
 def token_rows(docs: DataFrame) -> DataFrame:
     """A row per token: term, doc_id, tf (1) and len, the document's number of tokens; one pass over the text."""
-    tokens = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens"))
-    return tokens.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).select("term", "doc_id", F.lit(1).cast("long").alias("tf"), "len")
+    tokens = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
+    # the length is a column before the tokens become rows, so that no row carries the array; an outer explode, because an
+    # inner one brings a filter on the array with it, which would make the tokens again
+    rows = tokens.select("doc_id", "len", F.explode_outer("tokens").alias("term")).where("term is not null")
+    return rows.select("term", "doc_id", F.lit(1).cast("long").alias("tf"), "len")
 
 
 def build_postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

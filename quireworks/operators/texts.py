@@ -126,14 +126,14 @@ _PARAGRAPH = r"(?:[^\S\r\n]*+[^\s][^\r\n]*+(?:\r\n?|\n|\z))++"
 
 def _paragraphs(text: Column) -> Column:
     """An array of paragraphs: start and end (of what is not blank) and text, each line trimmed, joined by one space."""
-    def unit(r: Column) -> Column:
-        raw = F.substring(text, r["start"] + 1, r["end"] - r["start"])
+    def unit(r: Column, raw: Column) -> Column:
         start = r["start"] + F.length(F.regexp_extract(raw, r"^\s*", 0))
         lines = F.transform(F.split(raw, r"\r\n?|\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
         end = r["start"] + F.length(F.regexp_replace(raw, r"\s+$", ""))
         return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.array_join(F.filter(lines, lambda x: x != ""), " ").alias("text"))
 
-    return F.transform(T.placed(F.split(text, _PARAGRAPH, -1), F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0))), unit)
+    hits = F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0))
+    return F.zip_with(T.placed(F.split(text, _PARAGRAPH, -1), hits), hits, unit)
 
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
