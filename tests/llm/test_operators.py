@@ -92,17 +92,14 @@ def test_index_in_another_session(spark):
     index.drop()
 
 
-@pytest.mark.parametrize("helper", ["__id", "__digest", "__sha", "sha", "kept_id", "kept_sha", "HIT", "hit", "dropped_id", "Score", "__score", "__drop", "__hit"])
-def test_columns_with_the_names_of_helpers(spark, helper):
-    df = spark.createDataFrame([(1, "a b c", 7), (2, "a  b c", 8), (3, "d", 9)], f"doc_id long, text string, `{helper}` int")
+def test_columns_with_the_names_of_helpers(spark):
+    names = ["__id", "__digest", "__sha", "sha", "kept_id", "kept_sha", "HIT", "dropped_id", "Score", "__score", "__drop", "__hit"]
+    df = spark.createDataFrame([(1, "a b c", 7), (2, "a  b c", 8), (3, "d", 9)], "doc_id long, text string, n int").withColumns({c: F.col("n") for c in names})
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
-    if "s" in helper.lower():
-        steps = [lambda d: dedup.drop_copies(d), lambda d: toxicity.drop_toxic(d, labels)]
-    else:
-        steps = [lambda d: ngram_join.one_per_class(d), lambda d: decontam.drop_contaminated(d, bench)]
+    steps = [dedup.drop_copies, lambda d: toxicity.drop_toxic(d, labels), ngram_join.one_per_class, lambda d: decontam.drop_contaminated(d, bench)]
     for step in steps:
         out = step(df)
-        assert out.columns == df.columns and {r[0]: r[2] for r in out.collect()}.items() <= {1: 7, 2: 8, 3: 9}.items()
+        assert out.columns == df.columns and all(set(r[2:]) == {r[0] + 6} for r in out.collect())
 
 
 def test_drop_copies_keeps_columns(spark, edge):
@@ -159,7 +156,7 @@ def test_wrappers_find_repeats_and_optionals():
     assert [(q, n[0]) for q, n in whole] == [("*", "g")] and len(whole[0][1][1]) == 4
 
 
-@pytest.mark.parametrize("copies", [1, 4, 5, 50])
+@pytest.mark.parametrize("copies", [1, 5, 50])
 def test_copies_of_a_page_change_nothing(spark, copies):
     page = "<body><nav>Menu</nav><article><div class='lead'>Lead text</div><p>Body</p><section>More</section></article></body>"
     df = spark.createDataFrame([(i, "http://h.org/a", page) for i in range(copies)], "page_id long, url string, html string")
