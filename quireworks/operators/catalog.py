@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quireworks.functions import formats
+from quireworks.session import stage
 
 SORTS = {"last_opened": "last_opened_at", "date_added": "created_at", "size": "size_bytes"}
 
@@ -14,15 +15,18 @@ SORTS = {"last_opened": "last_opened_at", "date_added": "created_at", "size": "s
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """Rows with their place in a total order, for results whose order is the answer.
 
-    Places are counted per partition of a range sort and shifted by the counts before, so no task sees all rows.  The
-    number of partitions is given, so that both uses of the sort share one exchange, which adaptive execution leaves as is.
+    The range sort is written once, each row with its partition and its place in it; the counts and the rows are both read
+    from that table, so places do not depend on whether a plan sorts again, and no task sees all rows.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    part, at = "__part", "__at"
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    )
+    placed, _ = stage(placed, "ranked")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    before = sizes.select(part, F.coalesce(F.sum("__n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     # one row per partition, so the broadcast is bounded by their number
-    return placed.join(F.broadcast(before), "__part").withColumn("rank", F.col("before") + F.col("__at") + 1).drop("__part", "__at", "n", "before")
+    return placed.join(F.broadcast(before), part).withColumn("rank", F.col("__before") + F.col(at) + 1).drop(part, at, "__before")
 
 
 def scan_library(library: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quireworks.session import stage
+
 SECOND = 1_000_000
 
 
@@ -43,11 +45,10 @@ def combine_latest_gate(signals: DataFrame) -> DataFrame:
 
     One order over all signals is needed, so the log is range-sorted and folded in two levels: within a range the values
     carried in are unknown; what each range leaves behind is carried over them first.  Ranges hold like numbers of rows,
-    whatever the rate; their number is given, so that all uses of the sort share one exchange.
+    whatever the rate.  The sorted log is written once with each row's range, so all later steps see the same ranges.
     """
     names = ("enabled", "reading", "battery")
-    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = signals.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("__slot", F.spark_partition_id())
+    rows, _ = stage(signals.repartitionByRange("ts", "event_id").withColumn("__slot", F.spark_partition_id()), "signals")
     ends = rows.groupBy("__slot").agg(*[F.max_by("on", F.when(F.col("signal") == n, F.struct("ts", "event_id"))).alias(n) for n in names])
     carry = W.orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
     # one row per range
