@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireworks.session import STAGED, discard, discard_since, shared_dir, stage  # noqa: F401
+from quireworks.session import shared_path as new_path  # noqa: F401
+
 PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -26,47 +28,6 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) the warehouse."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/quireworks/{name}-{uuid.uuid4().hex}"
-
-
-#: Staged tables of this process that nobody has discarded yet
-STAGED: list[str] = []
-
-
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
-
-    What a returned result still reads stays until discard() or discard_since() is told.
-    """
-    path = new_path(df.sparkSession, name)
-    STAGED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in STAGED:
-            STAGED.remove(path)
-
-
-def discard_since(spark: SparkSession, mark: int, *keep: str) -> None:
-    """Delete what was staged since len(STAGED) was mark, but for the tables to keep."""
-    discard(spark, *[p for p in STAGED[mark:] if p not in keep])
-
-
 def join_sized(df: DataFrame, other: DataFrame, on: str | list[str], how: str, bound: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Join; broadcasts `other` only if a count shows at most `bound` rows and most_bytes, else both sides are shuffled."""
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in other.schema]
