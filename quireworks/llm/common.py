@@ -90,7 +90,10 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.StringArray:
 
 def split_words(texts: pa.StringArray, lower: bool = True) -> tuple[pa.StringArray, np.ndarray]:
     """Words (maximal runs without white space) of all texts end to end, and each text's offsets in them."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
+    return _flat(pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts))
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.StringArray, np.ndarray]:
     values = lists.flatten()
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -102,6 +105,12 @@ def split_words(texts: pa.StringArray, lower: bool = True) -> tuple[pa.StringArr
     return values, offsets
 
 
+def ascii_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Words (maximal runs without ASCII white space: blank, tab to carriage return), unchanged, of all texts end to end,
+    and each text's offsets in them."""
+    return _flat(pc.ascii_split_whitespace(texts))
+
+
 def word_hashes(texts: pa.StringArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     words, offsets = split_words(texts, lower)
     return string_hashes(words), offsets

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm import chat, decontam, dedup, html_extract, lm_score, ngram_join, packing, pii, toxicity, warc
-from quireworks.llm.common import prepare
+from quireworks.llm import chat, decontam, dedup, html_extract, lm_score, manifest, ngram_join, packing, pii, repeats, runs, toxicity, warc
+from quireworks.llm.common import STAGED, discard_since, prepare, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,14 +69,48 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document, and their digest; the blocks are deleted once the answer is written."""
+    mark = len(STAGED)
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    answer, at = stage(left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "repeats-answer")
+    discard_since(spark, mark, at)
+    return answer
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's strongest run, and digests of all runs and of the text without their repeats."""
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the tree of all documents; the tree is deleted once the answer is written."""
+    return manifest.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_exact_dedup, op2_main_text, op3_chat_format, op4_near_duplicates, op5_toxicity, op6_decontaminate, op7_warc, op8_pack,
-        op9_lm_score, op10_pii,
+        op9_lm_score, op10_pii, op11_substring_dedup, op12_periodic_runs, op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
 
+#: Unsigned CRC-32 of a doc_id's decimal digits, bit by bit
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": r"""
@@ -116,4 +150,74 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id <> keep THEN keep END AS refers_to
             FROM p JOIN k USING (html) JOIN b USING (html)
         """,
+        "op11_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+                 s AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+                 k AS (SELECT doc_id, i, sha256(array_to_string(w[i + 1 : i + 20], ' ')) AS h FROM s),
+                 o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS place FROM k),
+                 g AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM o WHERE place > 1),
+                 e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+                 l AS (SELECT e.doc_id, e.i, e.word, g.i IS NOT NULL AS gone FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i),
+                 r AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM l GROUP BY doc_id)
+            SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+            FROM d LEFT JOIN r USING (doc_id)
+        """,
+        "op12_periodic_runs": rf"""
+            WITH c AS (SELECT doc_id, {_CRC}::BIGINT AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+                 b AS (SELECT doc_id, h, h // 10 AS g, w, len(w) AS n FROM c),
+                 a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM b),
+                 p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+                 e AS (SELECT doc_id, i, n, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+                       FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+                 t AS (SELECT *, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o) AS k FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+                 m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND (y.i - x.i) * 4 <= x.n WHERE y.i + 2 < x.n),
+                 s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+                 r AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM s GROUP BY doc_id, q, stretch HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+                 u AS (SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM r GROUP BY ALL),
+                 v AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                              first(struct_pack(start, length, period) ORDER BY length::DOUBLE / period DESC, start, period) AS best FROM u GROUP BY doc_id),
+                 x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM u),
+                 z AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS kept FROM e LEFT JOIN x ON e.doc_id = x.doc_id AND e.i = x.i WHERE x.i IS NULL GROUP BY e.doc_id)
+            SELECT c.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+                   1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+            FROM c LEFT JOIN v ON c.doc_id = v.doc_id LEFT JOIN z ON c.doc_id = z.doc_id
+        """,
+        "op13_merkle_manifest": _merkle_sql(),
     }
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """The tree for up to 16^levels documents of a source and as many sources, level by level."""
+    fields = lambda text: " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""d AS (SELECT doc_id, source, sha256({fields('text')}) AS leaf,
+                       CASE WHEN {_CRC} % 5 = 0 THEN sha256({fields(lower)}) END AS changed FROM documents)""",
+             """s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY source)""",
+             """p AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, n, doc_id, leaf, changed
+                       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)""",
+             "a0 AS (SELECT tree, pos, n, leaf AS h FROM p)"]
+    grow = lambda x, k: f"""{x}{k + 1} AS (SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h
+                       FROM {x}{k} WHERE n > 1 GROUP BY tree, pos // 16)"""
+    parts += [grow("a", k) for k in range(levels)]
+    parts.append("sub AS (" + " UNION ALL ".join(f"SELECT tree, h FROM a{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    parts.append("b0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM sub)")
+    parts += [grow("b", k) for k in range(levels)]
+    parts.append("top AS (" + " UNION ALL ".join(f"SELECT h AS root FROM b{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    parts.append("f0 AS (SELECT doc_id, leaf, tree, pos, coalesce(changed, leaf) AS x, '' AS proof FROM p)")
+    step = 0
+    for x in ("a", "b"):
+        for k in range(levels):
+            parts.append(f"""g{step} AS (SELECT x.tree, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                       coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+                       FROM {x}{k} x JOIN {x}{k} y ON x.tree = y.tree AND x.pos // 16 = y.pos // 16 WHERE x.n > 1 GROUP BY x.tree, x.pos)""")
+            on = "f.tree = g.tree" if x == "a" else "g.tree = 0"
+            at = "f.pos" if x == "a" else "f.up"
+            up = "" if x == "a" else ", f.up // 16 AS up"
+            parts.append(f"""f{step + 1} AS (SELECT f.doc_id, f.leaf, f.tree, f.pos // 16 AS pos, CASE WHEN g.l IS NULL THEN f.x ELSE sha256(g.l || f.x || g.r) END AS x,
+                       f.proof || coalesce(g.l || g.r, '') AS proof{up} FROM f{step} f LEFT JOIN g{step} g ON {on} AND g.pos = {at})""")
+            step += 1
+            if x == "a" and k == levels - 1:
+                parts[-1] = parts[-1].replace("AS proof FROM", "AS proof, f.tree AS up FROM")
+    return "WITH " + ",\n                 ".join(parts) + f"""
+            SELECT f.doc_id, f.leaf, sub.h AS subroot, top.root, sha256(f.proof) AS proof_sha256, f.x AS folded_root, f.x = top.root AS verified
+            FROM f{step} f JOIN sub ON f.tree = sub.tree CROSS JOIN top"""
