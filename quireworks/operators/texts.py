@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quireworks.functions import text as T
+from quireworks.operators.markup import html_blocks, lay_tables, page_rows
 
 # --- sources and sinks ---
 
@@ -111,9 +109,8 @@ def chunk_line_numbers(chunks: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataF
 def chunk_offsets(docs: DataFrame, per: int = T.LINES_PER_CHUNK) -> DataFrame:
     """Chunks with the place of their first sign in the document: doc_id, chunk_no, text, start_offset.  Added up in the row."""
     def starts(chunks: Column) -> Column:
-        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda acc, c: F.struct((acc["at"] + F.length(c) + 1).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
-        return F.aggregate(chunks, none, step, lambda acc: acc["out"])
+        # a chunk begins where the one before and its line end are over
+        return F.slice(F.array_prepend(T.running_sums(F.transform(chunks, lambda c: F.length(c).cast("long") + 1)), F.lit(0).cast("long")), F.lit(1), F.size(chunks))
 
     rows = docs.select("doc_id", _chunks(F.col("text"), per).alias("chunks"))
     placed = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks").alias("text"), starts(F.col("chunks")).alias("start_offset"))).alias("chunk_no", "c"))
@@ -133,7 +130,7 @@ def _paragraphs(text: Column) -> Column:
         return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.array_join(F.filter(lines, lambda x: x != ""), " ").alias("text"))
 
     hits = F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0))
-    return F.zip_with(T.placed(F.split(text, _PARAGRAPH, -1), hits), hits, unit)
+    return T.let(hits, lambda found: F.zip_with(T.placed(F.split(text, _PARAGRAPH, -1), found), found, unit))
 
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
@@ -160,10 +157,12 @@ def speakable_markdown(docs: DataFrame) -> DataFrame:
 
 
 def speakable_blocks(pages: DataFrame) -> DataFrame:
-    """D3 for blocks: every paragraph of every block, images by what stands for them, anchored by the block; dividers are
-    silent, and pages numbered as documents."""
-    spoken = F.filter(_blocks_of(F.col("html")), lambda b: b["kind"] != "DIVIDER")
-    return _units(pages.select(F.col("page_id").alias("doc_id"), "html"), F.transform(spoken, lambda b: F.struct(b["block_no"].alias("anchor"), b["text"].alias("text"))))
+    """D3 for blocks: every paragraph of every block, images by what stands for them, a table row by row as one, anchored
+    by the block; dividers are silent, and pages numbered as documents."""
+    spoken = F.filter("blocks", lambda b: b["kind"] != "DIVIDER")
+    said = lambda b: F.when(b["kind"] == "TABLE", F.array_join(F.filter(F.split(b["text"], "\n"), lambda row: F.trim(row) != ""), " ")).otherwise(b["text"])
+    rows = page_rows(pages).withColumnRenamed("page_id", "doc_id")
+    return _units(rows, F.transform(spoken, lambda b: F.struct(b["block_no"].alias("anchor"), said(b).alias("text"))))
 
 
 def unit_prefix_counts(units: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -319,59 +318,10 @@ def split_delimited(text: Column, delimiter: Column, max_cells: int = 200_000, m
 
 # --- web pages ---
 
-_IGNORED = "head|script|style|noscript|template|svg|math|iframe|object|audio|video|select|textarea"
-_BREAKS = "p|div|section|article|main|aside|header|footer|nav|ul|ol|dl|dt|dd|table|tr|td|th|thead|tbody|form|fieldset|figure|figcaption|address|details|summary|hr"
-
-
-def _balanced(depth: int) -> str:
-    """A pattern for what an element named by group 1 holds, with elements of the same name nested up to `depth` deep."""
-    inside = r"(?:(?!</?\1\b).)*+"
-    return inside if not depth else rf"(?:(?!</?\1\b).|<\1\b[^>]*+>{_balanced(depth - 1)}</\1\s*>)*+"
-
-
-#: A hidden element with all it holds
-_HIDDEN = rf"(?is)<(\w+)\b(?:[^>]*\s)hidden\b[^>]*+>{_balanced(3)}</\1\s*>"
-
-
-def _blocks_of(html: Column) -> Column:
-    """An array of blocks: block_no, kind, level, text."""
-    sep, br = "\u001e", "\u001f"
-    body = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    body = F.regexp_replace(body, rf"(?is)<({_IGNORED})\b[^>]*>.*?</\1\s*>", "")
-    body = F.regexp_replace(body, _HIDDEN, "")
-    body = F.regexp_replace(body, r"\s+", " ")
-    body = F.regexp_replace(body, r"(?i)<br\b[^>]*>", br)
-    body = F.regexp_replace(body, r"(?i)<img\b[^>]*\balt=\"([^\"]{1,200})[^\"]*\"[^>]*>", f"{sep}IMAGE{br}$1{sep}PARAGRAPH{br}")
-    body = F.regexp_replace(body, r"(?i)<hr\b[^>]*>", f"{sep}DIVIDER{br}—{sep}PARAGRAPH{br}")
-    body = F.regexp_replace(body, r"(?i)<h([1-6])\b[^>]*>", f"{sep}HEADING$1{br}")
-    body = F.regexp_replace(body, r"(?i)<li\b[^>]*>", f"{sep}LIST_ITEM{br}")
-    body = F.regexp_replace(body, rf"(?i)</?(?:{_BREAKS})\b[^>]*>|</(?:h[1-6]|li)\s*>", f"{sep}PARAGRAPH{br}")
-    body = F.regexp_replace(body, r"<[A-Za-z/!?][^>]*>", "")
-
-    def piece(p: Column) -> Column:
-        head = F.substring_index(p, br, 1)
-        lines = F.regexp_replace(F.substring(p, F.length(head) + 2, F.length(p)), r" *\x1f *", "\n")
-        kind = F.regexp_replace(head, "[1-6]$", "")
-        return F.struct(kind.alias("kind"), F.regexp_replace(lines, "^[ \n]+|[ \n]+$", "").alias("raw"), F.coalesce(F.regexp_extract(head, "([1-6])$", 1).try_cast("int"), F.lit(0)).alias("level"))
-
-    kinds = ("HEADING", "LIST_ITEM", "PARAGRAPH", "IMAGE", "DIVIDER")
-    kept = F.filter(F.transform(F.split(body, sep, -1), piece), lambda b: (b["raw"] != "") & b["kind"].isin(*kinds))
-    text = lambda b: F.when(b["kind"] == "DIVIDER", "").otherwise(F.replace(T.decode_entities(b["raw"]), F.lit("\xa0"), F.lit(" ")))
-    return F.transform(kept, lambda b, i: F.struct(i.cast("long").alias("block_no"), b["kind"].alias("kind"), b["level"].alias("level"), text(b).alias("text")))
-
-
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """Pages as ordered blocks: page_id, block_no, kind, level, text.  Found in the row, without a shuffle.
-
-    Ignored subtrees and comments go first; then every tag that starts or ends a block becomes a separator that carries
-    its kind, the text is split at them, inline tags are dropped, `br` is a line end, and white space is collapsed.
-    """
-    return pages.select("page_id", F.inline(_blocks_of(F.col("html"))))
-
-
 def blocks_to_text(blocks: DataFrame, max_chars: int = 1_000_000) -> DataFrame:
-    """One line per block that is not blank."""
-    rows = blocks.where(F.trim("text") != "")
+    """One line per block that is not blank, a table's cells row by row, joined by spaces."""
+    line = F.when(F.col("kind") == "TABLE", F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+    rows = blocks.select("page_id", "block_no", line.alias("text")).where(F.trim("text") != "")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n")
     return rows.groupBy(F.col("page_id").alias("doc_id")).agg(F.left(joined, F.lit(max_chars)).alias("text"))
 
@@ -443,28 +393,6 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return led.select("page_id", "pos", F.inline(F.filter(F.array(edge), lambda e: e["target"].isNotNull())))
 
 
-def _on_grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of each table on its grid: a cell stands in the first free column of its row, and its spans take up others."""
-    names = ("row_no", "column", "colspan", "rowspan", "text")
-    for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for page, table, rows in zip(*[batch.column(c).to_pylist() for c in ("page_id", "table_no", "cells")], strict=True):
-            reaches: dict[int, int] = {}  # column -> first row that it is free in again
-            for row_no, cells in enumerate(rows):
-                column = 0
-                for c in cells:
-                    while reaches.get(column, 0) > row_no:
-                        column += 1
-                    values = (page, table, row_no, column, c["colspan"], c["rowspan"], c["text"])
-                    for held, value in zip(out, values, strict=True):
-                        held.append(value)
-                    for taken in range(column, column + c["colspan"]):
-                        reaches[taken] = max(reaches.get(taken, 0), row_no + c["rowspan"])
-                    column += c["colspan"]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["page_id", "table_no", *names])
-
-
 def table_cells(pages: DataFrame) -> DataFrame:
     """Cells of tables on their grid: page_id, table_no, row_no, column, colspan, rowspan, text.
 
@@ -477,22 +405,26 @@ def table_cells(pages: DataFrame) -> DataFrame:
     words = lambda c: F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace(c, "<[^>]*>", "")), r"\s+", " "))
     cell = lambda c: F.struct(span(c, "colspan").alias("colspan"), span(c, "rowspan").alias("rowspan"), words(c).alias("text"))
     cells = F.transform("trs", lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|\z)"), F.lit(0)), cell))
-    return rows.select("page_id", "table_no", cells.alias("cells")).mapInArrow(_on_grid, "page_id long, table_no int, row_no int, column int, colspan int, rowspan int, text string")
+    return rows.select("page_id", "table_no", cells.alias("cells")).mapInArrow(lay_tables, "page_id long, table_no int, row_no int, column int, colspan int, rowspan int, text string")
 
 
 def block_find(blocks: DataFrame, query: str) -> DataFrame:
-    """Hits per block: doc_id, block_no, hit_no.  Images and dividers have none.
+    """Hits per block: doc_id, block_no, hit_no.  Images and dividers have none; a match lies within one cell.
 
-    Blocks may have a column `spans` of links (start, end, link): one whose target holds the query is a hit too, once per
-    range, where no hit of the text touches it.
+    Blocks may have a column `spans` of links (start, end, link), else D4's own links that lead out are taken: one whose
+    target holds the query is a hit too, once per range, where no hit of the text touches it.
     """
     direct = T.find_offsets(F.col("text"), query)
     n = F.size(direct)
-    if "spans" in blocks.columns:
+    if "spans" in blocks.columns or "links" in blocks.columns:
+        spans = F.col("spans") if "spans" in blocks.columns else F.filter(F.transform("links", lambda x: F.struct(x["start"], x["end"], T.safe_link(x["link"]).alias("link"))), lambda x: x["link"].isNotNull())
         length = F.length("text")
-        cut = F.transform("spans", lambda x: F.struct(F.least(F.greatest(x["start"], F.lit(0)), length).cast("int").alias("start"), F.least(x["end"], length).cast("int").alias("end"), x["link"].alias("link")))
+        cut = F.transform(spans, lambda x: F.struct(F.least(F.greatest(x["start"], F.lit(0)), length).cast("int").alias("start"), F.least(x["end"], length).cast("int").alias("end"), x["link"].alias("link")))
         leads = F.filter(cut, lambda x: (x["end"] > x["start"]) & (T.find_count(x["link"], query) > 0) & ~F.exists(direct, lambda d: (d["start"] < x["end"]) & (x["start"] < d["end"])))
         n = n + F.size(F.array_distinct(F.transform(leads, lambda x: F.struct(x["start"], x["end"]))))
+    if "cells" in blocks.columns:
+        inside = F.aggregate("cells", F.lit(0), lambda acc, c: acc + T.find_count(c["text"], query).cast("int"))
+        n = F.when(F.col("kind") == "TABLE", inside).otherwise(n)
     counted = blocks.where(~F.col("kind").isin("IMAGE", "DIVIDER")).select(F.col("page_id").alias("doc_id"), "block_no", n.alias("n")).where("n > 0")
     return counted.select("doc_id", "block_no", F.explode(F.sequence(F.lit(1), "n")).alias("hit_no"))
 

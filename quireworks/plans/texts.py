@@ -467,7 +467,23 @@ BLOCKS = r"""
 
 @query("D4", f"WITH {BLOCKS} SELECT page_id, block_no, kind, level, text FROM blocks")
 def _(t):
-    return X.html_blocks(t.pages)
+    return X.html_blocks(t.pages).select("page_id", "block_no", "kind", "level", "text")
+
+
+@query("D4_layout", f"""WITH {BLOCKS}, n AS (SELECT page_id, count(*) FILTER (b.page_id IS NOT NULL) AS n FROM pages LEFT JOIN blocks b USING (page_id) GROUP BY 1)
+    SELECT page_id, block_no, kind, level, CASE WHEN kind = 'LIST_ITEM' THEN '•' ELSE '' END AS marker, 0 AS indent, text, 0::BIGINT AS n_cells FROM blocks UNION ALL
+    SELECT page_id, n + unnest(range(7)), unnest(['PARAGRAPH', 'PARAGRAPH', 'LIST_ITEM', 'LIST_ITEM', 'LIST_ITEM', 'PARAGRAPH', 'TABLE']), unnest([0, 0, 0, 1, 0, 0, 0]),
+           unnest(['', '', 'iii.', '◦', 'xl.', '', '']), unnest([2, 1, 0, 0, 0, 0, 0]),
+           unnest(['q' || page_id, 'r', 'one', 'in', 'two', '  a' || chr(10) || '    b', 'h' || page_id || ' x & y' || chr(10) || 'a b c']), unnest([0, 0, 0, 0, 0, 0, 4]) FROM n""")
+def _(t):
+    """Quotes, lists, preformatted text, a table and hidden elements behind every page's text, because the pages have none."""
+    more = F.concat(
+        F.lit("</p><blockquote><blockquote><p>q"), "page_id", F.lit('</p></blockquote>r</blockquote><div title="not hidden"></div><div hidden>' + "<div>" * 9 + "gone" + "</div>" * 9 + "gone</div>"),
+        F.lit('<ol type="i" start="3"><li>one<ul><li>in</ul><li value=40>two</ol><pre>  a\n    b</pre><table><tr><th colspan="2">h'), "page_id",
+        F.lit("<td rowspan=2>x &amp; y</tr><tr><td>a<td><b>b</b>  c</table><p style='display: none'>gone"),
+    )
+    blocks = X.html_blocks(t.pages.select("page_id", F.concat("html", more).alias("html")))
+    return blocks.select("page_id", "block_no", "kind", "level", "marker", "indent", "text", F.size("cells").cast("long").alias("n_cells"))
 
 
 @query("D3_blocks", f"WITH {BLOCKS} SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS unit_no, block_no AS anchor, 0::BIGINT AS start, replace(text, chr(10), ' ') AS text FROM blocks")
