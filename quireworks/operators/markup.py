@@ -176,7 +176,13 @@ class _Page:
         a = _attributes(attrs) if attrs else {}
         for inner in ENDS.get(name, ()):
             if self.count[inner] and self.within(inner):
+                # a link that was not closed goes on behind the element that this one ends
+                going_on = self.links[-1][1] if self.links and self.innermost(inner, "a") else None
                 self.end(inner)
+                if going_on is not None:
+                    self.open.append("a")
+                    self.count["a"] += 1
+                    self.links.append((self.size, going_on))
         nested = self.count["table"] > 1 or (name == "table" and self.count["table"])
         if nested and self.table is not None and name in ("table", "tr", "td", "th"):
             if self.parts and self.last() not in " \n":
@@ -223,6 +229,13 @@ class _Page:
             span = lambda which: min(max(_whole(a.get(which), 1), 1), MOST_SPAN)
             self.cell = span("colspan"), span("rowspan")
 
+    def innermost(self, outer: str, name: str) -> bool:
+        """Whether an element of this name is open inside the innermost one of the outer name."""
+        for other in reversed(self.open):
+            if other in (outer, name):
+                return other == name
+        return False
+
     def within(self, name: str) -> bool:
         """Whether an open element is not shut off by one that bounds it."""
         for other in reversed(self.open):
@@ -238,6 +251,16 @@ class _Page:
             if name in BLOCKS and not self.cell:
                 self.flush()
             return
+        if name not in BLOCKS:
+            # the end of an inline element does not end the blocks begun inside it
+            at = len(self.open) - 1
+            while self.open[at] != name:
+                at -= 1
+            if any(other in BLOCKS for other in self.open[at:]):
+                self.closed(name)
+                del self.open[at]
+                self.count[name] -= 1
+                return
         while True:
             top = self.open[-1]
             self.closed(top)
@@ -280,7 +303,7 @@ class _Page:
 def page_blocks(html: str) -> list[dict]:
     """The blocks of one page, in one pass over its tags."""
     page, at, n = _Page(), 0, len(html)
-    skipping, inner = "", Counter()  # the element that is left out, and what is open inside it
+    skipping, inside, inner = "", [], Counter()  # the element that is left out, and what is open inside it
     while at < n:
         m = _TOKEN.search(html, at)
         if not skipping and (m is None or m.start() > at):
@@ -294,17 +317,22 @@ def page_blocks(html: str) -> list[dict]:
         if skipping:
             if m["end"]:
                 if inner[name]:
-                    inner[name] -= 1
+                    while inside:
+                        top = inside.pop()
+                        inner[top] -= 1
+                        if top == name:
+                            break
                     continue
                 if name != skipping and not page.count[name]:
                     continue
                 own, skipping = name == skipping, ""
                 if own:
                     continue
-            elif skipping in ENDED_BY and name in ENDED_BY[skipping] and not any(inner.values()):
+            elif skipping in ENDED_BY and name in ENDED_BY[skipping] and not any(inner[x] for x in SCOPE[skipping]):
                 skipping = ""
             else:
                 if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+                    inside.append(name)
                     inner[name] += 1
                 continue
         if m["end"]:
@@ -320,7 +348,7 @@ def page_blocks(html: str) -> list[dict]:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
                 continue
-            skipping, inner = name, Counter()
+            skipping, inside, inner = name, [], Counter()
             continue
         page.start(name, m["attrs"])
     while page.open:

@@ -250,3 +250,40 @@ def test_plans(spark, sf):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in plan
     plan = found["scan_uris"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("a@b.co,c@d.org", [(0, 6, "mailto:a@b.co"), (7, 14, "mailto:c@d.org")]), ("a@b.co@d.org", [(0, 6, "mailto:a@b.co")]), ("x <me@a.bc> y", [(3, 10, "mailto:me@a.bc")]), ("a@b.c0m a@b..co a@-.co1", [(16, 22, "mailto:a@-.co")]),
+    ("xhttp://a.b http://a.b/?m=q@r.st", [(12, 32, "http://a.b/?m=q@r.st")]), ("é@www.a.bc HTTP://É.org/(x]).", [(11, 28, "HTTP://É.org/(x])")]), ("(www.a.b),me@c.de", [(1, 17, "https://www.a.b),me@c.de")]), ("http:// www.", []),
+])
+def test_autolink_places(spark, text, want):
+    got = [(r.start, r.end, r.destination) for r in one(spark, text, T.autolinks)]
+    assert got == want and all(text[a:b] in d for a, b, d in got)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("/opt/root/a b\r\nok", "[redacted]\r\nok"), ("see content://a/data/b c", "see [redacted] c"), ("content:// x", "content:// x"), ("a file:///x y\n/mnt", "a [redacted]\n/mnt"), ("x/y/imports/z w", "[redacted]"), ("a x/imports/z", "a [redacted]"),
+    ("(/cache/x) y", "([redacted]"), ("b/data/x /data/y", "b/data/x [redacted]"), ("/database/x", "/database/x"), ("content://a content://b", "[redacted] [redacted]"), ("", ""), ("line\n\n", "line\n\n"),
+])
+def test_redacted_lines(spark, text, want):
+    assert one(spark, text, lambda c: T.redact(c, ["/opt/root"])) == want
+
+
+@pytest.mark.parametrize(("head", "extension", "want"), [
+    ("/* a class of new friends: delete this */\nint f(void);", "h", "C"), ("// std::x\nint f(void);", "h", "C"), ("const char *s = \"template <class T>\";", "h", "C"), ("virtual void f() noexcept;", "h", "CPP"), ("#  import <a.h>", "h", "OBJC"),
+    ("x = 1\nend", "m", "MATLAB"), ("classdef A\nend", "m", "MATLAB"), ("NSLOG is not a class", "m", None), ("the end of it", "m", None),
+])
+def test_evidence_of_languages(spark, head, extension, want):
+    assert one(spark, head, lambda c: T.content_kind(c, F.lit(extension))) == want
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [([rng.randrange(-5, 99) for _ in range(n)],) for n in (0, 1, 255, 256, 257, 512, 3000)]
+    for r in spark.createDataFrame(rows, "v array<bigint>").select("v", T.running_sums(F.col("v")).alias("s")).collect():
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+
+
+def test_offsets_of_very_many_hits(spark):
+    docs = spark.createDataFrame([(1, "ab tion. " * 100_000)], "doc_id long, text string")
+    assert X.find_rows(docs, "tion").agg(F.count("*"), F.sum("start")).first() == (100_000, sum(9 * i + 3 for i in range(100_000)))
