@@ -46,16 +46,25 @@ BESIDE = frozenset(
     "site page top bottom left right global primary secondary mobile desktop fixed sticky box block bar list area container wrapper wrap inner "
     "outer slot unit link links posts articles button buttons form user reader readers".split()
 )
+#: Parts of what readers say: all names made of one of the first and one of the second
+SAID, SAID_OF = frozenset("comment comments reply replies".split()), frozenset("body content text item entry thread author meta date count section".split())
+#: Words that are noise as names of layout, but inside an article are as well the id of a section or the class of a table
+LAYOUT = frozenset(
+    "search header footer menu nav navigation notice notices alert dialog overlay banner related share sharing social copyright widget respond replies "
+    "masthead pager pagination breadcrumb breadcrumbs aside sponsor promo promotion consent modal popup".split()
+)
+TABULAR = frozenset("table thead tbody tfoot tr td th caption dl dt dd pre blockquote figure figcaption".split())
 #: Elements that a name never makes noise: what holds the page or the article, headings and paragraphs
 NAMED_FREELY = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 #: Wrappers go down so many levels; what lies deeper counts as text there.  Pages are read at any depth.
 LEVELS = 150
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][\w:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][\w:-]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*+>|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: An attribute: its whole name, then its value; what is inside a value is never read as a name
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -66,9 +75,29 @@ def _noise(name: str) -> bool:
     if re.sub(r"[\d_-]", "", name).lower() in NOISE:
         return True
     parts = [p.lower() for p in _PART.findall(name)]
+    if any(p in SAID for p in parts) and all(p in SAID or p in SAID_OF or p in BESIDE or p.isdigit() for p in parts):
+        return True
     return any(p in NOISE for p in parts) and all(p in NOISE or p in BESIDE or p.isdigit() for p in parts)
 
 
+@functools.lru_cache(10_000)
+def _layout(name: str) -> bool:
+    """Whether a name is noise by words of layout alone."""
+    return all(p.lower() in LAYOUT or p.lower() in BESIDE or p.isdigit() for p in _PART.findall(name))
+
+
+def _named_noise(element: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element's role, class or id makes it noise; inside an article, words of layout do not count in an id,
+    nor in a class of a part of a table, a list of terms or a quotation."""
+    if element in NAMED_FREELY:
+        return False
+    for a in ("role", "class", "id"):
+        for x in attrs.get(a, "").split():
+            if _noise(x) and not (inside and (a == "id" or element in TABULAR) and _layout(x)):
+                return True
+    return False
+
+
 def parse(page: str) -> list:
     """The page as a tree of [key, skipped, children]; a child is another element, or the text of a block (string)."""
     root: list = ["", False, []]
@@ -109,9 +138,11 @@ def parse(page: str) -> list:
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")
             continue
-        attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
+        attrs: dict[str, str] = {}
+        for a, b, c, d in _ATTR.findall(m["attrs"] or ""):
+            attrs.setdefault(a.lower(), b or c or d)
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
-        noisy = hidden or name not in NAMED_FREELY and any(_noise(x) for a in ("class", "id", "role") for x in attrs.get(a, "").split())
+        noisy = hidden or bool(attrs) and _named_noise(name, attrs, "article" in names or "main" in names)
         if name in RAW and not m[0].endswith("/>"):
             over = _RAW_END[name].search(page, at)
             at = over.end() if over else len(page)

@@ -194,3 +194,14 @@ def test_requests_and_tampering(spark):
     wrong = made.proofs(asked).select(manifest.folded(F.sha2("leaf", 256), F.col("path")).alias("root")).collect()
     assert all(r.root != made.root for r in wrong)
     made.drop()
+
+
+@pytest.mark.parametrize(("inner", "want"), [
+    ('<p>see <a href="/hidden-gems">our guide</a></p>', "see our guide"), ('<p>see <a href="/x?id=search">our guide</a></p>', "see our guide"), ('<div title="the hidden cost">Body text</div>', "Body text"),
+    ('<div data-id="sidebar">kept</div>', "kept"), ('<div data-hidden="false">kept</div>', "kept"), ('<section id="search">Searching trees</section>', "Searching trees"), ('<table class="header"><tr><td>cell</td></tr></table>', "cell"),
+    ('<p title="unbalanced>foo</p>', "foo"), ('<p>a</p><div class="comment-body">Nice!</div><div id="comments">x</div>', "a"), ('<p>a</p><div class="share">Share</div><div class="ad">Buy</div><div hidden>gone</div><p aria-hidden="true">gone</p>', "a"),
+])
+def test_attributes_are_read_by_name(inner, want):
+    from quireworks.llm.html_extract import page_text
+
+    assert page_text(f"<html><body><nav>menu</nav><article>{inner}</article></body></html>", ["html", "body", "article"]) == want
