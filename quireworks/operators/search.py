@@ -63,7 +63,7 @@ def build_postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, docs.select("doc_id", F.regexp_count(folded(F.col("text")), F.lit(TOKEN)).cast("long").alias("n_tokens"))
 
 
-def _head(term: Column) -> Column:
+def head(term: Column) -> Column:
     return F.substring(term, 1, 2)
 
 
@@ -73,7 +73,7 @@ def write_postings(docs: DataFrame, path: str) -> None:
     A common first pair is dealt over several files by document, so that no task holds all of it.
     """
     postings, stats = build_postings(docs)
-    keyed = postings.withColumn("head", _head(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    keyed = postings.withColumn("head", head(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     dealt = keyed.repartition("head", "salt").sortWithinPartitions("head", "term", "doc_id").drop("salt")
     dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
@@ -83,29 +83,37 @@ def read_postings(spark: SparkSession, path: str, terms: DataFrame | None = None
     """The kept index; with terms (a query's, few), only the folders that can hold one of them are read."""
     postings = spark.read.schema("term string, doc_id long, tf long, len long, head string").parquet(f"{path}/postings")
     if terms is not None:
-        heads = sorted({r["f"] for r in terms.select(folded(F.col("term")).alias("f")).distinct().collect()})
-        wanted = F.lit(False)
-        for f in heads:  # a prefix of one sign names all folders that begin with it
-            wanted = wanted | (F.startswith("head", F.lit(f)) if len(f) < 2 else F.col("head") == f[:2])
-        postings = postings.where(wanted)
+        postings = postings.where(head_filter(terms))
     return postings.drop("head"), spark.read.schema("doc_id long, n_tokens long").parquet(f"{path}/stats")
 
 
+def head_filter(terms: DataFrame, most: int = 1_000) -> Column:
+    """Whether a folder of postings can hold one of the terms: as values for up to `most` first signs, else all can."""
+    heads = [r["h"] for r in terms.select(head(folded(F.col("term"))).alias("h")).distinct().limit(most + 1).collect()]
+    if len(heads) > most:
+        return F.lit(True)
+    wanted = F.col("head").isin([h for h in heads if len(h) > 1])
+    for h in heads:  # a prefix of one sign names all folders that begin with it
+        if len(h) < 2:
+            wanted = wanted | F.startswith("head", F.lit(h))
+    return wanted
+
+
 def few(rows: DataFrame, bound: int = 10_000) -> DataFrame:
     """Rows to be broadcast where a count shows that they are few, else as they are."""
     return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
 
 
-def prefix_match(terms: DataFrame, postings: DataFrame) -> DataFrame:
+def prefix_match(terms: DataFrame, postings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """query_id, term_no, doc_id, tf (and len): tokens that start with a prefix term or equal an exact one, added up per document.
 
     Terms meet postings, or plain token rows, by their first two letters.  Few terms are sent to the tokens, so only
     tokens that match are shuffled; a term of one letter that is a prefix is spread over all second letters there are.
     """
-    wanted = terms.withColumn("folded", folded(F.col("term"))).withColumn("head", _head(F.col("folded")))
-    keyed = postings.withColumn("head", _head(F.col("term"))).withColumnRenamed("term", "token")
+    wanted = terms.withColumn("folded", folded(F.col("term"))).withColumn("head", head(F.col("folded")))
+    keyed = (postings if "head" in postings.columns else postings.withColumn("head", head(F.col("term")))).withColumnRenamed("term", "token")
     fits = F.when(F.col("is_prefix"), F.startswith("token", "folded")).otherwise(F.col("token") == F.col("folded"))
-    keys = [c for c in ("query_id", "term_no", "doc_id", "len") if c in (*wanted.columns, *keyed.columns)]
+    keys = [c for c in ("query_id", "term_no", "doc_id", "len", *keep) if c in (*wanted.columns, *keyed.columns)]
     return keyed.join(few(wanted.select("query_id", "term_no", "folded", "is_prefix", "head")), "head").where(fits).groupBy(*keys).agg(F.sum("tf").alias("tf"))
 
 
@@ -156,7 +164,16 @@ def indexed_scored(spark: SparkSession, path: str, queries: DataFrame) -> DataFr
 
 
 def _scored(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    counts = match_counts(prefix_match(terms, postings), stats)
+    return _summed(terms, match_counts(prefix_match(terms, postings), stats))
+
+
+def scored_with(terms: DataFrame, matches: DataFrame, n_docs: Column, avg_len: Column) -> DataFrame:
+    """Scores of matches where the number of documents and their mean length are known."""
+    per_term = matches.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
+    return _summed(terms, matches.join(per_term, ["query_id", "term_no"]).withColumns({"n_docs": n_docs, "avg_len": avg_len}))
+
+
+def _summed(terms: DataFrame, counts: DataFrame) -> DataFrame:
     part = bm25_score(*map(F.col, ("n_docs", "df", "tf", "len", "avg_len")))
     found = counts.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n_found"))
     return found.join(few(_n_terms(terms)), "query_id").where("n_found = n_terms").select("query_id", "doc_id", "score")

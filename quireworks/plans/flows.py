@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireworks.operators import upkeep
+from quireworks.operators import segments
 from quireworks.plans.registry import query
 from quireworks.session import shared_path
 from quireworks.streaming import flows as S
@@ -104,9 +104,9 @@ def _(t):
         part.write.parquet(f"{place}/in/{number}")
         source = t.spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
         # parents are asked for anew in every batch
-        run = live.index_arrivals(source, lambda: t.documents.select(F.col("doc_id").alias("id")), f"{place}/index", f"{place}/checkpoint", {"availableNow": True}, 16)
+        run = live.index_arrivals(source, lambda: t.documents.select(F.col("doc_id").alias("id")), f"{place}/index", f"{place}/checkpoint", {"availableNow": True})
         run.awaitTermination()
-    return upkeep.read_rows(t.spark, f"{place}/index/postings").select("term", "doc_id", "tf")
+    return segments.SegmentIndex(t.spark, f"{place}/index").postings().select("term", "doc_id", "tf")
 
 
 @query("S12", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quireworks.operators import catalog as C
 from quireworks.operators import search as S
+from quireworks.operators.segments import SegmentIndex
 from quireworks.plans.registry import query
 from quireworks.session import shared_path
 
@@ -102,6 +103,20 @@ def _(t):
     return S.top_k_search(S.indexed_scored(t.spark, path, t.rows(QUERIES))).withColumn("score", F.round("score", 9))
 
 
+CHANGED = "corpus AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 9 <> 4)"
+
+
+@query("search_segments", "WITH " + ",".join([CHANGED, POST, MATCH, COUNTS, SCORES]) + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top")
+def _(t):
+    """Search in an index after three batches: all documents, an eighth of them anew, a ninth removed."""
+    index = SegmentIndex(t.spark, shared_path(t.spark, "segments"))
+    docs = corpus(t)
+    index.apply(docs, 0)
+    index.apply(docs.where("doc_id % 8 = 0").select("doc_id", F.concat(F.lit("new "), "text").alias("text")), 1)
+    index.apply(docs.where("doc_id % 9 = 4").select("doc_id", F.lit(None).cast("string").alias("text")), 2)
+    return S.top_k_search(index.scored(t.rows(QUERIES))).withColumn("score", F.round("score", 9))
+
+
 @query("snippet")
 def _(t):
     docs = corpus(t)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from quireworks.operators import search, upkeep
+from quireworks.operators import segments
 
 LATE = "10 minutes"
 
@@ -193,19 +193,16 @@ def undo_window(begins: DataFrame, undos: DataFrame, window: int, late: str = LA
     return _by_time(side(begins, True).unionByName(side(undos, False)), _Undo(window), ["token", "event_id", "committed_at"], late)
 
 
-def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
-    """Every settled batch of new or changed texts replaces its rows in the text index and in the postings.
+def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, fan: int = 4) -> StreamingQuery:
+    """Every settled batch of new or changed texts (a null one: removed) becomes a segment of the index at `path`.
 
-    Both are tables of hash buckets by document, and a batch rewrites only the buckets of its documents.  The index is the
-    record of progress: a batch that failed is written again, to the same end.
+    SegmentIndex(path) is searched while the stream runs.  Texts whose parent is gone by the time of the batch remove
+    what the index has of them.  A batch that is sent again after a failure is recognised by its number.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        alive = parents().select(F.col("id").alias("document_id"))
-        rows = batch.groupBy("document_id").agg(F.max_by("text", "ts").alias("text")).join(alive, "document_id", "left_semi").persist()
-        keys = rows.select("document_id")
-        upkeep.replace_rows(rows, keys, "document_id", f"{path}/text", buckets)
-        fresh, _stats = search.build_postings(rows.withColumnRenamed("document_id", "doc_id"))
-        upkeep.replace_rows(fresh.select("term", "doc_id", "tf"), keys.withColumnRenamed("document_id", "doc_id"), "doc_id", f"{path}/postings", buckets)
-        rows.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("document_id").agg(F.max_by("text", "ts").alias("text"))
+        alive = parents().select(F.col("id").alias("document_id"), F.lit(True).alias("alive"))
+        rows = last.join(alive, "document_id", "left").select(F.col("document_id").alias("doc_id"), F.when(F.col("alive"), F.col("text")).alias("text"))
+        segments.SegmentIndex(batch.sparkSession, path, fan).apply(rows, number)
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireworks.operators import search as S
-from quireworks.operators import upkeep as U
+from quireworks.operators.segments import SegmentIndex
 from quireworks.sources.views import Tables
 from quireworks.streaming import flows, live
 
@@ -115,6 +115,11 @@ def test_incremental_index_equals_a_rebuild(spark, sf, tmp_path):
     live.index_arrivals(source, lambda: parents, path, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(180)
     final = docs.join(changed.select("document_id"), "document_id", "left_anti").unionByName(changed).join(parents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     rebuilt, _ = S.build_postings(final.select(F.col("document_id").alias("doc_id"), "text"))
-    kept = U.read_rows(spark, f"{path}/postings").select("term", "doc_id", "tf")
+    index = SegmentIndex(spark, path)
+    kept = index.postings().select("term", "doc_id", "tf")
     assert kept.exceptAll(rebuilt.select('term', 'doc_id', 'tf')).count() == 0 and rebuilt.select('term', 'doc_id', 'tf').exceptAll(kept).count() == 0
-    assert U.read_rows(spark, f"{path}/text").count() == final.count()
+    assert index.texts().count() == final.count() and index.state()[1]["batch"] == 2
+    queries = spark.createDataFrame([(1, "ment tion"), (2, "a the"), (3, "fresh")], "query_id int, text string")
+    scores = lambda df: {(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()}
+    want = scores(S.scored(final.select(F.col("document_id").alias("doc_id"), "text"), queries))
+    assert scores(index.scored(queries)) == want and len(want) > 50
