@@ -17,8 +17,8 @@ DOCS = "doc_id long, version long, n_tokens long, text string"
 class SegmentIndex:
     """Postings and texts of documents at `path`, changed by batches and searched without reading texts.
 
-    A batch writes one segment: the postings of its documents, in folders by a term's first two signs, and one row for
-    each document it touched (a removed one has no text: a tombstone).  Nothing older is rewritten.  A document's newest
+    A batch writes one segment: the postings of its documents, in order of their terms, and one row for each document it
+    touched (a removed one has no text: a tombstone).  Nothing older is rewritten.  A document's newest
     row counts, so a search drops postings whose document a later segment touched; only the segments behind the oldest
     are asked for that.  When `fan` segments of one tier stand in a row they are merged into one of the next tier, and
     what is hidden goes; so a document is rewritten once a tier, and there are at most `fan` segments a tier.  The
@@ -52,14 +52,11 @@ class SegmentIndex:
         return known.where(F.col("newest").isNull() | (F.col("newest") <= F.col("version"))).drop("newest")
 
     def _postings(self, segments: list[dict]) -> DataFrame:
-        frames = [self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{s['name']}/postings") for s in segments if s["postings"]]
-        out = frames[0] if frames else self.spark.createDataFrame([], POSTINGS)
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        paths = [f"{self.path}/{s['name']}/postings" for s in segments]
+        return self.spark.read.schema(POSTINGS).parquet(*paths) if paths else self.spark.createDataFrame([], POSTINGS)
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """Postings of living documents: term, doc_id, tf, len; with terms (a query's, few), of the folders that can hold one."""
+        """Postings of living documents: term, doc_id, tf, len; with terms (a query's, few), of the files that can hold one."""
         segments = self.state()[1]["segments"]
         rows = self._postings(segments)
         if terms is not None:
@@ -105,7 +102,7 @@ class SegmentIndex:
         came = fresh.agg(F.count("n_tokens").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("touched")).first()
         before = self._before(fresh, came["touched"], state["segments"])
         state = state | {
-            "segments": [*state["segments"], {"name": name, "tier": 0, "postings": self._has_postings(place)}], "version": version,
+            "segments": [*state["segments"], {"name": name, "tier": 0}], "version": version,
             "n_docs": state["n_docs"] + came["n"] - before["n"], "n_tokens": state["n_tokens"] + came["tokens"] - before["tokens"], "batch": state["batch"] if batch is None else batch,
         }
         self.manifests.commit(number, state)
@@ -125,13 +122,11 @@ class SegmentIndex:
         return {"n": row["n"], "tokens": row["tokens"]}
 
     def _write_postings(self, postings: DataFrame, place: str) -> None:
-        # a common first pair is dealt over several files by document, so that no task holds all of it
-        keyed = postings.select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(search.SALTS)))
-        dealt = keyed.repartition("head", "salt").sortWithinPartitions("head", "term", "doc_id").drop("salt")
-        dealt.write.partitionBy("head").option("compression", "zstd").parquet(f"{place}/postings")
-
-    def _has_postings(self, place: str) -> bool:
-        return any(n.startswith("head=") for n in children(self.spark, f"{place}/postings"))
+        """Files hold ranges of first signs, terms and documents, so that their statistics tell which a term needs, and a
+        common term is spread over files."""
+        keyed = postings.select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head"))
+        order = ("head", "term", "doc_id")
+        keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{place}/postings")
 
     def compact(self) -> None:
         """Merge the youngest run of `fan` segments of one tier, again while there is one."""
@@ -152,7 +147,7 @@ class SegmentIndex:
                 newest = newest.where("text is not null")
             newest.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("parquet.bloom.filter.enabled#doc_id", "true").option("compression", "zstd").parquet(f"{place}/docs")
             self._write_postings(self._visible(self._postings(merged), merged[1:]).drop("head"), place)
-            fresh = {"name": name, "tier": tier + 1, "postings": self._has_postings(place)}
+            fresh = {"name": name, "tier": tier + 1}
             self.manifests.commit(number, state | {"segments": [*segments[:first], fresh]})
 
     def vacuum(self) -> None:

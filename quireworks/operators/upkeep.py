@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quireworks.functions import text as T
+from quireworks.session import stage  # noqa: F401
 
 
 def upsert_by_uri(library: DataFrame, updates: DataFrame) -> DataFrame:

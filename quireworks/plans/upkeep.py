@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quireworks.operators import store
 from quireworks.operators import upkeep as U
 from quireworks.plans.catalog import mtimes
 from quireworks.plans.registry import query
@@ -57,10 +58,13 @@ def _(t):
     return out.select("id", "is_starred", "last_opened_at", "format")
 
 
-@query("M4", """
+LEFT = """
     SELECT 'library' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM library WHERE id % 6 <> 0 UNION ALL SELECT 'progress', count(*), sum(document_id)::BIGINT FROM progress WHERE document_id % 6 <> 0
     UNION ALL SELECT 'highlights', count(*), sum(document_id)::BIGINT FROM highlights WHERE document_id % 6 <> 0 UNION ALL SELECT 'text', count(*), sum(document_id)::BIGINT FROM document_text WHERE document_id % 6 <> 0
-    UNION ALL SELECT 'bookmarks', count(*), sum(document_id)::BIGINT FROM locations WHERE document_id % 6 <> 0""", "library progress highlights document_text locations")
+    UNION ALL SELECT 'bookmarks', count(*), sum(document_id)::BIGINT FROM locations WHERE document_id % 6 <> 0"""
+
+
+@query("M4", LEFT, "library progress highlights document_text locations")
 def _(t):
     left = U.delete_documents({"library": t.library, "progress": t.progress, "highlights": t.highlights, "text": t.document_text, "bookmarks": t.locations}, t.library.where("id % 6 = 0"))
     out = None
@@ -70,6 +74,19 @@ def _(t):
     return out
 
 
+@query("M4_store", LEFT, "library progress highlights document_text locations")
+def _(t):
+    """The same removal as one change of kept tables."""
+    kept = store.Store(t.spark, shared_path(t.spark, "store"))
+    owned = {"progress": t.progress, "highlights": t.highlights, "text": t.document_text, "bookmarks": t.locations}
+    kept.create({"documents": (t.library, "id")} | {name: (rows, "document_id") for name, rows in owned.items()})
+    store.delete_documents(kept, t.library.where("id % 6 = 0"), dict.fromkeys(owned, "document_id"))
+    out = kept.read("documents").agg(F.lit("library").alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+    for name in owned:
+        out = out.union(kept.read(name).agg(F.lit(name), F.count("*"), F.sum("document_id")))
+    return out
+
+
 REPLACED = """n AS (SELECT doc_id + 5 AS document_id, 'new ' || text AS text FROM documents WHERE doc_id % 8 = 0)
     SELECT document_id, text FROM document_text WHERE document_id NOT IN (SELECT document_id FROM n WHERE document_id IN (SELECT id FROM library))
     UNION ALL SELECT document_id, text FROM n WHERE document_id IN (SELECT id FROM library)"""
