@@ -219,10 +219,16 @@ def match_pages(pages: DataFrame, query: str, hidden: list[int] | None = None) -
 
 
 def join_span_cover(direct: DataFrame, linked: DataFrame) -> DataFrame:
-    """Link ranges no direct match overlaps, each once: doc_id, start, end."""
-    d = direct.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    links = linked.select("doc_id", "start", "end").distinct()
-    return links.join(d, (links["doc_id"] == d["doc_id"]) & (d["s"] < links["end"]) & (links["start"] < d["e"]), "left_anti")
+    """Link ranges no direct match overlaps, each once: doc_id, start, end.
+
+    A sweep over each document: matches stand at their starts, links at their ends (before matches that start there), and
+    a link is overlapped if the largest end of the matches so far lies behind its start.  One sort; no pairs are formed.
+    """
+    d = direct.select("doc_id", F.lit(None).cast("int").alias("start"), F.col("end").alias("reach"), F.col("start").alias("at"), F.lit(1).alias("side"))
+    links = linked.select("doc_id", "start", F.lit(None).cast("int").alias("reach"), F.col("end").alias("at"), F.lit(0).alias("side")).distinct()
+    so_far = F.max("reach").over(W.partitionBy("doc_id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, -1))
+    free = links.unionByName(d).withColumn("so_far", so_far).where("side = 0 and (so_far is null or so_far <= start)")
+    return free.select("doc_id", "start", F.col("at").alias("end"))
 
 
 def corpus_feature_survey(files: DataFrame, features: dict[str, Column]) -> DataFrame:

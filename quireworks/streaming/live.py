@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -193,6 +194,131 @@ def undo_window(begins: DataFrame, undos: DataFrame, window: int, late: str = LA
     return _by_time(side(begins, True).unionByName(side(undos, False)), _Undo(window), ["token", "event_id", "committed_at"], late)
 
 
+class _Fold(StatefulProcessor):
+    """Rows of a key in the order of event time, folded over a state that is kept as text.
+
+    Rows wait until the watermark has passed them, so late ones within it fall into place; `step` gets the state (None at
+    first) and a row (ts in microseconds, side, event_id, value) and returns the next state and the values of a row of
+    output, or None.
+    """
+
+    def __init__(self, step: Callable, columns: list[str]):
+        self.step, self.columns = step, columns
+
+    def init(self, handle) -> None:  # noqa: ANN001
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, side int, event_id long, value string")
+        self.state = handle.getValueState("state", "held string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for batch in rows:
+            for ts, side, event, value in zip(batch["us"].tolist(), batch["side"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
+                self.waiting.appendValue((int(ts), int(side), int(event), value))
+                self.handle.registerTimer(-(-int(ts) // 1000))
+        yield pd.DataFrame({c: [] for c in self.columns}, dtype="object")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2])) if self.waiting.exists() else []
+        due, out = [r for r in rows if r[0] <= now], []
+        if due:
+            later = rows[len(due) :]
+            self.waiting.put(later) if later else self.waiting.clear()
+            held = json.loads(self.state.get()[0]) if self.state.exists() else None
+            for row in due:
+                held, made = self.step(held, *row)
+                if made is not None:
+                    out.append((key[0], *made))
+            self.state.update((json.dumps(held),))
+        yield pd.DataFrame({c: [r[i] for r in out] for i, c in enumerate(self.columns)}, dtype="object")
+
+    def close(self) -> None:
+        pass
+
+
+def fold_in_order(events: DataFrame, step: Callable, columns: dict[str, str], late: str = LATE) -> DataFrame:
+    """A fold over each key's events (key, ts, side, event_id, value) in event time: key and the columns that step returns."""
+    rows = events.withWatermark("ts", late).select(
+        F.col("key").cast("long").alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("side").cast("int").alias("side"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("string").alias("value")
+    )
+    shape = ", ".join(f"{c} {t}" for c, t in {"key": "long", **columns}.items())
+    return rows.groupBy("key").transformWithStateInPandas(_Fold(step, ["key", *columns]), outputStructType=shape, outputMode="append", timeMode="eventTime")
+
+
+def _gate(held: dict | None, ts: int, side: int, event_id: int, value: str) -> tuple[dict, tuple | None]:
+    held = held or {"last": {}, "open": None}
+    signal, on = value.rsplit("=", 1)
+    held["last"][signal] = on == "true"
+    is_open = held["last"].get("enabled", False) and not held["last"].get("reading", False) and not held["last"].get("battery", False)
+    changed, held["open"] = is_open != held["open"], is_open
+    return held, (ts, is_open) if changed else None
+
+
+def combine_latest_gate(signals: DataFrame, key: str | None = None, late: str = LATE) -> DataFrame:
+    """Changes of the gate (ts in microseconds, open) over the latest values of its three signals; one gate a key, one in
+    all where no key is named."""
+    rows = signals.select((F.col(key) if key else F.lit(0)).alias("key"), "ts", F.lit(0).alias("side"), "event_id", F.concat("signal", F.lit("="), F.col("on").cast("string")).alias("value"))
+    return fold_in_order(rows, _gate, {"ts": "long", "open": "boolean"}, late)
+
+
+def _count(held: int | None, ts: int, side: int, event_id: int, value: str) -> tuple[int, tuple]:
+    held = max((held or 0) + int(value), 0)
+    return held, (event_id, ts, held)
+
+
+def presence_count(moves: DataFrame, key: str, late: str = LATE) -> DataFrame:
+    """A counter of entries (step +1) and exits (-1) that never goes below zero: key, event_id, ts, count."""
+    rows = moves.select(F.col(key).alias("key"), "ts", F.lit(0).alias("side"), "event_id", F.col("step").alias("value"))
+    return fold_in_order(rows, _count, {"event_id": "long", "ts": "long", "count": "long"}, late).withColumnRenamed("key", key)
+
+
+def _latest(held: str | None, ts: int, side: int, event_id: int, value: str) -> tuple[str | None, tuple | None]:
+    return (value, None) if side == 0 else (held, (event_id, value, held))
+
+
+def latest_value(rows: DataFrame, values: DataFrame, key: str, column: str, late: str = LATE) -> DataFrame:
+    """Each row (key, ts, event_id, column) with the value of the other stream (key, ts, event_id, column) that was the
+    latest at its time: key, event_id, value, latest; null where there was none yet."""
+    side = lambda df, n: df.select(F.col(key).alias("key"), "ts", F.lit(n).alias("side"), "event_id", F.col(column).alias("value"))
+    return fold_in_order(side(values, 0).unionByName(side(rows, 1)), _latest, {"event_id": "long", "value": "string", "latest": "string"}, late).withColumnRenamed("key", key)
+
+
+def stale_answer_filter(answers: DataFrame, queries: DataFrame, late: str = LATE) -> DataFrame:
+    """S12 while sessions go on: answers to the query that was their session's latest when they came: session, event_id, query."""
+    return latest_value(answers, queries, "session", "query", late).where("value = latest").select("session", "event_id", F.col("value").alias("query"))
+
+
+def _after_first(held: bool | None, ts: int, side: int, event_id: int, value: str) -> tuple[bool, tuple | None]:
+    held = bool(held) or side == 0
+    return held, (event_id, ts) if held and side else None
+
+
+def restore_gate(samples: DataFrame, markers: DataFrame, key: str = "document_id", late: str = LATE) -> DataFrame:
+    """S3: samples from their document's restore on: key, event_id, ts."""
+    side = lambda df, n: df.select(F.col(key).alias("key"), "ts", F.lit(n).alias("side"), "event_id", F.lit("").alias("value"))
+    return fold_in_order(side(markers, 0).unionByName(side(samples, 1)), _after_first, {"event_id": "long", "ts": "long"}, late).withColumnRenamed("key", key)
+
+
+class _Moved:
+    """Passes from the first sample on that differs from the first one by its unit or by more than the tolerance."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance = tolerance
+
+    def __call__(self, held: dict | None, ts: int, side: int, event_id: int, value: str) -> tuple[dict, tuple | None]:
+        unit, fraction, zoom = json.loads(value)
+        held = held or {"first": [unit, fraction, zoom], "moved": False}
+        far = lambda a, b: a is not None and b is not None and abs(a - b) > self.tolerance
+        held["moved"] = held["moved"] or unit != held["first"][0] or far(fraction, held["first"][1]) or far(zoom, held["first"][2])
+        return held, (event_id, ts) if held["moved"] else None
+
+
+def movement_gate(samples: DataFrame, tolerance: float = 0.01, key: str = "document_id", late: str = LATE) -> DataFrame:
+    """Samples once their document has moved: key, event_id, ts."""
+    rows = samples.select(F.col(key).alias("key"), "ts", F.lit(0).alias("side"), "event_id", F.to_json(F.array(F.col("unit").cast("double"), F.col("fraction").cast("double"), F.col("zoom").cast("double"))).alias("value"))
+    return fold_in_order(rows, _Moved(tolerance), {"event_id": "long", "ts": "long"}, late).withColumnRenamed("key", key)
+
+
 def index_arrivals(arrivals: DataFrame, parents: Callable[[], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, fan: int = 4) -> StreamingQuery:
     """Every settled batch of new or changed texts (a null one: removed) becomes a segment of the index at `path`.
 

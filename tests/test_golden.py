@@ -287,3 +287,15 @@ def test_running_sums(spark):
 def test_offsets_of_very_many_hits(spark):
     docs = spark.createDataFrame([(1, "ab tion. " * 100_000)], "doc_id long, text string")
     assert X.find_rows(docs, "tion").agg(F.count("*"), F.sum("start")).first() == (100_000, sum(9 * i + 3 for i in range(100_000)))
+
+
+def test_span_cover_by_sweep(spark):
+    rng = random.Random(8)
+    side = lambda n, width: [(d, a, a + rng.randrange(width)) for d in range(40) for a in (rng.randrange(40) for _ in range(rng.randrange(n)))]
+    direct, linked = side(6, 6), side(9, 9)
+    got = X.join_span_cover(spark.createDataFrame(direct, "doc_id int, start int, end int"), spark.createDataFrame(linked, "doc_id int, start int, end int"))
+    want = {k for k in linked if not any(d[0] == k[0] and d[1] < k[2] and k[1] < d[2] for d in direct)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    hits = spark.range(100_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 4).cast("int").alias("end"))
+    links = spark.range(10_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 100 + 4).cast("int").alias("start"), (F.col("id") * 100 + F.when(F.col("id") % 2 == 0, 10).otherwise(11)).cast("int").alias("end"))
+    assert X.join_span_cover(hits, links).count() == 5_000

@@ -89,6 +89,63 @@ def test_undo_window(spark, events, tmp_path):
     assert mine == sorted((r.token, r.event_id, r.committed_at or 0) for r in want.collect()) and 0 < sum(r[2] == 0 for r in mine) < len(mine)
 
 
+@pytest.fixture
+def shuffled(spark, sf, tmp_path):
+    """Events whose files are no days: each holds rows of the whole time, so most rows come late, within the watermark."""
+    rows = Tables(spark, sf).events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").where("event_id < 600")
+    end = rows.agg(F.max("ts") + F.expr("interval 400 days")).first()[0]
+    for i in range(3):
+        rows.where(F.col("event_id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
+    last = [(-1 - i, -1 - i, end + timedelta(days=400 * i), "end", 0.0) for i in range(2)]
+    for i, row in enumerate(last):
+        spark.createDataFrame([row], "event_id long, user_id long, ts timestamp, event_type string, value double").select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]).coalesce(1).write.parquet(str(tmp_path / "in" / f"{3 + i:03d}"))
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    return rows, stream
+
+
+def test_gate_on_late_input(spark, shuffled, tmp_path):
+    batch, stream = shuffled
+    signals = lambda df: df.select("ts", "event_id", F.element_at(F.array(*map(F.lit, ["enabled", "reading", "battery"])), (F.abs("event_id") % 3 + 1).cast("int")).alias("signal"), (F.hash("event_id") % 2 == 0).alias("on"))
+    got = run(live.combine_latest_gate(signals(stream()), late="300 days"), "gate", tmp_path)
+    want = flows.combine_latest_gate(signals(batch).withColumn("ts", F.unix_micros("ts")))
+    last = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+    assert sorted((r.ts, r.open) for r in got.where(F.col("ts") <= last).collect()) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_presence_on_late_input(spark, shuffled, tmp_path):
+    batch, stream = shuffled
+    moves = lambda df: df.withColumn("step", F.when(F.col("event_type").isin("view", "signup"), 1).otherwise(-1))
+    got = run(live.presence_count(moves(stream()), "user_id", late="300 days"), "presence", tmp_path).where("user_id >= 0")
+    want = flows.presence_count(moves(batch).withColumn("ts", F.unix_micros("ts")), "user_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == batch.count()
+
+
+def test_latest_values_on_late_input(spark, shuffled, tmp_path):
+    batch, stream = shuffled
+    side = lambda df, kind: df.where((F.col("event_type") == kind) | (F.col("user_id") < 0)).select(F.col("user_id").alias("session"), "ts", "event_id", (F.col("event_id") % 2).alias("query"))
+    got = run(live.stale_answer_filter(side(stream(), "click"), side(stream(), "view"), late="300 days"), "answers", tmp_path).where("session >= 0")
+    asked = sorted((r.ts, r.event_id, r.session, r.query) for r in side(batch, "view").collect())
+    want = []
+    for r in side(batch, "click").collect():
+        before = [q for ts, _, session, q in asked if session == r.session and ts <= r.ts]
+        if before and before[-1] == r.query:
+            want.append((r.session, r.event_id, str(r.query)))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_gates_of_samples_on_late_input(spark, shuffled, tmp_path):
+    batch, stream = shuffled
+    samples = lambda df: df.select(F.col("user_id").alias("document_id"), "ts", "event_id", (F.col("event_id") % 2).alias("unit"), F.lit(0.5).alias("fraction"), (F.col("event_id") % 7 / 1000).alias("zoom"))
+    micros = lambda df: df.withColumn("ts", F.unix_micros("ts"))
+    moved = run(live.movement_gate(samples(stream()), late="300 days"), "moved", tmp_path).where("document_id >= 0")
+    want = flows.movement_gate(micros(samples(batch))).select("document_id", "event_id", "ts")
+    assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, want.collect())) and 0 < want.count() < batch.count()
+    marks = lambda df: samples(df.where("event_type = 'signup' or user_id < 0"))
+    restored = run(live.restore_gate(samples(stream()), marks(stream()), late="300 days"), "restored", tmp_path).where("document_id >= 0")
+    want = flows.restore_gate(micros(samples(batch)), micros(marks(batch))).select("document_id", "event_id", "ts")
+    assert sorted(map(tuple, restored.collect())) == sorted(map(tuple, want.collect())) and 0 < want.count() < batch.count()
+
+
 def test_eager_arrivals(spark, tmp_path):
     import random
 
