@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireworks.functions import text as T
 from quireworks.llm.common import discard, join_sized, stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,15 +61,8 @@ def _tagger(kind: str) -> Callable[[Column], Column]:
 
 def _located(gaps: Column, hits: Column) -> Column:
     """Matches with their places: the lengths of the pieces between them, added up."""
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["g"]
-        end = start + F.length(p["h"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["h"].alias("value"))).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    spans = F.zip_with(T.placed(gaps, hits), hits, lambda r, h: F.struct(r["start"].alias("start"), r["end"].alias("end"), h.alias("value")))
+    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -225,15 +219,11 @@ def sanitised(docs: DataFrame, **limits: float) -> DataFrame:
     terms = F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,end:int,action:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("by")))
     ordered = F.array_sort(F.concat(mine, terms))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["by"])
-        inside = s["start"] < acc["at"]  # overlaps what is already replaced: only its rest goes
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["text"]).otherwise(kept).alias("text"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate(ordered, start, step)
-    return rows.withColumn("done", done).select(
-        "doc_id", F.concat(F.col("done.text"), F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))).alias("text")
-    )
+    rows = rows.withColumn("marks", ordered)
+    # how far the spans before each one reach: what overlaps them is already replaced, only its rest goes
+    reach = T.running_maxima(F.transform("marks", lambda s: s["end"].cast("long")))
+    rows = rows.withColumn("reach", F.transform(F.array_prepend(reach, F.lit(0).cast("long")), lambda x: x.cast("int")))
+    text = F.col("text")
+    pieces = F.zip_with("marks", F.slice("reach", F.lit(1), F.size("marks")), lambda s, at: F.when(s["start"] < at, "").otherwise(F.concat(F.substring(text, at + 1, s["start"] - at), s["by"])))
+    rest = F.substring(text, F.element_at("reach", -1) + 1, F.length(text))
+    return rows.select("doc_id", F.concat(F.array_join(pieces, ""), rest).alias("text"))
