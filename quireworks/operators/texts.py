@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quireworks.functions import text as T
+from quireworks.functions.encodings import guessed
 from quireworks.operators.markup import html_blocks, lay_tables, page_rows
 
 # --- sources and sinks ---
 
 
 def decoded(content: Column, cut: Column | None = None) -> tuple[Column, Column]:
-    """(encoding, text) of a file's bytes: byte order mark, UTF-16 by its zero bytes, strict UTF-8, else windows-1252.
+    """(encoding, text) of a file's bytes: byte order mark, UTF-16 by its zero bytes, strict UTF-8, the likeliest legacy
+    encoding, else windows-1252.  Only bytes that come as far as the guess are sent to Python.
 
     cut: whether the bytes are the head of a longer file, which may end inside a character; that one is left out.
     """
@@ -24,9 +26,11 @@ def decoded(content: Column, cut: Column | None = None) -> tuple[Column, Column]
     high, low = F.size(F.filter(pairs, lambda p: F.startswith(p, F.lit("00")))), F.size(F.filter(pairs, lambda p: F.endswith(p, F.lit("00"))))
     lopsided = lambda a, b: (n > 0) & (a >= 0.1 * n) & (a >= 10 * b)
     named, behind = T.mark_of(content)
-    plain = F.when(lopsided(low, high), "UTF-16LE").when(lopsided(high, low), "UTF-16BE").when(T.valid_utf8(content, cut), "UTF-8").otherwise("windows-1252")
-    encoding = F.coalesce(named, plain)
-    text = T.in_encoding(behind, encoding)
+    plain = F.when(lopsided(low, high), "UTF-16LE").when(lopsided(high, low), "UTF-16BE").when(T.valid_utf8(content, cut), "UTF-8")
+    sure = F.coalesce(named, plain)
+    legacy = guessed(content, cut, sure.isNull())
+    encoding = F.when(content.isNotNull(), F.coalesce(sure, legacy["encoding"]))
+    text = F.coalesce(legacy["text"], T.in_encoding(behind, encoding))
     # a cut character decodes to replacement signs at the end
     return encoding, F.when(cut & encoding.startswith("UTF"), F.regexp_replace(text, "\uFFFD{1,3}$", "")).otherwise(text)
 

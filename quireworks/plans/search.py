@@ -117,11 +117,30 @@ def _(t):
     return S.top_k_search(index.scored(t.rows(QUERIES))).withColumn("score", F.round("score", 9))
 
 
-@query("snippet")
+#: Excerpts word by word: which terms each word meets, the best window of 32 words, its words and gaps put together
+EXCERPT = """
+    found AS (SELECT query_id, doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS words, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS plain,
+        string_split_regex(text, '[\\p{L}\\p{N}]+') AS gaps FROM top JOIN corpus USING (doc_id)),
+    word AS (SELECT query_id, doc_id, len(words) AS n, unnest(words) AS w, unnest(plain) AS f, generate_subscripts(words, 1) AS i FROM found),
+    meets AS (SELECT word.query_id, doc_id, i, term_no, starts_with(f, term)::INT AS met FROM word JOIN terms USING (query_id)),
+    near AS (SELECT *, max(met) OVER (PARTITION BY query_id, doc_id, term_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS ahead FROM meets),
+    each_word AS (SELECT query_id, doc_id, i, sum(ahead) AS seen, max(met) AS met FROM near GROUP BY ALL),
+    windows AS (SELECT *, sum(met) OVER (PARTITION BY query_id, doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS hits FROM each_word),
+    best AS (SELECT query_id, doc_id, arg_min(i, (-seen, -hits, i)) AS first FROM windows GROUP BY ALL),
+    shown AS (SELECT query_id, doc_id, i, first, n, gaps, w, met, CASE WHEN first > 1 THEN '…' ELSE gaps[1] END AS lead, least(first + 31, n) AS last
+        FROM best JOIN word USING (query_id, doc_id) JOIN each_word USING (query_id, doc_id, i) JOIN found USING (query_id, doc_id) WHERE i BETWEEN first AND first + 31),
+    pieces AS (SELECT *, w || CASE WHEN i < last THEN gaps[i + 1] WHEN last < n THEN '…' ELSE gaps[n + 1] END AS piece FROM shown),
+    laid AS (SELECT *, length(lead) + coalesce(sum(length(piece)) OVER (PARTITION BY query_id, doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM pieces)"""
+
+
+@query("snippet", sql("""SELECT query_id, doc_id, any_value(lead) || string_agg(piece, '' ORDER BY i) AS snippet,
+    string_agg(CASE WHEN met = 1 THEN place || ':' || (place + length(w)) END, ',' ORDER BY i) AS ranges FROM laid GROUP BY query_id, doc_id""", POST, MATCH, COUNTS, SCORES, EXCERPT))
 def _(t):
+    """Excerpts of the best hits; the places of the terms' words as start:end."""
     docs = corpus(t)
     top = S.top_k_search(S.scored(docs, t.rows(QUERIES)))
-    return S.snippet(docs, top.select("query_id", "doc_id"), parsed(t))
+    found = S.snippet(docs, top.select("query_id", "doc_id"), parsed(t))
+    return found.withColumn("ranges", F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["start"], r["end"])), ","))
 
 
 @query("search_focus_term", sql("SELECT t.query_id, doc_id, term, strpos(lower(text), lower(term)) - 1 AS first_offset FROM hit JOIN (SELECT * FROM terms WHERE term_no = 0) t USING (query_id) JOIN corpus USING (doc_id)", POST, MATCH))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions import formats
 from quireworks.functions import text as T
+from quireworks.functions.encodings import LETTERS, PAGES
 from quireworks.operators import texts as X
 from quireworks.plans.registry import query
 
@@ -133,6 +134,25 @@ def _(t):
     return encoded(t).select(F.col("path").cast("long").alias("doc_id"), X.decoded(F.col("content"))[0].alias("encoding"))
 
 
+#: Letters of documents by their frequency in English, and what stands for them in each legacy encoding
+OFTEN = "etaoinshrdlcumwfgypbvkxjqz"
+LEGACY = [("windows-1251", LETTERS["Russian"][:26]), ("KOI8-R", LETTERS["Russian"][:26]), ("windows-1253", LETTERS["Greek"][:26])]
+
+
+@query("F9_legacy", f"""
+    WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\x00-\x7F]', '', 'g') AS text FROM documents)
+    SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[a-z]') THEN 'UTF-8' ELSE ['{LEGACY[0][0]}', '{LEGACY[1][0]}', '{LEGACY[2][0]}'][doc_id % 3 + 1] END AS encoding,
+        translate(text, '{OFTEN}', ['{LEGACY[0][1]}', '{LEGACY[1][1]}', '{LEGACY[2][1]}'][doc_id % 3 + 1]) AS text FROM d""")
+def _(t):
+    """Documents in Cyrillic and Greek letters, read from bytes of code pages that nothing names."""
+    text = F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "")
+    content = F.lit(None).cast("binary")
+    for i, (name, letters) in enumerate(LEGACY):
+        content = F.when(F.col("doc_id") % 3 == i, F.encode(F.translate(text, OFTEN, letters.encode(PAGES[name][0]).decode("latin-1")), "ISO-8859-1")).otherwise(content)
+    encoding, read = X.decoded(F.col("content"))
+    return t.documents.select("doc_id", content.alias("content")).select("doc_id", encoding.alias("encoding"), read.alias("text"))
+
+
 @query("read_text_corpus", f"SELECT doc_id, {ENC} AS encoding, left(text, 1000000) AS text, length(text) > 1000000 AS truncated FROM documents")
 def _(t):
     return X.from_bytes(encoded(t)).select(F.col("path").cast("long").alias("doc_id"), "encoding", "text", "truncated")

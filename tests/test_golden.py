@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions import formats
 from quireworks.functions import text as T
+from quireworks.functions.encodings import PAGES, guess
 from quireworks.operators import catalog as C
 from quireworks.operators import search as S
 from quireworks.operators import texts as X
@@ -188,6 +189,29 @@ def test_encodings(spark, encoding):
     assert row.t == text and row.e == {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "windows-1252"}[encoding]
 
 
+@pytest.mark.parametrize(("encoding", "text"), [
+    ("windows-1251", "Съешь же ещё этих мягких французских булок, да выпей чаю."), ("KOI8-R", "Съешь же ещё этих мягких французских булок, да выпей чаю."),
+    ("windows-1253", "Καλημέρα κόσμε, τι κάνετε σήμερα;"), ("windows-1250", "Zażółć gęślą jaźń i idź spać, proszę"), ("ISO-8859-2", "Příliš žluťoučký kůň úpěl ďábelské ódy"),
+    ("windows-1250", "Szeretném megköszönni a segítségét, nagyon örülök, hogy eljött őszi ünnepségünkre"), ("windows-1254", "Bugün hava çok güzel, dışarı çıkıp yürüyüş yapmak istiyorum"),
+    ("windows-1255", "שלום עולם, מה שלומך היום"), ("windows-1256", "مرحبا بالعالم كيف حالك اليوم"), ("Shift_JIS", "こんにちは、世界。今日はいい天気ですね。"), ("EUC-JP", "こんにちは、世界。今日はいい天気ですね。"),
+    ("GB18030", "今天天气很好，我们去公园玩吧。"), ("Big5", "今天天氣很好，我們去公園玩吧。"), ("EUC-KR", "안녕하세요, 세계. 오늘은 날씨가 좋네요."), ("windows-1252", "Le café est prêt et déjà réservé pour René et sa fiancée."),
+    ("windows-1252", "ÜBERGRÖSSE, ÄÖÜ – äöü ß"), ("windows-1252", "Ñandú, señor: mañana será otro día"),
+])
+def test_legacy_encodings(spark, encoding, text):
+    """Bytes that nothing names are read in the likeliest encoding, whole and cut inside a sign."""
+    data = text.encode(PAGES[encoding][0])
+    rows = spark.createDataFrame([(0, bytearray(data), False), (1, bytearray(data * 50 + data[:1]), True)], "id int, v binary, cut boolean")
+    enc, made = X.decoded(F.col("v"), F.col("cut"))
+    got = {r.id: (r.e, r.t) for r in rows.select("id", enc.alias("e"), made.alias("t")).collect()}
+    assert got[0] == (encoding, text) and got[1][0] == encoding and got[1][1].startswith(text * 50)
+
+
+def test_legacy_guess_edges():
+    """Signs of other scripts in a little of the text are not enough; no bytes, and few that tell nothing, are the default."""
+    assert guess(b"plain") == guess(b"") == guess(b"a\xe9\xe9") == "windows-1252"
+    assert guess(b"word " * 40 + "слово".encode("cp1251")) == "windows-1252" and guess(b"word " * 2 + "слово слово".encode("cp1251")) == "windows-1251"
+
+
 @pytest.mark.parametrize(("data", "cut", "encoding", "text"), [
     (b"", False, "UTF-8", ""), ("é€".encode("utf-32-le"), False, None, None), (b"\xff\xfe\0\0" + "aé😀".encode("utf-32-le"), False, "UTF-32LE", "aé😀"), (b"\0\0\xfe\xff" + "aé😀".encode("utf-32-be"), False, "UTF-32BE", "aé😀"),
     ("ééé".encode()[:3], True, "UTF-8", "é"), ("ééé".encode()[:3], False, "windows-1252", "Ã©Ã"), ("a€".encode()[:3], True, "UTF-8", "a"), ("x😀".encode()[:4], True, "UTF-8", "x"), (b"a\xe9\xe9", True, "windows-1252", "aéé"),
