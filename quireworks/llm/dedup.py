@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import discard, free_name, new_path, stage
+from quireworks.sources.manifests import Manifests
 
 
 def normalised(text: Column) -> Column:
@@ -16,44 +21,98 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """SHA-256 digests seen so far with the id that stays, as a table bucketed and sorted by digest.
-
-    The table lives at `path` (a folder all executors see) and outlives the session: opening the same path again, in any
-    session, finds the digests of earlier batches.  The number of buckets is fixed when the index is made (the session's
-    shuffle partitions where none is given) and kept beside it, at `path`.layout; asking for another number later is an
-    error.  `add` joins a batch's digests to the index by sort-merge anti-join without shuffling the index, and appends
-    only the new ones.  One writer at a time.
+    """SHA-256 digests seen so far with the id that stays, in tables bucketed and sorted by digest.
+
+    The index lives at `path` (a folder all executors see) and outlives the session: opening the same path again, in any
+    session, finds the digests of earlier batches.  It consists of segments, one sorted file a bucket, which a manifest
+    names; `add` joins a batch's digests to each of them by sort-merge anti-join, without a shuffle or a sort of the index,
+    and appends the new ones as a segment.  A segment is merged with the one before it while that is not FAN times as
+    large, so there are as many segments as the logarithm of the index, and a small batch rewrites no large one.  The
+    number of buckets is given when the index is made (the session's shuffle partitions where none is) and doubles
+    when a bucket holds more than `per_bucket` digests on average; asking for another first number later is an error.
+    The manifest is replaced last: a batch that fails leaves the index as it was.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
-        made = self._layout()
-        if made and buckets and made != buckets:
-            raise ValueError(f"the index at {path} has {made} buckets, not {buckets}")
-        if not made:
+    FAN = 4
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, per_bucket: int = 4_000_000):
+        self.spark, self.path, self.per_bucket = spark, path, per_bucket
+        self.manifests = Manifests(spark, f"{path}/_manifests")
+        self.number, state = self.manifests.read()
+        if state and buckets and state["made_with"] != buckets:
+            raise ValueError(f"the index at {path} was made with {state['made_with']} buckets, not {buckets}")
+        if not state:
             made = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            spark.range(1).select(F.lit(made).alias("buckets")).coalesce(1).write.parquet(f"{path}.layout")
-        self.buckets = made
+            state = {"made_with": made, "buckets": made, "segments": []}
+            self.number = self.manifests.commit(self.number, state)
+        self.made_with, self.buckets, self.segments = state["made_with"], state["buckets"], state["segments"]
         self.table = f"digest_index_{hashlib.md5(path.encode()).hexdigest()}"
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {made} BUCKETS LOCATION '{path}'"
+
+    @contextmanager
+    def in_order(self) -> Iterator[None]:
+        """Within this, plans read tables by their buckets, and know that a bucket of one file is sorted."""
+        keys = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+        before = {key: self.spark.conf.get(key) for key in keys}
+        try:
+            for key, value in keys.items():
+                self.spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
+
+    def _write(self, rows: DataFrame, name: str, at: str) -> DataFrame:
+        """rows, dealt by digest over as many partitions as there are buckets, as a table of one sorted file a bucket."""
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").option("path", at).saveAsTable(name)
+        return self.spark.table(name)
+
+    def _append(self, rows: DataFrame) -> dict:
+        part = uuid.uuid4().hex
+        n = self._write(rows, f"{self.table}_{part}", f"{self.path}/{part}").count()
+        return {"part": part, "rows": n}
+
+    def _open(self, segment: dict) -> DataFrame:
+        name = f"{self.table}_{segment['part']}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{segment['part']}'"
         )
+        return self.spark.table(name)
+
+    def _remove(self, *segments: dict) -> None:
+        for segment in segments:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}_{segment['part']}")
+            discard(self.spark, f"{self.path}/{segment['part']}")
 
-    def _layout(self) -> int | None:
-        """The number of buckets the index was made with; None where there is no index yet."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.layout/_SUCCESS")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return None
-        return self.spark.read.parquet(f"{self.path}.layout").first()["buckets"]
+    def _merged(self, older: dict, newer: dict) -> dict:
+        """Two segments as one, bucket by bucket; no digest is in both."""
+        both = self._open(older).hint("merge").join(self._open(newer).withColumnRenamed("keep_id", "new_id"), "digest", "full_outer")
+        return self._append(both.select("digest", F.coalesce("keep_id", "new_id").alias("keep_id")))
 
     def digests(self) -> DataFrame:
-        return self.spark.table(self.table)
+        parts = [self._open(s) for s in self.segments] or [self.spark.createDataFrame([], "digest binary, keep_id long")]
+        return reduce(DataFrame.union, parts)
 
     def drop(self) -> None:
         """Delete the index with its files."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        discard(self.spark, self.path, f"{self.path}.layout")
+        self._remove(*self.segments)
+        discard(self.spark, self.path)
+
+    def _settle(self, segments: list[dict]) -> None:
+        """Merge the newest segments while they are alike in size, double the buckets if they are full, and commit."""
+        segments, old = list(segments), []
+        while len(segments) > 1 and segments[-2]["rows"] < self.FAN * segments[-1]["rows"]:
+            pair = segments[-2:]
+            segments[-2:] = [self._merged(*pair)]
+            old += pair
+        if sum(s["rows"] for s in segments) > self.per_bucket * self.buckets:
+            whole = reduce(DataFrame.union, [self._open(s) for s in segments])
+            old += segments
+            self.buckets *= 2
+            segments = [self._append(whole.repartition(self.buckets, "digest"))]
+        self.number = self.manifests.commit(self.number, {"made_with": self.made_with, "buckets": self.buckets, "segments": segments})
+        self.segments = segments
+        self._remove(*old)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch: one row per (id, text) with keep_id, group_size, kept and text_sha256.
@@ -70,18 +129,28 @@ class DigestIndex:
         ).groupBy("digest", "doc_id").agg(F.count("*").alias("n_rows"))
         seen, seen_at = stage(seen, "digests")
         groups = seen.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        groups, groups_at = stage(groups, "digest-groups")
-        known = self.digests().select("digest", F.col("keep_id").alias("known_id"))
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id")
-        fresh.write.insertInto(self.table)
-        settled = groups.select("digest", "group_size").join(self.digests().hint("merge"), "digest")
-        settled, settled_at = stage(settled, "digest-settled")
+        groups_at, groups_table = new_path(spark, "digest-groups"), f"{self.table}_groups_{uuid.uuid4().hex}"
+        with self.in_order():
+            groups = self._write(groups.repartition(self.buckets, "digest"), groups_table, groups_at)
+            known = [self._open(s) for s in self.segments]
+            fresh = groups.select("digest", "keep_id")
+            for segment in known:
+                fresh = fresh.join(segment.select("digest").hint("merge"), "digest", "left_anti")
+            added = self._append(fresh)
+            sizes = groups.select("digest", "group_size")
+            settled = reduce(DataFrame.union, [sizes.join(segment.hint("merge"), "digest") for segment in [*known, self._open(added)]])
+            settled, settled_at = stage(settled, "digest-settled")
+            if added["rows"]:
+                self._settle([*self.segments, added])
+            else:
+                self._remove(added)
         # both sides are plain exchanges here, so that a digest with very many copies can be split
         out = seen.join(settled, "digest").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"), "n_rows",
         )
         out, _ = stage(out, "digest-answer")
+        spark.sql(f"DROP TABLE IF EXISTS {groups_table}")
         discard(spark, seen_at, groups_at, settled_at)
         return out
 

@@ -92,6 +92,32 @@ def test_index_in_another_session(spark):
     index.drop()
 
 
+def test_index_is_read_sorted(spark):
+    """Segments are joined without a sort or a shuffle of theirs, small batches rewrite no large one, full buckets double."""
+    path = common.new_path(spark, "index-test")
+    index = dedup.DigestIndex(spark, path, 4)
+    index.add(docs_of(spark, [(i, f"text {i}") for i in range(400)]))
+    large = index.segments[0]
+    index.add(docs_of(spark, [(1000 + i, f"text {390 + i}") for i in range(20)]))
+    assert index.segments[0] == large and [s["rows"] for s in index.segments] == [400, 10]
+    joined = spark.range(1000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    with index.in_order():
+        for segment in index.segments:
+            joined = joined.join(index._open(segment).select("digest").hint("merge"), "digest", "left_anti")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    index.add(docs_of(spark, [(2000 + i, f"text {410 + i}") for i in range(200)]))
+    assert [s["rows"] for s in index.segments] == [610] and index.digests().distinct().count() == 610
+    grown = dedup.DigestIndex(spark, path, 4, per_bucket=150)
+    answer = grown.add(docs_of(spark, [(3000, "text 5"), (3001, "new"), (3002, "new")]))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in answer.collect()} == {(3000, 5, 1), (3001, 3001, 2), (3002, 3001, 2)}
+    assert grown.buckets == 8 and dedup.DigestIndex(spark, path, 4).digests().count() == 611
+    again = dedup.DigestIndex(spark, path).add(docs_of(spark, [(i, f"text {i}") for i in range(610)]))
+    # texts 400 to 609 first came under other ids
+    assert again.where("keep_id <> doc_id").count() == 210 and again.where("group_size <> 1").count() == 0
+    dedup.DigestIndex(spark, path).drop()
+
+
 def test_columns_with_the_names_of_helpers(spark):
     names = ["__id", "__digest", "__sha", "sha", "kept_id", "kept_sha", "HIT", "dropped_id", "Score", "__score", "__drop", "__hit"]
     df = spark.createDataFrame([(1, "a b c", 7), (2, "a  b c", 8), (3, "d", 9)], "doc_id long, text string, n int").withColumns({c: F.col("n") for c in names})
