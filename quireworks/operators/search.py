@@ -163,6 +163,33 @@ def indexed_scored(spark: SparkSession, path: str, queries: DataFrame) -> DataFr
     return _scored(terms, *read_postings(spark, path, terms))
 
 
+def register_search(spark: SparkSession, path: str, name: str = "search", k: int = 20) -> None:
+    """Make the index kept at `path` a table function of SQL: name(query) returns doc_id, score and rank of the best k.
+
+    SELECT q.id, h.* FROM queries q, LATERAL search(q.text) h gives for each query what top_k_search gives.  It is a
+    function in SQL, so Catalyst turns all queries of a statement into one join with the index; the number and mean length
+    of documents are read here, once, as the index does not change.  The function lives as long as the session.
+    """
+    spark.read.schema("term string, doc_id long, tf long, len long, head string").parquet(f"{path}/postings").createOrReplaceTempView(f"{name}_postings")
+    stats = spark.read.schema("doc_id long, n_tokens long").parquet(f"{path}/stats")
+    known = stats.agg(F.count("*").alias("n_docs"), F.greatest(F.floor(F.avg("n_tokens") + 0.5), F.lit(1)).cast("long").alias("avg_len")).first()
+    n, mean = known["n_docs"], known["avg_len"] or 1
+    words = f"split({name}.query, r'[^\\p{{L}}\\p{{N}}]+')"
+    # a split with a word of two letters has a longer one; the others count where there is none
+    usable = f"slice(filter({words}, w -> length(w) >= if(exists({words}, v -> length(v) >= 2), 2, 1)), 1, {MAX_TERMS})"
+    numbers = ", ".join(f"({i})" for i in range(MAX_TERMS))
+    terms = f"""SELECT i AS term_no, translate(lower(get({usable}, i)), '{ACCENTED}', '{PLAIN}') AS term, length(get({usable}, i)) >= 2 AS is_prefix
+        FROM (VALUES {numbers}) AS numbers(i) WHERE i < size({usable})"""
+    matches = f"""SELECT t.term_no, p.doc_id, p.len, sum(p.tf) AS tf FROM ({terms}) AS t JOIN {name}_postings AS p
+        ON p.head = left(t.term, 2) AND CASE WHEN t.is_prefix THEN startswith(p.term, t.term) ELSE p.term = t.term END GROUP BY t.term_no, p.doc_id, p.len"""
+    score = f"sum(ln(1 + ({n} - f.df + 0.5D) / (f.df + 0.5D)) * m.tf * {K1 + 1}D / (m.tf + {K1}D * ({1 - B}D + {B}D * m.len / {mean})))"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING) RETURNS TABLE(doc_id BIGINT, score DOUBLE, rank BIGINT) RETURN
+        SELECT doc_id, score, CAST(rank AS BIGINT) FROM (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+            SELECT m.doc_id, {score} AS score, count(*) AS n_found FROM ({matches}) AS m JOIN (SELECT term_no, count(*) AS df FROM ({matches}) GROUP BY term_no) AS f
+            ON m.term_no = f.term_no GROUP BY m.doc_id) WHERE n_found = size({usable})) WHERE rank <= {k}""")
+
+
 def _scored(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     return _summed(terms, match_counts(prefix_match(terms, postings), stats))
 

@@ -103,6 +103,16 @@ def _(t):
     return S.top_k_search(S.indexed_scored(t.spark, path, t.rows(QUERIES))).withColumn("score", F.round("score", 9))
 
 
+@query("search_table_function", sql("SELECT query_id, doc_id, round(score, 9) AS score, rank FROM top", POST, MATCH, COUNTS, SCORES))
+def _(t):
+    """Queries joined laterally with the table function over a kept index."""
+    path = shared_path(t.spark, "postings")
+    S.write_postings(corpus(t), path)
+    S.register_search(t.spark, path, "search_documents")
+    t.rows(QUERIES).createOrReplaceTempView("search_documents_queries")
+    return t.spark.sql("SELECT q.query_id, h.doc_id, round(h.score, 9) AS score, h.rank FROM search_documents_queries AS q, LATERAL search_documents(q.text) AS h")
+
+
 CHANGED = "corpus AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 9 <> 4)"
 
 
