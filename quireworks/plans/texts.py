@@ -249,12 +249,16 @@ def _(t):
     return t.documents.select("doc_id", F.size(rects).alias("n"), F.element_at(rects, 1)["l"].alias("first_left"), F.element_at(rects, -1)["b"].cast("decimal(2,1)").alias("last_bottom"))
 
 
-@query("F15", """
+#: For each letter of a number, from the seventh (enough for 32 bits) to the last: its place and the least number that has it
+LEAST = [(k, (26 ** (k + 1) - 1) // 25) for k in range(6, -1, -1)]
+
+
+@query("F15", f"""
     WITH n AS (SELECT doc_id::INT AS n FROM documents),
          r AS (SELECT n, (['','m','mm','mmm'])[n // 1000 % 10 + 1] || (['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'])[n // 100 % 10 + 1] || (['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'])[n // 10 % 10 + 1]
                   || (['','i','ii','iii','iv','v','vi','vii','viii','ix'])[n % 10 + 1] AS roman,
-                  CASE WHEN n > 702 THEN chr((97 + (n - 703) // 676 % 26)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr((97 + (n - 27) // 26 % 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) AS letters FROM n)
-    SELECT n, CASE WHEN n = 0 THEN '0' ELSE letters END AS letter, upper(CASE WHEN n BETWEEN 1 AND 3999 THEN roman ELSE n::VARCHAR END) AS roman, CASE WHEN n < 10 THEN '0' || n ELSE n::VARCHAR END AS zero FROM r""")
+                  {" || ".join(f"CASE WHEN n >= {least} THEN chr((97 + (n - {least}) // {26**k} % 26)::INT) ELSE '' END" for k, least in LEAST)} AS letters FROM n)
+    SELECT n, CASE WHEN n < 1 THEN n::VARCHAR ELSE letters END AS letter, upper(CASE WHEN n BETWEEN 1 AND 3999 THEN roman ELSE n::VARCHAR END) AS roman, CASE WHEN n BETWEEN 0 AND 9 THEN '0' || n ELSE n::VARCHAR END AS zero FROM r""")
 def _(t):
     n = F.col("doc_id").cast("int")
     return t.documents.select(n.alias("n"), *[T.list_number(n, F.lit(f)).alias(a) for f, a in (("lowerLetter", "letter"), ("upperRoman", "roman"), ("decimalZero", "zero"))])
