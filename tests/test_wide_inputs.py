@@ -51,3 +51,9 @@ def test_mixed_languages(spark, tmp_path, name):
     """Bytes of windows-1252 stay so where languages are mixed, and where another code page reads them alike."""
     got, want = both(spark, tmp_path, name, MIXED)
     assert got == want
+
+
+def test_short_legacy_texts(spark, tmp_path):
+    """Words that come again are no further evidence, and Hebrew has no final forms inside words."""
+    got, want = both(spark, tmp_path, "F9_legacy", SHORT)
+    assert got == want
