@@ -12,13 +12,15 @@ from quireworks.sources.manifests import Manifests, children, delete_path
 
 POSTINGS = "term string, doc_id long, tf long, len long, version long, head string"
 DOCS = "doc_id long, version long, n_tokens long, text string"
+#: Documents of later segments (two numbers each) that are sent to the rows they may hide; more are joined by a shuffle
+HIDING = 1_000_000
 
 
 class SegmentIndex:
     """Postings and texts of documents at `path`, changed by batches and searched without reading texts.
 
-    A batch writes one segment: the postings of its documents, in order of their terms, and one row for each document it
-    touched (a removed one has no text: a tombstone).  Nothing older is rewritten.  A document's newest
+    A batch writes one segment: the postings of its documents, dealt by their terms' first signs, and one row for each
+    document it touched, where it came (a removed one has no text: a tombstone).  Nothing older is rewritten.  A document's newest
     row counts, so a search drops postings whose document a later segment touched; only the segments behind the oldest
     are asked for that.  When `fan` segments of one tier stand in a row they are merged into one of the next tier, and
     what is hidden goes; so a document is rewritten once a tier, and there are at most `fan` segments a tier.  The
@@ -48,7 +50,7 @@ class SegmentIndex:
         """Rows (with doc_id, version) that no row of a later segment hides."""
         if not later:
             return rows
-        known = rows.join(self._newest(later), "doc_id", "left")
+        known = rows.join(search.few(self._newest(later), HIDING), "doc_id", "left")
         return known.where(F.col("newest").isNull() | (F.col("newest") <= F.col("version"))).drop("newest")
 
     def _postings(self, segments: list[dict]) -> DataFrame:
@@ -92,12 +94,11 @@ class SegmentIndex:
             return
         version, name = state["version"] + 1, f"segment-{uuid.uuid4().hex}"
         place = f"{self.path}/{name}"
-        counted = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(version).cast("long").alias("version"), F.when(F.col("text").isNotNull(), F.size(search.tokens_of(F.col("text")))).cast("long").alias("n_tokens"), "text")
-        dealt = counted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-        # a later batch looks its documents up here by id
-        dealt.write.option("parquet.bloom.filter.enabled#doc_id", "true").option("compression", "zstd").parquet(f"{place}/docs")
+        counted = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(version).cast("long").alias("version"), search.n_tokens(F.col("text")).alias("n_tokens"), "text")
+        # texts are not shuffled; a later batch looks its documents up here by id, in the files' Bloom filters
+        self._write_docs(counted, place)
         fresh = self.spark.read.schema(DOCS).parquet(f"{place}/docs")
-        postings, _ = search.build_postings(fresh.where("text is not null").select("doc_id", "text"))
+        postings = search.postings_of(fresh.where("text is not null").select("doc_id", "text"))
         self._write_postings(postings.withColumn("version", F.lit(version).cast("long")), place)
         came = fresh.agg(F.count("n_tokens").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("touched")).first()
         before = self._before(fresh, came["touched"], state["segments"])
@@ -121,12 +122,14 @@ class SegmentIndex:
         row = last.agg(F.count("n_tokens").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
         return {"n": row["n"], "tokens": row["tokens"]}
 
+    def _write_docs(self, docs: DataFrame, place: str) -> None:
+        docs.write.option("parquet.bloom.filter.enabled#doc_id", "true").option("compression", "zstd").parquet(f"{place}/docs")
+
     def _write_postings(self, postings: DataFrame, place: str) -> None:
-        """Files hold ranges of first signs, terms and documents, so that their statistics tell which a term needs, and a
-        common term is spread over files."""
-        keyed = postings.select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head"))
-        order = ("head", "term", "doc_id")
-        keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{place}/postings")
+        """Files hold some first signs, in order of their terms, so that their dictionaries and pages tell whether they have
+        a term, and a common pair of signs is spread over files."""
+        keyed = search.by_head(postings).select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head"))
+        keyed.sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(f"{place}/postings")
 
     def compact(self) -> None:
         """Merge the youngest run of `fan` segments of one tier, again while there is one."""
@@ -145,7 +148,7 @@ class SegmentIndex:
             newest = self._visible(self._docs(merged), merged[1:])
             if not first:  # nothing older is left that a tombstone would hide
                 newest = newest.where("text is not null")
-            newest.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("parquet.bloom.filter.enabled#doc_id", "true").option("compression", "zstd").parquet(f"{place}/docs")
+            self._write_docs(newest, place)
             self._write_postings(self._visible(self._postings(merged), merged[1:]).drop("head"), place)
             fresh = {"name": name, "tier": tier + 1}
             self.manifests.commit(number, state | {"segments": [*segments[:first], fresh]})

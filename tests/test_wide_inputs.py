@@ -57,3 +57,14 @@ def test_short_legacy_texts(spark, tmp_path):
     """Words that come again are no further evidence, and Hebrew has no final forms inside words."""
     got, want = both(spark, tmp_path, "F9_legacy", SHORT)
     assert got == want
+
+
+def test_postings_without_shuffle(spark, tmp_path):
+    """Terms are counted in their document's row, whatever it holds; nothing is shuffled for it."""
+    from quireworks.operators import search as S
+
+    docs = spark.createDataFrame([(1, "b a b, É é e"), (2, ""), (3, None), (4, " ,"), (5, "x " * 30_000)], "doc_id long, text string")
+    postings = S.postings_of(docs)
+    assert sorted(map(tuple, postings.collect())) == [("a", 1, 1, 6), ("b", 1, 2, 6), ("e", 1, 3, 6), ("x", 5, 30_000, 30_000)]
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, S.build_postings(docs)[1].collect())) == [(1, 6), (2, 0), (3, None), (4, 0), (5, 30_000)]
