@@ -18,6 +18,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 256
 BLOCK = 96
+#: Cells that shingles of large components are counted in, to put them in order; two that share a cell count as one
+CELLS = 1 << 18
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -149,6 +151,105 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
         yield flush()
 
 
+def _set_rows(batch: pa.RecordBatch, name: str, width: int) -> list[np.ndarray]:
+    """The shingle set of each text of a column, in order of the hashes."""
+    shingles, at = shingle_hashes(*word_hashes(text_column(batch, name)), width)
+    return [np.unique(shingles[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+
+
+def _cells(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(20)).astype(np.int64) % CELLS
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for one in _set_rows(batch, "text", width):
+            np.add.at(counts, _cells(one), 1)
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, width: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of each set of n the n - ceil(threshold * n) + 1 rarest shingles: two sets as similar as that share one of these.
+
+    Any order that is the same for all sets will do; this one is by the count of the shingle's cell, then by its hash.
+    """
+    for batch in batches:
+        found = []
+        for one in _set_rows(batch, "text", width):
+            keep = len(one) - math.ceil(threshold * len(one) - 1e-9) + 1
+            found.append(one[np.lexsort((one, counts[_cells(one)]))[: max(keep, 1)]].view(np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), keys], ["node", "component", "keys"])
+
+
+def _near_hub(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Whether a set's distance (1 - similarity) to its hub's is at most half of that of a link.  The distance is a metric,
+    so any two such sets of one hub are linked."""
+    for batch in batches:
+        pairs = zip(_set_rows(batch, "text", width), _set_rows(batch, "hub_text", width), strict=True)
+        tight = []
+        for mine, hub in pairs:
+            both = len(np.intersect1d(mine, hub, assume_unique=True))
+            tight.append(both >= (1 + threshold) / 2 * (len(mine) + len(hub) - both) + 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tight, pa.bool_())], ["node", "tight"])
+
+
+def _dealt(texts: DataFrame, reps: DataFrame, large: DataFrame, small: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Members of large candidate components dealt to blocks, beside those of small ones; pairs of blocks to compare; paths.
+
+    (node, block, crowd): members of a crowd (named by its hub) are linked to each other and only compared with others.
+    (block, other): blocks of which some n-gram among the rarest is in a member of each.
+    """
+    spark = texts.sparkSession
+    if large.isEmpty():
+        return small, spark.createDataFrame([], "block string, other string"), []
+    wanted = large.join(reps.select(F.col("rep").alias("node"), "text_hash"), "node").withColumnRenamed("node", "doc_id")
+    big = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    big, big_at = stage(big.select(F.col("doc_id").alias("node"), "component", "text"), "large-components")
+    cells = big.select("text").mapInArrow(lambda it: _cell_counts(it, width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    rarest, rarest_at = stage(
+        big.mapInArrow(lambda it: _prefixes(it, shared.value, width, threshold), "node long, component long, keys array<long>"), "rarest"
+    )
+    buckets = rarest.select("node", "component", F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("component", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met, met_at = stage(buckets.join(hubs, ["component", "key"]), "rarest-buckets")
+    parts, parts_at = stage(connected_components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "parts")
+    sizes = parts.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
+    firsts = met.groupBy("node").agg(F.min("hub").alias("first"))
+    placed, placed_at = stage(parts.join(sizes, "component").join(firsts, "node"), "part-members")
+    blocks = placed.where("large").groupBy("first").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    salted, salted_at = stage(
+        placed.where("large").join(blocks, "first").select("node", "first", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("k")), "part-blocks"
+    )
+    # an id with several texts is in no crowd and leads none
+    single = big.groupBy("node").agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n = 1").drop("n")
+    leaders = blocks.join(single.select(F.col("node").alias("first"), F.col("text").alias("hub_text")), "first").select(
+        "first", "hub_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
+    )
+    beside = salted.drop("blocks").join(single, "node").join(leaders, ["first", "k"]).select("node", "text", "hub_text")
+    near, near_at = stage(beside.mapInArrow(lambda it: _near_hub(it, width, threshold), "node long, tight boolean"), "near-hub")
+    tight = F.coalesce("tight", F.lit(False))
+    block = F.concat_ws(":", "first", F.when(tight, "near").otherwise("far"), "k")
+    apart = salted.join(near, "node", "left").select("node", block.alias("block"), F.when(tight, F.col("first")).alias("crowd"))
+    whole = placed.where("not large").select("node", F.col("component").cast("string").alias("block"), F.lit(None).cast("long").alias("crowd"))
+    apart, apart_at = stage(apart, "blocks")
+    dealt, dealt_at = stage(small.union(whole).union(apart), "dealt")
+    of_bucket, of_bucket_at = stage(met.join(apart, "node").select("component", "key", "block", "crowd").distinct(), "bucket-blocks")
+    others = of_bucket.withColumnsRenamed({"block": "other", "crowd": "other_crowd"})
+    pairs, pairs_at = stage(
+        of_bucket.join(others, ["component", "key"]).where("block < other and coalesce(crowd <> other_crowd, true)").select("block", "other").distinct(), "block-pairs"
+    )
+    shared.unpersist()
+    discard(spark, big_at, rarest_at, met_at, parts_at, placed_at, salted_at, near_at, apart_at, of_bucket_at)
+    return dealt, pairs, [dealt_at, pairs_at]
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL,
     max_hashes: int = MAX_HASHES, id_col: str = "doc_id", text_col: str = "text",
@@ -164,10 +265,12 @@ def near_duplicates(
 
     Equal word sequences are first reduced to one representative.  Representatives meet in the buckets of MinHash bands;
     the buckets' stars, not their pairs, are joined to candidate components.  A component of up to BLOCK members is
-    compared in one unit.  Members of a larger one are dealt to blocks of about BLOCK that share their first bucket
-    partner, and two blocks are compared only if some bucket holds members of both, so a long chain of components that
-    only shares common phrases costs what its buckets cost, not its square.  A pair is verified on the full sets if any
-    band agrees; no task holds more than two blocks.
+    compared in one unit.  In a larger one, sets meet again only if they share one of their rarest n-grams, which two
+    similar sets always do and texts with a common line do not; that gives smaller components.  Where one is still large,
+    members that are so near to the smallest id they meet that they must all be similar to each other are a crowd, whose
+    links are counted without pairs.  The others, and what lies between crowds, are dealt to blocks of about BLOCK, and two
+    blocks are compared only if some bucket holds members of both.  A compared pair is verified on the full sets if any band
+    agrees; no task holds more than two blocks.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -193,34 +296,25 @@ def near_duplicates(
     candidates, candidates_at = stage(connected_components(stars), "candidates")
 
     sizes, sizes_at = stage(candidates.groupBy("component").agg((F.count("*") > BLOCK).alias("large")), "component-sizes")
-    placed, placed_at = stage(
-        candidates.join(sizes, "component")
-        .join(met.groupBy(F.col("rep").alias("node")).agg(F.min("hub").alias("first")), "node"),
-        "members",
-    )
-    first_sizes = placed.where("large").groupBy("first").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.when(F.col("large"), F.concat_ws(":", "first", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))).otherwise(F.col("component").cast("string"))
-    dealt, dealt_at = stage(placed.join(first_sizes, "first", "left").select("node", "large", block.alias("block")), "blocks")
-    # blocks of which some bucket has members of both; a small component is a block of its own
-    of_bucket, of_bucket_at = stage(
-        met.join(dealt.where("large").select(F.col("node").alias("rep"), "block"), "rep").select("band", "key", "block").distinct(), "bucket-blocks"
-    )
-    pairs = (
-        of_bucket.join(of_bucket.withColumnRenamed("block", "other"), ["band", "key"]).where("block < other").select("block", "other").distinct()
-    )
-    pairs, pairs_at = stage(pairs, "block-pairs")
+    placed, placed_at = stage(candidates.join(sizes, "component"), "members")
+    small = placed.where("not large").select("node", F.col("component").cast("string").alias("block"), F.lit(None).cast("long").alias("crowd"))
+    dealt, pairs, dealt_at = _dealt(texts, reps, placed.where("large").select("node", "component"), small, width, threshold)
     units = (
-        dealt.select("block").distinct().select("block", F.col("block").alias("unit"), F.lit(0).alias("side"))
+        dealt.where("crowd is null").select("block").distinct().select("block", F.col("block").alias("unit"), F.lit(0).alias("side"))
         .union(pairs.select("block", F.concat_ws("|", "block", "other"), F.lit(0)))
         .union(pairs.select("other", F.concat_ws("|", "block", "other"), F.lit(1)))
     )
-    members = dealt.join(units, "block").join(reps.select(F.col("rep").alias("node"), "text_hash", "copies", "bands"), "node")
+    members = dealt.drop("crowd").join(units, "block").join(reps.select(F.col("rep").alias("node"), "text_hash", "copies", "bands"), "node")
     work = texts.join(members.withColumnRenamed("node", "doc_id"), ["doc_id", "text_hash"]).repartition("unit").sortWithinPartitions("unit", "doc_id", "text_hash")
     found, found_at = stage(
         work.select("unit", "doc_id", "text_hash", "side", "copies", "bands", "text")
         .mapInArrow(lambda it: _verify(it, width, threshold), "doc_id long, links long, root long"),
         "links",
     )
+    # all pairs of a crowd are links: each member has those to the crowd's other documents
+    crowds = dealt.where("crowd is not null").join(reps.select(F.col("rep").alias("node"), "copies"), "node")
+    whole = crowds.groupBy("crowd").agg(F.sum("copies").alias("all"))
+    found = found.union(crowds.join(whole, "crowd").select(F.col("node").alias("doc_id"), (F.col("all") - F.col("copies")).alias("links"), F.col("crowd").alias("root")))
     classes = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("doc_id").agg(F.sum("links").alias("links")).select(F.col("doc_id").alias("rep"), "links")
     per_rep = (
@@ -238,8 +332,7 @@ def near_duplicates(
     )
     out, _ = stage(with_words.union(alone), "classes")
     discard(
-        spark, signed_at, reps_at, hubs_at, met_at, candidates_at, sizes_at, placed_at, dealt_at, of_bucket_at, pairs_at, found_at, per_rep_at,
-        class_sizes_at, sized_at,
+        spark, signed_at, reps_at, hubs_at, met_at, candidates_at, sizes_at, placed_at, *dealt_at, found_at, per_rep_at, class_sizes_at, sized_at,
     )
     return out
 

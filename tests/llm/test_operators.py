@@ -332,6 +332,29 @@ def test_chain_of_common_phrases(spark, monkeypatch):
     assert got == {i: (classes[i], len(links[i])) for i in classes}
 
 
+def test_large_groups_form_no_pairs(spark, monkeypatch):
+    """Texts of one common line, and very many near copies of one text: links are exact, texts compared in proportion."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    compared, stage = [], ngram_join.stage
+
+    def counting(df, name):
+        out, at = stage(df, name)
+        if name == "links":
+            compared.append(out.count())
+        return out, at
+
+    monkeypatch.setattr(ngram_join, "stage", counting)
+    rng = random.Random(19)
+    line, base, rows = prose(rng, 60), prose(rng, 400).split(), []
+    for i in range(120):
+        rows.append((i, line + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))))
+        rows.append((1000 + i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]])))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs_of(spark, rows).repartition(5)).collect()}
+    links, classes = brute_links(rows)
+    assert got == {i: (classes[i], len(links[i])) for i in classes}
+    assert {len(links[1000 + i]) for i in range(120)} == {119} and sum(compared) <= len(rows)
+
+
 def test_near_duplicates_edges(spark, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     alone = docs_of(spark, [(1, None), (2, "")])
