@@ -154,7 +154,10 @@ def _(t):
     return t.documents.select("doc_id", content.alias("content")).select("doc_id", encoding.alias("encoding"), read.alias("text"))
 
 
-@query("read_text_corpus", f"SELECT doc_id, {ENC} AS encoding, left(text, 1000000) AS text, length(text) > 1000000 AS truncated FROM documents")
+#: A null text is no bytes, and control signs of ISO 8859-1 are bytes that windows-1252 reads as other signs
+@query("read_text_corpus", f"""
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN {ENC} END AS encoding,
+        left(CASE WHEN doc_id % 4 = 3 THEN translate(text, '{T.WINDOWS[0]}', '{T.WINDOWS[1]}') ELSE text END, 1000000) AS text, length(text) > 1000000 AS truncated FROM documents""")
 def _(t):
     return X.from_bytes(encoded(t)).select(F.col("path").cast("long").alias("doc_id"), "encoding", "text", "truncated")
 

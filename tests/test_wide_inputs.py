@@ -53,6 +53,33 @@ def test_mixed_languages(spark, tmp_path, name):
     assert got == want
 
 
+def test_control_signs_in_corpus(spark, tmp_path):
+    """Bytes 80 to 9F are signs of windows-1252, and those without a meaning there stay."""
+    docs = [(3, "café \x85 \x92s \x81\x9d"), (7, "\x85"), (11, "plain"), (4, "caf\x85"), (5, "\x92 é")]
+    got, want = both(spark, tmp_path, "read_text_corpus", docs)
+    assert got == want
+    assert {r[0]: r[2] for r in got}[3] == "café … ’s \x81\x9d"
+
+
+def test_null_texts_in_corpus(spark, tmp_path):
+    """No bytes have no encoding."""
+    got, want = both(spark, tmp_path, "read_text_corpus", [(d, None) for d in range(4)])
+    assert got == want == [(d, None, None, None) for d in range(4)]
+
+
+def test_ends_of_utf16(spark):
+    """An odd byte or half a pair at the end is a replacement sign; of the head of a longer file it is left out."""
+    from quireworks.operators import texts as X
+
+    whole = "ab\U0001F600"
+    rows = [(f"{name}{cut}", mark + whole.encode(name)[: 8 - cut]) for name, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")) for cut in range(4)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r.text for r in X.from_bytes(df).collect()}
+    assert got == {f"{name}{cut}": whole if not cut else "ab\uFFFD" for name in ("utf-16-le", "utf-16-be") for cut in range(4)}
+    longer = spark.createDataFrame([("x", b"\xff\xfe" + whole.encode("utf-16-le"))], "path string, content binary")
+    assert {r.text for n in (7, 8, 9) for r in X.from_bytes(longer, max_source_bytes=n).collect()} == {"ab"}
+
+
 def test_short_legacy_texts(spark, tmp_path):
     """Words that come again are no further evidence, and Hebrew has no final forms inside words."""
     got, want = both(spark, tmp_path, "F9_legacy", SHORT)
