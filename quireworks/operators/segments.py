@@ -127,9 +127,10 @@ class SegmentIndex:
 
     def _write_postings(self, postings: DataFrame, place: str) -> None:
         """Files hold some first signs, in order of their terms, so that their dictionaries and pages tell whether they have
-        a term, and a common pair of signs is spread over files."""
-        keyed = search.by_head(postings).select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head"))
-        keyed.sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(f"{place}/postings")
+        a term.  Tasks are cut to one size once it is known, so what one sorts does not grow with the batch, and a common
+        pair of signs is spread over files."""
+        keyed = postings.select("term", "doc_id", "tf", "len", "version", search.head(F.col("term")).alias("head"))
+        keyed.hint("rebalance", "head").sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(f"{place}/postings")
 
     def compact(self) -> None:
         """Merge the youngest run of `fan` segments of one tier, again while there is one."""

@@ -105,3 +105,19 @@ def test_kept_index_has_few_files(spark, tmp_path):
     files = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "postings").glob("head=*")}
     assert files == {"head=wo": 1, "head=ot": 1}
     assert S.read_postings(spark, str(tmp_path))[0].count() == 600
+
+
+def test_segment_tasks_do_not_grow(spark, tmp_path):
+    """Postings of a batch are dealt to tasks of one size, so more than there are shuffle partitions where they are many."""
+    from quireworks.operators.segments import SegmentIndex
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "4k")
+    try:
+        index = SegmentIndex(spark, str(tmp_path))
+        words = "concat_ws(' ', transform(sequence(1, 60), i -> concat(char(97 + i % 20), 'x', id * 61 + i)))"
+        index.apply(spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", f"{words} AS text"))
+    finally:
+        spark.conf.unset(key)
+    assert len(list(tmp_path.glob("segment-*/postings/*.parquet"))) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert index.postings().count() == 400 * 60
