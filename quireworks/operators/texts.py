@@ -303,7 +303,8 @@ def split_delimited(text: Column, delimiter: Column, max_cells: int = 200_000, m
 
     A quote opens only at a cell's start, two quotes inside are one, quoted cells hold delimiters and line ends; what
     follows a closing quote is taken as it is.  Blank lines and a byte order mark are skipped, long cells end in an
-    ellipsis, rows end at max_columns and the table at max_cells; `cut` drops a last row the sample may have cut.
+    ellipsis, rows end at max_columns and the table behind the row that reaches max_cells; `cut` drops a last row the
+    sample may have cut.
     """
     quoted = r'(?s)^"((?:[^"]|"")*+)(?:"|\z)'
 
@@ -312,9 +313,8 @@ def split_delimited(text: Column, delimiter: Column, max_cells: int = 200_000, m
         return F.when(F.length(plain) > max_chars, F.concat(F.left(plain, F.lit(max_chars)), F.lit("…"))).otherwise(plain)
 
     def count(acc: Column, cells: Column) -> Column:
-        n = acc["n"] + F.least(F.size(cells), F.lit(max_columns))
-        fits = ~acc["full"] & (n <= max_cells)
-        return F.struct(n.alias("n"), (acc["rows"] + fits.cast("int")).alias("rows"), (~fits).alias("full"), (acc["wide"] | (F.size(cells) > max_columns)).alias("wide"))
+        fits = acc["n"] < max_cells
+        return F.struct((acc["n"] + F.least(F.size(cells), F.lit(max_columns))).alias("n"), (acc["rows"] + fits.cast("int")).alias("rows"), (~fits).alias("full"), (acc["wide"] | (F.size(cells) > max_columns)).alias("wide"))
 
     def finish(rows: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("rows"), F.lit(False).alias("full"), F.lit(False).alias("wide"))

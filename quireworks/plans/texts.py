@@ -106,14 +106,16 @@ def _(t):
 CELL = "CASE WHEN starts_with(cell, '\"') THEN replace(regexp_extract(cell, '(?s)^\"((?:[^\"]|\"\")*)(?:\"|$)', 1), '\"\"', '\"') || regexp_replace(cell, '(?s)^\"(?:[^\"]|\"\")*(?:\"|$)', '') ELSE cell END"
 
 
+#: The caps are the reference's own: DelimitedFile.kt:9 (cells), 12 (columns), 15 (signs of a cell), and 176-180, by which the row that reaches the cells is kept
 @query("F11", f"""
     WITH c AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS cell, unnest(s) AS sep FROM (
             SELECT doc_id, regexp_extract_all(text, {tokens(",")}, 1) AS c, regexp_extract_all(text, {tokens(",")}, 2) AS s FROM documents)),
          r AS (SELECT *, count(*) FILTER (sep <> ',') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line FROM c),
          k AS (SELECT *, count(*) OVER w AS n, max(cell) OVER w AS most, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS col_no FROM r WINDOW w AS (PARTITION BY doc_id, line)),
-         v AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS row_no, col_no, {CELL} AS value, count(*) FILTER (col_no < 1024) OVER (PARTITION BY doc_id ORDER BY line) AS cells,
-                  max(n) OVER (PARTITION BY doc_id) > 1024 OR count(*) FILTER (col_no < 1024) OVER (PARTITION BY doc_id) > 200000 AS truncated FROM k WHERE n > 1 OR most <> '')
-    SELECT doc_id, row_no::INT AS row_no, col_no::INT AS col_no, CASE WHEN length(value) > 10000 THEN left(value, 10000) || '…' ELSE value END AS value, truncated FROM v WHERE col_no < 1024 AND cells <= 200000""")
+         v AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS row_no, col_no, {CELL} AS value, n,
+                  count(*) FILTER (col_no < 1024) OVER (PARTITION BY doc_id ORDER BY line RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k WHERE n > 1 OR most <> ''),
+         t AS (SELECT *, max(n) OVER (PARTITION BY doc_id) > 1024 OR max(before) OVER (PARTITION BY doc_id) >= 200000 AS truncated FROM v)
+    SELECT doc_id, row_no::INT AS row_no, col_no::INT AS col_no, CASE WHEN length(value) > 10000 THEN left(value, 10000) || '…' ELSE value END AS value, truncated FROM t WHERE col_no < 1024 AND before < 200000""")
 def _(t):
     rows = t.documents.select(F.col("doc_id").cast("string").alias("path"), "text", F.lit(",").alias("delimiter"))
     return X.delimited_cells(rows).select(F.col("path").cast("long").alias("doc_id"), "row_no", "col_no", "value", "truncated")

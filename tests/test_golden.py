@@ -97,6 +97,14 @@ def test_split_delimited_caps(spark):
     assert split(spark, "a,b,c", max_columns=2) == ([["a", "b"]], True)
 
 
+def test_split_delimited_stops_at_a_row_boundary(spark):
+    abc = ["a", "b", "c"]
+    assert split(spark, "\n".join(["a,b,c"] * 10), max_cells=7) == ([abc] * 3, True)
+    assert split(spark, "a,b,c\n" * 3, max_cells=7) == ([abc] * 3, False)
+    assert split(spark, "a,b,c\n" * 3, max_cells=6) == ([abc] * 2, True)
+    assert split(spark, "a,b,c\nd", max_cells=2, max_columns=2) == ([["a", "b"]], True)
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("see https://a.org/x.", ["https://a.org/x"]), ("is it https://a.org?", ["https://a.org"]), ("https://en.org/Foo_(language) ok", ["https://en.org/Foo_(language)"]), ("(https://en.org/a)", ["https://en.org/a"]),
     ("www.example.com/path?x=1", ["https://www.example.com/path?x=1"]), ("README.md", []), ("mail dev@example.org now", ["mailto:dev@example.org"]), ("a@b", []), ("https://user@host.com/", ["https://user@host.com/"]), ("www.localhost", []),
